@@ -82,3 +82,90 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         return cleaned.withColumn("wgt_lbs", parsing.parse_weight("wgt"))
 
     return stored(spark, "results", sf_dir, make)
+
+
+def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results as the raw CSV has them: text only, rating under its CSV name."""
+    view = results_view(spark, sf_dir).drop("id")
+    text = view.select(*[F.col(c).cast("string").alias(c) for c in view.columns])
+    return text.withColumnRenamed("official_rating", "[or]")
+
+
+def raw_csv(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the raw CSV files, written once per application."""
+    key = (spark.sparkContext.applicationId, f"csv:{sf_dir}")
+    if key not in _stored:
+        path = scratch_path(spark, "csv")
+        raw_text(spark, sf_dir).write.csv(path, header=True, escape='"')
+        _stored[key] = path
+    return _stored[key]
+
+
+def card_documents(results: DataFrame) -> DataFrame:
+    """One race card document per date (card_date, value), of all races in the results.
+
+    A document holds a day whole, which is what the card format is.
+    """
+    runner = F.struct(
+        F.col("horse").alias("name"),
+        (F.col("id") - F.col("race_id") * 100).cast("int").alias("number"),
+        F.col("wgt_lbs").cast("string").alias("lbs"),
+        "draw",
+        F.lit(None).cast("string").alias("last_run"),
+        F.col("hg").alias("headgear"),
+        F.col("official_rating").alias("ofr"),
+        (F.col("official_rating") + F.col("draw")).alias("rpr"),
+        "jockey_allowance",
+        (F.col("pos") == "PU").alias("non_runner"),
+        F.col("horse").alias("horse_id"),
+        F.col("trainer").alias("trainer_id"),
+        F.col("jockey").alias("jockey_id"),
+    )
+    region = F.when(F.col("race_id") % 2 == 0, "GB").otherwise("IRE")
+    races = results.groupBy("date", region.alias("region"), "course", "race_id").agg(
+        F.max("prize").alias("prize"), F.max("dist").alias("distance"),
+        F.max(parsing.extract_class("class")).cast("int").alias("race_class"),
+        F.collect_list(runner).alias("runners"),
+    )
+    off = F.col("race_id").cast("string")
+    race = F.struct(
+        F.concat("course", F.lit(" Stakes "), off).alias("race_name"), "prize",
+        F.length("course").cast("long").alias("course_id"), "distance",
+        F.regexp_replace("distance", "f", "").cast("double").alias("distance_f"), "race_class", "runners",
+    )
+
+    def nest(df: DataFrame, keys: list[str], name, value) -> DataFrame:
+        entries = F.array_sort(F.collect_list(F.struct(name.alias("k"), value.alias("v"))))
+        return df.groupBy(*keys).agg(F.map_from_entries(entries).alias("m"))
+
+    by_course = races.select("date", "region", "course", off.alias("off"), F.to_json(race).alias("race"))
+    # Nested values travel as JSON text and are joined as text, so one type serves all levels.
+    by_course = nest(by_course, ["date", "region", "course"], F.col("off"), F.col("race"))
+    by_region = nest(by_course, ["date", "region"], F.col("course"), _object("m"))
+    by_date = nest(by_region, ["date"], F.col("region"), _object("m"))
+    return by_date.select(F.col("date").alias("card_date"), _object("m").alias("value"))
+
+
+def _object(map_column: str):
+    """A map of names to JSON texts as one JSON object."""
+    members = F.transform(
+        F.map_entries(map_column),
+        lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"]),
+    )
+    return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+
+
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a stored table."""
+    return stored(spark, "cards", sf_dir, lambda: card_documents(results(spark, sf_dir)))
+
+
+def card_files(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with one card file per date, the date in the folder name."""
+    key = (spark.sparkContext.applicationId, f"card_files:{sf_dir}")
+    if key not in _stored:
+        path = scratch_path(spark, "card-files")
+        spread = cards(spark, sf_dir).repartition("card_date")
+        spread.write.partitionBy("card_date").option("lineSep", "\n").text(path)
+        _stored[key] = path
+    return _stored[key]

@@ -36,7 +36,9 @@ class Model:
     fitted: PipelineModel
 
     def score(self, df: DataFrame, name: str = "prob") -> DataFrame:
-        return add_probability(self.prep.transform(df), self.fitted, name)
+        """The given columns and the win probability."""
+        out = add_probability(self.prep.transform(df), self.fitted, name)
+        return out.select(*df.columns, name)
 
 
 _INTERNAL = ("rawPrediction", "probability", "prediction")
@@ -183,11 +185,11 @@ class Ensemble:
     members: dict[str, PipelineModel]
 
     def score(self, df: DataFrame) -> DataFrame:
-        """Adds one ``p_<member>`` column per member; the inputs are prepared once."""
+        """The given columns and one ``p_<member>`` per member; the inputs are prepared once."""
         out = self.prep.transform(df)
         for name, fitted in self.members.items():
             out = add_probability(out, fitted, f"p_{name}")
-        return out
+        return out.select(*df.columns, *[f"p_{name}" for name in self.members])
 
 
 def train_ensemble(

@@ -15,12 +15,13 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from formlake import schema
 from formlake.ml import prepare
 from formlake.operators.ranking import group_deviations
+from formlake.session import ensure_checkpoint_dir
 
 LABEL = "target_win"
 
@@ -52,6 +53,7 @@ def add_probability(prepared: DataFrame, fitted: PipelineModel, name: str) -> Da
 @contextmanager
 def _training_rows(prepared: DataFrame, columns: Sequence[str]) -> Iterator[DataFrame]:
     """Learners read their rows once per level, so keep only what they need, on disk if large."""
+    ensure_checkpoint_dir(prepared.sparkSession)
     rows = prepared.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield rows
@@ -134,9 +136,9 @@ def train_deep_ranker(
 def balanced_weights(train: DataFrame, label: str = LABEL) -> DataFrame:
     """Rows and weight per class: n / (classes * n of the class)."""
     per_class = train.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    found = per_class.collect()  # one row per class
-    total = sum(row["n"] for row in found)
-    return per_class.withColumn("weight", F.lit(total) / (F.lit(len(found)) * F.col("n")))
+    every = Window.partitionBy()  # one row per class
+    total, classes = F.sum("n").over(every), F.count(F.lit(1)).over(every)
+    return per_class.withColumn("weight", total / (classes * F.col("n")))
 
 
 def _weighted(train: DataFrame) -> DataFrame:

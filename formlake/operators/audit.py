@@ -75,40 +75,42 @@ def audit_logical_errors(df: DataFrame) -> DataFrame:
 
 
 def data_audit(df: DataFrame) -> DataFrame:
-    """Every audit as (metric, period, value) rows, off a single pass over the results.
+    """Every audit as (metric, period, value) rows, in one pass over the results.
 
-    Rows are first counted by (race, year); the scalar metrics and the yearly spread both read
-    that table.
+    Rows are counted by race; every race then emits its share of each metric and 1 for each year
+    it was run in, and the shares are summed.
     """
     _, num = _pos(df)
-    flags = {"_wins": F.sum(parsing.is_win(num)), "_rows": F.count(F.lit(1))}
-    for name, check in {**_null_checks(df), "logical_errors": _logical_error(df)}.items():
-        flags[name] = F.count_if(check)
-    cells = df.groupBy("race_id", F.year("date").alias("year")).agg(
-        *[agg.alias(name) for name, agg in flags.items()]
+    checks = {**_null_checks(df), "logical_errors": _logical_error(df)}
+    races = df.groupBy("race_id").agg(
+        F.sum(parsing.is_win(num)).alias("_wins"), F.count(F.lit(1)).alias("total_rows"),
+        F.collect_set(F.year("date")).alias("_years"),
+        *[F.count_if(check).alias(name) for name, check in checks.items()],
     )
-    races = cells.groupBy("race_id").agg(*[F.sum(name).alias(name) for name in flags])
     known = F.col("race_id").isNotNull()
-    summary = races.agg(
-        F.coalesce(F.sum("_rows"), F.lit(0)).alias("total_rows"),
-        F.count("race_id").alias("unique_races"),
-        F.count_if(known & (F.col("_wins") == 0)).alias("no_winner"),
-        F.count_if(known & (F.col("_wins") > 1)).alias("multi_winner"),
-        *[
-            F.coalesce(F.sum(name), F.lit(0)).alias(name)
-            for name in ("null_pos", "null_btn", "null_wgt", "logical_errors")
-        ],
-    )
-    names = summary.columns
-    scalars = summary.select(F.explode(F.array(*[
-        F.struct(F.lit(n).alias("metric"), F.lit(None).cast("int").alias("period"),
-                 F.col(n).cast("long").alias("value"))
-        for n in names
-    ])).alias("m")).select("m.*")
-    yearly = cells.groupBy("year").agg(F.count("race_id").alias("value")).select(
-        F.lit("races_in_year").alias("metric"), F.col("year").alias("period"), "value"
+    shares = {
+        "total_rows": F.col("total_rows"),
+        "unique_races": known,
+        "no_winner": known & (F.col("_wins") == 0),
+        "multi_winner": known & (F.col("_wins") > 1),
+        **{name: F.col(name) for name in checks},
+    }
+
+    def share(metric: str, period, value) -> Column:
+        return F.struct(
+            F.lit(metric).alias("metric"), period.cast("int").alias("period"),
+            value.cast("long").alias("value"),
+        )
+
+    nothing = F.lit(None)
+    scalars = F.array(*[share(metric, nothing, value) for metric, value in shares.items()])
+    yearly = F.transform("_years", lambda year: share("races_in_year", year, known))
+    # An empty table still reports its zeros.
+    zeros = df.sparkSession.range(1).select(
+        F.explode(F.array(*[share(metric, nothing, F.lit(0)) for metric in shares])).alias("m")
     )
-    return scalars.unionByName(yearly)
+    emitted = races.select(F.explode(F.concat(scalars, yearly)).alias("m")).unionByName(zeros)
+    return emitted.select("m.*").groupBy("metric", "period").agg(F.sum("value").alias("value"))
 
 
 def coverage_summary(

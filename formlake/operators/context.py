@@ -44,6 +44,7 @@ def recent_snapshot(
     kept = results.where(F.col("date") >= start)
     if "year" in results.columns:
         kept = kept.where(F.col("year") >= F.year(start))
+    first, last = kept.agg(F.min("id"), F.max("id")).first()
     out = {}
     for name, table in tables.items():
         if name == "results":
@@ -51,7 +52,9 @@ def recent_snapshot(
         elif name.startswith("features_"):
             key = "res_id" if "res_id" in table.columns else "id"
             ids = kept.select(F.col("id").alias(key))
-            out[name] = table.join(ids, key, "left_semi")
+            # Ids rise with the date, so their range skips most files of the feature table.
+            recent = table.where(F.col(key).between(F.lit(first), F.lit(last)))
+            out[name] = recent.join(ids, key, "left_semi")
         else:
             out[name] = table
     return out

@@ -30,7 +30,7 @@ class Lookback:
 
     ``fields`` gives the values remembered of a row and how many rows back they are read;
     ``outputs`` builds the features from ``previous(field, rows_back)``, NULL where there is
-    no such row.
+    no such row; 0 rows back is the row itself.
     """
 
     fields: dict[str, tuple[Column, int]]
@@ -74,20 +74,19 @@ def form_family(df: DataFrame, short: int = 3, long: int = 5, fill: float = 20.0
 
 def class_family(df: DataFrame, window: int = 3) -> Lookback:
     """Class 0 wipes the memory, so reading back stops at the first zero."""
-    current = parsing.extract_class("class")
-
     def outputs(previous: Previous) -> dict[str, Column]:
-        alive = current > 0
+        now = previous("class", 0)
+        alive = now > 0
         kept = []
         for k in range(1, window + 1):
             alive = alive & (previous("class", k) > 0)
             kept.append(F.when(alive, previous("class", k)))
         return {
-            "class_diff": F.coalesce((current - kept[0]).cast("int"), F.lit(0)),
+            "class_diff": F.coalesce((now - kept[0]).cast("int"), F.lit(0)),
             f"avg_class_{window}": F.coalesce(_mean(kept, 2), F.lit(0.0)),
         }
 
-    return Lookback({"class": (current, window)}, outputs)
+    return Lookback({"class": (parsing.extract_class("class"), window)}, outputs)
 
 
 def gear_family(key: str = "horse") -> Lookback:
@@ -141,6 +140,8 @@ def add_lookbacks(
     carried = ["_memory", observed] if observed else [f"_now_{name}" for name in fields]
 
     def previous(name: str, back: int) -> Column:
+        if back == 0:
+            return F.col(f"_now_{name}")
         return F.col(f"_back_{back}")[name] if observed else F.col(f"_back_{back}_{name}")
 
     def apply(part_rows: DataFrame, part: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from formlake import courses
 from formlake.functions import parsing
 from formlake.operators import cleaning
+from formlake.session import scratch_path
 from formlake.sources import tables
 
 LIGHT_NUMERIC = ["age", "ran", "pos", "draw", "official_rating", "rpr", "ts", "prize"]
@@ -49,6 +50,9 @@ def ingest(
     raw = tables.read_results_csv(spark, csv, nrows)
     if profile == "light":
         return clean_light(raw, values)
-    cleaned = clean_results(raw, values)
+    # Parse the text once; numbering and the quarantine then read columns.
+    staged = scratch_path(spark, "ingest-staging")
+    clean_results(raw, values).write.parquet(staged)
+    cleaned = spark.read.parquet(staged)
     cleaned.where(F.col("date").isNull()).write.mode(mode).parquet(f"{out}_quarantine")
     return tables.write_results(cleaned.where(F.col("date").isNotNull()), out, mode)

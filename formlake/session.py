@@ -15,6 +15,7 @@ def spark_session(app: str = "formlake", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -39,9 +40,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{_shared_base(spark)}/formlake/{label}-{uuid.uuid4().hex}"
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(_shared_base(spark))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss and fixes non-stable columns."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(_shared_base(df.sparkSession))
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

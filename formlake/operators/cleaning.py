@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 from formlake import courses, schema
 from formlake.functions import parsing
+from formlake.operators.skew import lookup, match
+
+MAX_LISTED = 10_000
 
 
 def allowlist_filter(
@@ -19,14 +22,16 @@ def allowlist_filter(
 ) -> DataFrame:
     """Trims the column and keeps the listed values.
 
-    A Python list becomes an ``isin`` at the scan. A one-column table becomes a semi-join whose
-    strategy is left to the optimizer, which knows the size of the table.
+    A Python list becomes an ``isin`` at the scan. A one-column table is broadcast if it has at
+    most MAX_LISTED distinct values, and met by a split-safe semi-join otherwise.
     """
     trimmed = df.withColumn(col, F.trim(col))
-    if isinstance(values, DataFrame):
-        allowed = values.toDF("_allowed").distinct()
-        return trimmed.join(allowed, F.col(col) == F.col("_allowed"), "left_semi")
-    return trimmed.where(F.col(col).isin(list(values)))
+    if not isinstance(values, DataFrame):
+        return trimmed.where(F.col(col).isin(list(values)))
+    allowed = values.toDF(col).dropna().distinct()
+    if allowed.limit(MAX_LISTED + 1).count() <= MAX_LISTED:
+        return match(trimmed, F.broadcast(allowed), [col], "left_semi")
+    return lookup(trimmed, allowed, [col], "left_semi")
 
 
 def coerce_date(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from formlake import schema
 from formlake.functions import parsing
 from formlake.operators import history
-from formlake.operators.skew import KeyScan, lookup, match, with_lookback
+from formlake.operators.skew import KeyScan, lookup, with_lookback
 
 CONTEXT_COLUMNS = [
     "avg_btn_3", "avg_btn_5", "last_pos", "combo_runs", "combo_win_pc", "h_course_runs",
@@ -95,8 +95,8 @@ def latest_context(
 
     Results of horses on no card are dropped before anything is shuffled by horse.
     """
-    wanted = cards.select(F.col(key).alias("_wanted")).distinct()
-    seen = history.join(wanted, F.col(key) == F.col("_wanted"), "left_semi")
+    wanted = cards.select(key).dropna().distinct()
+    seen = lookup(history, wanted, [key], "left_semi")
     newest = _newest(seen, [key], payload, order).withColumn("found", F.lit(True))
     out = lookup(cards, newest.withColumnsRenamed({c: f"ctx_{c}" for c in payload}), [key])
     return out.withColumn("found", F.coalesce("found", F.lit(False)))
@@ -115,8 +115,8 @@ def asof_context(
     Cards and results form one ordered sequence per horse in which a card row takes the last
     result before it, so cost is linear however many cards a horse is on.
     """
-    wanted = cards.select(F.col(key).alias("_wanted")).distinct()
-    seen = history.join(wanted, F.col(key) == F.col("_wanted"), "left_semi")
+    wanted = cards.select(key).dropna().distinct()
+    seen = lookup(history, wanted, [key], "left_semi")
     when, tie = order
     row = F.struct(*[F.col(c) for c in payload])
     past = seen.select(
@@ -153,7 +153,7 @@ def pair_context(
 ) -> DataFrame:
     """Card rows with the newest stored statistics of their trainer and jockey."""
     pairs = cards.select(*keys).distinct()
-    runs = match(results.select("id", "date", *keys), pairs, keys, "left_semi")
+    runs = lookup(results.select("id", "date", *keys), pairs, keys, "left_semi")
     runs = runs.join(synergy.withColumnRenamed("res_id", "id"), "id", "left")
     newest = _newest(runs, keys, payload, order).withColumn("pair_found", F.lit(True))
     out = lookup(cards, newest.withColumnsRenamed({c: f"pair_{c}" for c in payload}), keys)
@@ -179,7 +179,8 @@ def card_history(cards: DataFrame, results: DataFrame) -> DataFrame:
     })
     horses, pairs = cards.select("horse").distinct(), cards.select("trainer", "jockey").distinct()
 
-    of_horses = match(past, horses, ["horse"], "left_semi")
+    past_scan = KeyScan(past)
+    of_horses = lookup(past, horses, ["horse"], "left_semi", past_scan)
     both = asked.unionByName(of_horses, allowMissingColumns=True)
     families = [
         history.form_family(both), history.class_family(both), history.gear_family(),
@@ -189,7 +190,7 @@ def card_history(cards: DataFrame, results: DataFrame) -> DataFrame:
     out = history.add_lookbacks(both, "horse", families, scan, observed="_ran")
     out = history.add_place_stats(out, scan=scan, observed="_ran").where(~F.col("_ran"))
 
-    of_pairs = match(past, pairs, ["trainer", "jockey"], "left_semi")
+    of_pairs = lookup(past, pairs, ["trainer", "jockey"], "left_semi", past_scan)
     out = out.unionByName(of_pairs, allowMissingColumns=True)
     out = history.add_pair_stats(out, observed="_ran").where(~F.col("_ran"))
     out = history.add_race_value(out).withColumn("true_wgt", history.true_weight_of(out))

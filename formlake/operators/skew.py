@@ -21,6 +21,7 @@ from formlake.session import cut_lineage
 
 SPLIT_ROWS_CONF = "formlake.split.rows"
 MAX_KEYS_CONF = "formlake.split.maxKeys"
+MAX_CHUNKS_CONF = "formlake.split.maxChunks"
 
 _CHUNK = "_chunk"
 _HALO = "_halo"
@@ -30,18 +31,29 @@ _HALO = "_halo"
 class SplitPolicy:
     """Keys above ``split_rows`` rows are split, at most the ``max_keys`` largest of them.
 
-    The bound on the number of split keys is what makes their tables broadcastable; a key
-    beyond it has fewer than total/max_keys rows and goes through the plain window.
+    A key beyond that number has fewer than total/max_keys rows and goes through the plain
+    window. Chunks aim at a quarter of ``split_rows`` rows but there are at most ``max_chunks``,
+    beyond which they grow. The two bounds are what makes the tables with one row per split key,
+    or per split key and chunk, broadcastable: at most max_keys + max_chunks rows.
     """
 
     split_rows: int = 2_000_000
     max_keys: int = 10_000
+    max_chunks: int = 20_000
+
+    @property
+    def chunk_rows(self) -> int:
+        return max(1, self.split_rows // 4)
+
+    def chunks(self, n_rows: int) -> int:
+        return min(self.max_chunks, max(2, -(-n_rows // self.chunk_rows)))
 
     @classmethod
     def of(cls, spark: SparkSession) -> SplitPolicy:
         return cls(
             int(spark.conf.get(SPLIT_ROWS_CONF, str(cls.split_rows))),
             int(spark.conf.get(MAX_KEYS_CONF, str(cls.max_keys))),
+            int(spark.conf.get(MAX_CHUNKS_CONF, str(cls.max_chunks))),
         )
 
 
@@ -117,8 +129,7 @@ def ordered_chunks(
     The checkpoint makes the chunk numbers the same for every reader: range bounds are
     sampled, so a second evaluation could cut elsewhere.
     """
-    n = max(2, -(-n_rows // policy.split_rows))
-    ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
+    ranged = df.repartitionByRange(policy.chunks(n_rows), *[F.col(k) for k in keys], *order)
     return cut_lineage(ranged.withColumn(_CHUNK, F.spark_partition_id()))
 
 
@@ -156,12 +167,12 @@ def running_totals(
 ) -> DataFrame:
     """Adds, per output name, the sum of a value over the earlier rows of the same key.
 
-    With no keys the whole table is one ordered sequence, and is always cut into chunks
-    unless it has at most ``split_rows`` rows.
+    With no keys the whole table is one ordered sequence, cut into chunks unless one chunk
+    holds it.
     """
     scan = scan or KeyScan(df)
     if not keys:
-        if scan.rows <= scan.policy.split_rows:
+        if scan.rows <= scan.policy.chunk_rows:
             return _sums_before(df, [], order, totals)
         return _chunked_sums(df, [], order, totals, scan.rows, scan.policy)
     hot = scan.hot(keys)

@@ -20,21 +20,22 @@ def build_features(
 ) -> DataFrame:
     """Results plus the five feature families.
 
-    Three shuffles while no key is over-full: by horse (which also serves horse and course),
-    by trainer and jockey, by race.
+    Three shuffles while no key is over-full: by race, by trainer and jockey, by horse (which
+    also serves horse and course). Rows get wider with every family, so the one that adds one
+    column goes first and the one that adds nine goes last, after the last shuffle.
     """
     scan = KeyScan(results)
     families = [
         history.form_family(results), history.class_family(results),
         history.gear_family(), history.rating_family(),
     ]
-    out = history.add_lookbacks(results, "horse", families, scan, null_keys, observed)
-    out = history.add_place_stats(out, scan=scan, null_keys=null_keys, observed=observed)
+    out = results.withColumn("true_wgt", history.true_weight_of(results))
+    out = history.add_race_value(out, scan=scan).drop("race_value")
     out = history.add_pair_stats(
         out, same_day=same_day, scan=scan, null_keys=null_keys, observed=observed
     )
-    out = history.add_race_value(out, scan=scan).drop("race_value")
-    return out.withColumn("true_wgt", history.true_weight_of(out))
+    out = history.add_lookbacks(out, "horse", families, scan, null_keys, observed)
+    return history.add_place_stats(out, scan=scan, null_keys=null_keys, observed=observed)
 
 
 def _to_matrix(df: DataFrame) -> DataFrame:

@@ -182,11 +182,8 @@ def card_history(cards: DataFrame, results: DataFrame) -> DataFrame:
     past_scan = KeyScan(past)
     of_horses = lookup(past, horses, ["horse"], "left_semi", past_scan)
     both = asked.unionByName(of_horses, allowMissingColumns=True)
-    families = [
-        history.form_family(both), history.class_family(both), history.gear_family(),
-        history.rating_family(),
-    ]
     scan = KeyScan(both)
+    families = history.horse_families(both)
     out = history.add_lookbacks(both, "horse", families, scan, observed="_ran")
     out = history.add_place_stats(out, scan=scan, observed="_ran").where(~F.col("_ran"))
 

@@ -16,7 +16,14 @@ from pyspark.sql import functions as F
 
 from formlake import schema
 from formlake.functions import parsing
-from formlake.operators.skew import KeyScan, running_totals, split_hot, with_group_values, with_lookback
+from formlake.operators.skew import (
+    KeyScan,
+    chunked_totals,
+    running_totals,
+    split_hot,
+    with_group_values,
+    with_lookback,
+)
 
 ORDER = ("date", "id")
 _SOLO = "_solo"
@@ -106,6 +113,11 @@ def rating_family(key: str = "horse") -> Lookback:
     return Lookback({"rating": (F.col("official_rating"), 1)}, outputs)
 
 
+def horse_families(df: DataFrame) -> list[Lookback]:
+    """All families that read back along the horse's runs."""
+    return [form_family(df), class_family(df), gear_family(), rating_family()]
+
+
 def _solo_nulls(df: DataFrame, keys: Sequence[str], null_keys: str) -> tuple[DataFrame, list[str]]:
     """With ``no_history`` every row with a NULL key becomes a key of its own."""
     if null_keys == "shared":
@@ -169,6 +181,15 @@ def add_lookbacks(
     return done.drop(*[f"_now_{name}" for name in fields], "_memory", _SOLO)
 
 
+def narrow(df: DataFrame, *columns: str) -> DataFrame:
+    """Only what a family reads: chunks of over-full keys are written out, and an optimizer
+    cannot prune columns behind that."""
+    wanted = {"id", *columns}
+    if "pos" in wanted and "pos_num" in df.columns:
+        wanted = wanted - {"pos"} | {"pos_num"}
+    return df.select(*[c for c in df.columns if c in wanted])
+
+
 def _table(df: DataFrame, columns: Sequence[str], id_name: str = "res_id") -> DataFrame:
     return df.select(F.col("id").alias(id_name), *columns)
 
@@ -178,7 +199,8 @@ def recent_form(
     null_keys: str = "shared",
 ) -> DataFrame:
     """Mean margin of the last 3 and 5 runs, days since the last run and its position."""
-    out = add_lookbacks(df, key, [form_family(df, short, long, fill)], null_keys=null_keys)
+    runs = narrow(df, "date", key, "pos", "btn")
+    out = add_lookbacks(runs, key, [form_family(runs, short, long, fill)], null_keys=null_keys)
     return _table(out, [f"avg_btn_{short}", f"avg_btn_{long}", "days_since_last", "last_pos"])
 
 
@@ -186,16 +208,19 @@ def class_moves(
     df: DataFrame, key: str = "horse", window: int = 3, null_keys: str = "shared"
 ) -> DataFrame:
     """Class change against the previous run and the mean of up to three previous classes."""
-    out = add_lookbacks(df, key, [class_family(df, window)], null_keys=null_keys)
+    runs = narrow(df, "date", key, "class")
+    out = add_lookbacks(runs, key, [class_family(runs, window)], null_keys=null_keys)
     return _table(out, ["class_diff", f"avg_class_{window}"])
 
 
 def gear_change(df: DataFrame, key: str = "horse") -> DataFrame:
-    return _table(add_lookbacks(df, key, [gear_family(key)]), ["gear_change"], "id")
+    runs = narrow(df, "date", key, "hg")
+    return _table(add_lookbacks(runs, key, [gear_family(key)]), ["gear_change"], "id")
 
 
 def rating_change(df: DataFrame, key: str = "horse") -> DataFrame:
-    return _table(add_lookbacks(df, key, [rating_family(key)]), ["or_change"], "id")
+    runs = narrow(df, "date", key, "official_rating")
+    return _table(add_lookbacks(runs, key, [rating_family(key)]), ["or_change"], "id")
 
 
 def true_weight_of(df: DataFrame) -> Column:
@@ -216,15 +241,18 @@ def add_race_value(df: DataFrame, group: str = "race_id", scan: KeyScan | None =
 
 def race_value(df: DataFrame, group: str = "race_id") -> DataFrame:
     """Largest prize of the race, the same for all its runners, and its log1p."""
-    return add_race_value(df, group).select("id", "race_value", "log_prize")
+    return add_race_value(narrow(df, group, "prize"), group).select("id", "race_value", "log_prize")
 
 
 def micro_features(df: DataFrame, key: str = "horse", group: str = "race_id") -> DataFrame:
     """Gear change, rating change, true weight and log prize, one row per result."""
-    scan = KeyScan(df)
-    out = add_lookbacks(df, key, [gear_family(key), rating_family(key)], scan)
-    out = add_race_value(out, group, scan)
-    return out.select("id", "gear_change", "or_change", true_weight_of(out).alias("true_wgt"), "log_prize")
+    runs = narrow(
+        df, "date", key, group, "hg", "official_rating", "prize", "wgt", "wgt_lbs", "jockey_allowance"
+    )
+    scan = KeyScan(runs)
+    out = add_race_value(runs.withColumn("true_wgt", true_weight_of(runs)), group, scan)
+    out = add_lookbacks(out, key, [gear_family(key), rating_family(key)], scan)
+    return out.select("id", *schema.MICRO_COLUMNS)
 
 
 def _flags(df: DataFrame, places: int, observed: str | None) -> dict[str, Column]:
@@ -263,7 +291,8 @@ def entity_place_stats(
     df: DataFrame, keys: Sequence[str] = ("horse", "course"), places: int = 3, null_keys: str = "shared"
 ) -> DataFrame:
     """Earlier runs, wins and place rate of the entity at the place, over its whole life."""
-    return _table(add_place_stats(df, keys, places, null_keys=null_keys), schema.COURSE_COLUMNS)
+    runs = narrow(df, "date", *keys, "pos")
+    return _table(add_place_stats(runs, keys, places, null_keys=null_keys), schema.COURSE_COLUMNS)
 
 
 def _trailing_plain(df, keys, days, same_day, flags) -> DataFrame:
@@ -300,10 +329,10 @@ def _trailing_split(df, keys, days, same_day, flags, scan, hot) -> DataFrame:
     stream = rows.withColumn("_row", F.lit(1)).unionByName(
         changes.withColumn("_row", F.lit(0)), allowMissingColumns=True
     )
-    # A key here has all its rows plus at most two changes per day.
-    out = running_totals(
+    # A key here has all its rows plus at most two changes per day, and every key is over-full.
+    out = chunked_totals(
         stream, keys, [F.col("_day"), F.col("_row"), F.col("id")],
-        {f"_sum{k}": F.col(k) for k in flags}, KeyScan(stream, scan.policy),
+        {f"_sum{k}": F.col(k) for k in flags}, hot.n_rows, scan.policy,
     )
     return out.where("_row = 1").drop("_row", *flags)
 
@@ -351,4 +380,5 @@ def pair_trailing_stats(
     A run exactly ``days`` old still counts. Earlier rows of the same day count unless
     ``same_day='exclude'``.
     """
-    return _table(add_pair_stats(df, keys, days, same_day, null_keys=null_keys), schema.SYNERGY_COLUMNS)
+    runs = narrow(df, "date", *keys, "pos")
+    return _table(add_pair_stats(runs, keys, days, same_day, null_keys=null_keys), schema.SYNERGY_COLUMNS)

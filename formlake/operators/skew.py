@@ -140,7 +140,11 @@ def _sums_before(df: DataFrame, part: Sequence[str], order, totals: dict[str, Co
     })
 
 
-def _chunked_sums(df, keys, order, totals, n_rows, policy) -> DataFrame:
+def chunked_totals(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], totals: dict[str, Column], n_rows: int,
+    policy: SplitPolicy,
+) -> DataFrame:
+    """``running_totals`` where all keys are split; ``n_rows`` only sets the number of chunks."""
     parts = ordered_chunks(df, keys, order, n_rows, policy)
     per_chunk = parts.groupBy(*keys, _CHUNK).agg(
         *[F.sum(value).alias(f"_t_{name}") for name, value in totals.items()]
@@ -174,13 +178,13 @@ def running_totals(
     if not keys:
         if scan.rows <= scan.policy.chunk_rows:
             return _sums_before(df, [], order, totals)
-        return _chunked_sums(df, [], order, totals, scan.rows, scan.policy)
+        return chunked_totals(df, [], order, totals, scan.rows, scan.policy)
     hot = scan.hot(keys)
     if hot is None:
         return _sums_before(df, keys, order, totals)
     cold_rows, hot_rows = split_hot(df, hot)
     return _sums_before(cold_rows, keys, order, totals).unionByName(
-        _chunked_sums(hot_rows, keys, order, totals, hot.n_rows, scan.policy)
+        chunked_totals(hot_rows, keys, order, totals, hot.n_rows, scan.policy)
     )
 
 

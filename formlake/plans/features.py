@@ -12,30 +12,57 @@ from formlake.operators.cleaning import fill_nulls, type_filter
 from formlake.operators.skew import KeyScan
 
 
+FAMILY_KEYS = (["race_id"], ["trainer", "jockey"], ["horse"], ["horse", "course"])
+
+
 def build_features(
     results: DataFrame,
     same_day: str = "earlier_rows",
     null_keys: str = "shared",
-    observed: str | None = None,
 ) -> DataFrame:
     """Results plus the five feature families.
 
     Three shuffles while no key is over-full: by race, by trainer and jockey, by horse (which
     also serves horse and course). Rows get wider with every family, so the one that adds one
     column goes first and the one that adds nine goes last, after the last shuffle.
+
+    With over-full keys every family is computed from its own few columns and joined by id:
+    chunks are written out, and in one long chain each family would repeat the ones before it.
     """
     scan = KeyScan(results)
-    families = [
-        history.form_family(results), history.class_family(results),
-        history.gear_family(), history.rating_family(),
-    ]
+    if any([scan.hot(keys) is not None for keys in FAMILY_KEYS]):
+        return _build_by_family(results, same_day, null_keys, scan)
     out = results.withColumn("true_wgt", history.true_weight_of(results))
     out = history.add_race_value(out, scan=scan).drop("race_value")
-    out = history.add_pair_stats(
-        out, same_day=same_day, scan=scan, null_keys=null_keys, observed=observed
+    out = history.add_pair_stats(out, same_day=same_day, scan=scan, null_keys=null_keys)
+    out = history.add_lookbacks(out, "horse", history.horse_families(results), scan, null_keys)
+    return history.add_place_stats(out, scan=scan, null_keys=null_keys)
+
+
+def _build_by_family(
+    results: DataFrame, same_day: str, null_keys: str, scan: KeyScan
+) -> DataFrame:
+    def part(*columns: str) -> DataFrame:
+        return history.narrow(results, *columns)
+
+    race = history.add_race_value(part("race_id", "prize"), scan=scan)
+    pair = history.add_pair_stats(
+        part("date", "trainer", "jockey", "pos"), same_day=same_day, scan=scan, null_keys=null_keys
     )
-    out = history.add_lookbacks(out, "horse", families, scan, null_keys, observed)
-    return history.add_place_stats(out, scan=scan, null_keys=null_keys, observed=observed)
+    runs = part("date", "horse", "pos", "btn", "class", "hg", "official_rating")
+    horse = history.add_lookbacks(runs, "horse", history.horse_families(runs), scan, null_keys)
+    course = history.add_place_stats(
+        part("date", "horse", "course", "pos"), scan=scan, null_keys=null_keys
+    )
+    out = results.withColumn("true_wgt", history.true_weight_of(results))
+    for table, columns in (
+        (race, ["log_prize"]),
+        (pair, schema.SYNERGY_COLUMNS),
+        (horse, [*schema.FORM_COLUMNS, *schema.CLASS_COLUMNS, "gear_change", "or_change"]),
+        (course, schema.COURSE_COLUMNS),
+    ):
+        out = out.join(table.select("id", *columns), "id")
+    return out
 
 
 def _to_matrix(df: DataFrame) -> DataFrame:

@@ -118,11 +118,19 @@ def win_place_flags(df: DataFrame, places: int = 3) -> DataFrame:
     })
 
 
+TYPES = ("Flat", "AWT")
+
+
+def type_matches(patterns: Sequence[str] = TYPES) -> Column:
+    """The type contains one of the patterns, in any case."""
+    return reduce(lambda a, b: a | b, [F.col("type").ilike(f"%{p}%") for p in patterns])
+
+
 def type_filter(
-    df: DataFrame, patterns: Sequence[str] = ("Flat", "AWT"), required: Sequence[str] = ("avg_btn_3",)
+    df: DataFrame, patterns: Sequence[str] = TYPES, required: Sequence[str] = ("avg_btn_3",)
 ) -> DataFrame:
-    """Rows whose type contains a pattern, in any case, and whose required columns are set."""
-    wanted = reduce(lambda a, b: a | b, [F.col("type").ilike(f"%{p}%") for p in patterns])
+    """Rows of matching type whose required columns are set."""
+    wanted = type_matches(patterns)
     for name in required:
         wanted = wanted & F.col(name).isNotNull()
     return df.where(wanted)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from formlake import schema
 from formlake.functions import parsing
 from formlake.operators import history
-from formlake.operators.cleaning import fill_nulls, type_filter
+from formlake.operators.cleaning import fill_nulls, type_filter, type_matches
 from formlake.operators.skew import KeyScan
 
 
@@ -65,18 +65,19 @@ def _build_by_family(
     return out
 
 
-def _to_matrix(df: DataFrame) -> DataFrame:
-    kept = type_filter(df)
-    pos = F.col("pos_num") if "pos_num" in df.columns else parsing.position_number("pos")
+def _to_matrix(kept: DataFrame) -> DataFrame:
+    pos = F.col("pos_num") if "pos_num" in kept.columns else parsing.position_number("pos")
     kept = kept.withColumn("target_win", parsing.is_win(pos))
-    if "wgt_lbs" not in df.columns:
+    if "wgt_lbs" not in kept.columns:
         kept = kept.withColumn("wgt_lbs", parsing.parse_weight("wgt"))
     return fill_nulls(kept.select(*schema.MATRIX_COLUMNS), {c: 0 for c in schema.MICRO_COLUMNS})
 
 
 def build_matrix(results: DataFrame) -> DataFrame:
     """The training matrix straight from results: no feature tables, no id joins."""
-    return _to_matrix(build_features(results))
+    # The type is needed once, so a flag travels through the shuffles instead of the text.
+    flagged = results.withColumn("_kept", type_matches()).drop("type")
+    return _to_matrix(build_features(flagged).where("_kept AND avg_btn_3 IS NOT NULL"))
 
 
 def assemble_matrix(
@@ -91,4 +92,4 @@ def assemble_matrix(
     out = results
     for table in (synergy, course, form, class_):
         out = out.join(table.withColumnRenamed("res_id", "id"), "id")
-    return _to_matrix(out.join(micro, "id", "left"))
+    return _to_matrix(type_filter(out.join(micro, "id", "left")))

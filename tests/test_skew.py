@@ -125,3 +125,16 @@ def test_asof_lookup_with_a_large_horse(spark, split_rows):
     split = asof_context(cards, past, payload=["x"]).collect()
     assert len(plain) == 600 and sorted(plain, key=str) == sorted(split, key=str)
     assert any(r["ctx_x"] is not None for r in plain)
+
+
+def test_results_view_with_split_orders(spark, split_rows):
+    from conftest import SF
+
+    from formlake import fixtures
+
+    fixtures.register_tables(spark, SF)
+    plain = spark.sql(fixtures.RESULTS_SQL)
+    split_rows(10)
+    split = fixtures.results_view(spark, SF)
+    assert split.dtypes == plain.dtypes
+    same(split, plain)

@@ -1,10 +1,11 @@
 """MinHash near-duplicate groups: universal hash minima, bands, verification, connected components.
 
 Texts with equal sets of shingles are one class. Classes that agree in a band share a bucket. A bucket is
-never expanded into all its pairs: every class is compared with one pivot of the bucket, the classes that
-this links become components, and only classes of one bucket that are still in different components are
-then compared with each other, the largest component of a bucket only with the others. A pair inside a
-component can't change it, so no link that matters is lost.
+never expanded into its pairs. First every class is compared with the pivot (of its up to 32 buckets) that
+it shares most buckets with, and the links found are drawn together. Buckets whose classes are by then in one
+component are done: a pair inside a component can't change it. In the others, blocks of classes are compared
+with each other inside one task, which gives out links only; a block of one component is not compared with
+another block of the same.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from formlake.llm import words as W
@@ -26,6 +27,10 @@ BANDS, ROWS = 32, 4
 PERCENT = 75
 #: A pair is read whole if 55 % of its 128 minima agree: at similarity 0.75 fewer do with probability 2e-7.
 MIN_AGREEING = 0.55
+#: Classes are compared in blocks of about so many bytes of shingles, and so many classes.
+BLOCK_BYTES, BLOCK_CLASSES = 256 << 10, 256
+#: From so many classes of one component in a bucket on, they have blocks of their own.
+PURE_MEMBERS = 16
 
 _U = np.uint64
 _random = np.random.default_rng(7)
@@ -101,12 +106,12 @@ def _sketcher(k: int):
 
 
 def _agreeing(batches):
-    """Pairs of which enough minima agree; of each only the low byte is kept, so 1 in 256 agrees by chance."""
+    """Pairs of which enough minima agree."""
     for batch in batches:
         a, b = (np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(c)])
                 if batch.num_rows else np.zeros((0, 1)) for c in ("sa", "sb"))
         share = (a == b).mean(axis=1)
-        yield batch.select(["a", "b"]).filter(pa.array(share >= MIN_AGREEING + (1 - MIN_AGREEING) / 256))
+        yield batch.select(["a", "b"]).filter(pa.array(share >= _least_agreement()))
 
 
 def _confirmer(k: int, percent: int):
@@ -122,99 +127,196 @@ def _confirmer(k: int, percent: int):
     return confirm
 
 
-def _keyed(k: int):
-    """Drops rows whose text isn't that of the wanted class (ids can repeat)."""
+def _whole(k: int):
+    """The text and the set of each wanted class; drops rows whose text is another's (ids can repeat)."""
 
     def check(batches):
         for part in W.slices(batches, "text"):
-            found = [set_key(s) for s in distinct_sets(part.column("text"), k)]
-            same = pa.array([f == w for f, w in zip(found, part.column("set_key").to_pylist(), strict=True)], pa.bool_())
-            yield part.select(["set_key", "text"]).filter(same)
+            sets = distinct_sets(part.column("text"), k)
+            same = [set_key(s) == w for s, w in zip(sets, part.column("set_key").to_pylist(), strict=True)]
+            out = part.select(["set_key", "text"]).append_column("shingles", pa.array([s.tobytes() for s in sets], pa.binary()))
+            yield out.filter(pa.array(same, pa.bool_()))
 
     return check
 
 
+def _texts(classes: DataFrame, signed: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(set_key, text, shingles) of these classes; the text is that of any document of the class."""
+    owners = signed.groupBy("set_key").agg(F.min("doc_id").alias("wanted")).join(classes, "set_key", "left_semi")
+    owners = store(owners, "owners")
+    same = F.col("doc_id").eqNullSafe(F.col("wanted"))
+    texts = docs.select("doc_id", "text").join(sized(owners), same).select("set_key", "text")
+    return texts.mapInArrow(_whole(k), "set_key long, text string, shingles binary")
+
+
+def _sketches(classes: DataFrame, signed: DataFrame) -> DataFrame:
+    rows = signed.where("signature is not null").select("set_key", "bands", "signature")
+    return rows.join(classes, "set_key", "left_semi").dropDuplicates(["set_key"])
+
+
+def _block(column: pa.ListArray, i: int):
+    """(keys, roots, buckets, signatures, sets) of the block in row i."""
+    rows = column.values.slice(column.offsets[i].as_py(), column.offsets[i + 1].as_py() - column.offsets[i].as_py())
+    field = {n: rows.field(n) for n in ("set_key", "root", "bands", "signature", "shingles")}
+    sets = [np.frombuffer(x.as_buffer(), _U) for x in field["shingles"]]
+    return (
+        field["set_key"].to_numpy(), field["root"].to_numpy(),
+        np.array(field["bands"].to_pylist(), np.int64).reshape(len(sets), BANDS),
+        np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in field["signature"]]), sets,
+    )
+
+
+def _least_agreement() -> float:
+    """Only the low byte of a minimum is kept, so 1 in 256 agrees by chance."""
+    return MIN_AGREEING + (1 - MIN_AGREEING) / 256
+
+
+def _between_blocks(percent: int):
+    """Links between classes of different components in two blocks of a bucket.
+
+    A pair is looked at only in its first common bucket.
+    """
+
+    def compare(batches):
+        for batch in batches:
+            links: list[tuple[int, int]] = []
+            lefts, rights = batch.column("left"), batch.column("right")
+            for i, (bucket, same) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("same").to_pylist(),
+                                                   strict=True)):
+                ka, ra, ba, sa, xa = _block(lefts, i)
+                kb, rb, bb, sb, xb = _block(rights, i)
+                na, nb = np.array([len(x) for x in xa]), np.array([len(x) for x in xb])
+                mask = (ra[:, None] != rb) & (100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb))
+                if same:
+                    mask &= ka[:, None] < kb
+                x, y = np.nonzero(mask)
+                for at in range(0, len(x), 1 << 16):
+                    p, q = x[at:at + (1 << 16)], y[at:at + (1 << 16)]
+                    common = ba[p] == bb[q]
+                    first = ba[p, common.argmax(axis=1)] == bucket
+                    p, q = p[first], q[first]
+                    likely = (sa[p] == sb[q]).mean(axis=1) >= _least_agreement()
+                    for i_a, i_b in zip(p[likely].tolist(), q[likely].tolist(), strict=True):
+                        both = len(np.intersect1d(xa[i_a], xb[i_b], assume_unique=True))
+                        if 100 * both >= percent * (na[i_a] + nb[i_b] - both):
+                            links.append((int(ka[i_a]), int(kb[i_b])))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], ["a", "b"])
+
+    return compare
+
+
 def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that are links, judged on whole texts."""
-    ends = pairs.select(F.col("a").alias("set_key")).union(pairs.select(F.col("b").alias("set_key"))).distinct()
-    sketches = (
-        signed.where("signature is not null").select("set_key", "signature").join(ends, "set_key", "left_semi")
-        .dropDuplicates(["set_key"])
-    )
-    both = pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b")
+
+    def ends(of: DataFrame) -> DataFrame:
+        return of.select(F.col("a").alias("set_key")).union(of.select(F.col("b").alias("set_key"))).distinct()
+
+    signatures = _sketches(ends(pairs), signed).select("set_key", "signature")
+    both = pairs.join(signatures.toDF("a", "sa"), "a").join(signatures.toDF("b", "sb"), "b")
     likely = store(both.mapInArrow(_agreeing, "a long, b long"), "likely")
-    # The text of a class is that of any of its documents.
-    ends = likely.select(F.col("a").alias("set_key")).union(likely.select(F.col("b").alias("set_key"))).distinct()
-    owners = signed.groupBy("set_key").agg(F.min("doc_id").alias("wanted")).join(ends, "set_key", "left_semi")
-    owners = store(owners, "owners")
-    same = F.col("doc_id").eqNullSafe(F.col("wanted"))
-    texts = docs.select("doc_id", "text").join(sized(owners), same)
-    texts = texts.select("set_key", "text").mapInArrow(_keyed(k), "set_key long, text string")
+    texts = _texts(ends(likely), signed, docs, k).select("set_key", "text")
     texts = store(texts.dropDuplicates(["set_key"]), "texts")
     both = likely.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
     links = store(both.mapInArrow(_confirmer(k, percent), "a long, b long"), "links")
-    release(likely, owners, texts)
+    release(likely, texts)
     return links
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, max_turns: int | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b), root being the least node it can reach.
 
     Alternates large-star (every larger neighbour is tied to the least neighbour) and small-star (all
     smaller neighbours are) until nothing changes. Both are a grouped minimum and a join, so a node with
-    many neighbours is combined before the shuffle and its join can be split.
+    many neighbours is combined before the shuffle and its join can be split. With ``max_turns`` it stops
+    early, and nodes with equal roots are in one component but not the other way round.
     """
 
-    def state(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    links = store(links, "edges")
-    before = state(links)
-    while before[0]:
+    links, before = _stored_edges(links)
+    turns = 0
+    while before[0] and turns != max_turns:
         both = links.union(links.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = store(large, "large-star")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = store(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        after = state(small)
-        release(links, large)
-        links = small
+        small, after = _stored_edges(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        release(links)
+        links, turns = small, turns + 1
         if after == before:
             break
         before = after
+    if max_turns is not None:  # not finished: each node goes with its least neighbour
+        return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
 
 
-def _first_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every class with the pivot it shares most buckets with, and all the other classes with their pivots."""
+def _stored_edges(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Writes edges, and counts and sums them up on the way: equal figures mean that nothing changed."""
+    seen = Observation()
+    edges = edges.observe(
+        seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+    edges = store(edges, "edges")
+    return edges, (seen.get["n"], seen.get["sum"])
+
+
+def _first_pairs(members: DataFrame) -> DataFrame:
+    """Every class with the pivot it shares most buckets with."""
     shared = members.where("set_key <> pivot").groupBy("set_key", "pivot").agg(F.count(F.lit(1)).alias("n"))
     best = Window.partitionBy("set_key").orderBy(F.desc("n"), "pivot")
-    return shared.withColumn("place", F.row_number().over(best)).where("place = 1").select(
-        F.col("set_key").alias("a"), F.col("pivot").alias("b"))
-
-
-def _open_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of classes that share a bucket and lie in different components."""
-    placed = members.select("bucket", "set_key").join(
-        roots.withColumnRenamed("node", "set_key"), "set_key", "left"
-    ).select("bucket", "set_key", F.coalesce("root", "set_key").alias("root"))
-    sizes = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    in_bucket = Window.partitionBy("bucket")
-    sizes = sizes.withColumns({
-        "parts": F.count(F.lit(1)).over(in_bucket),
-        "place": F.row_number().over(in_bucket.orderBy(F.desc("n"), "root")),
-    }).where("parts > 1")
-    placed = store(placed.join(sizes.select("bucket", "root", "place"), ["bucket", "root"]), "placed")
-    minor = placed.where("place > 1").select(
-        "bucket", F.col("set_key").alias("x"), F.col("root").alias("xr"))
-    others = placed.select("bucket", F.col("set_key").alias("y"), F.col("root").alias("yr"), "place")
-    pairs = minor.join(others, "bucket").where("xr <> yr and (place = 1 or x < y)")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    first = shared.withColumn("place", F.row_number().over(best)).where("place = 1")
+    return first.select(F.least("set_key", "pivot").alias("a"), F.greatest("set_key", "pivot").alias("b")).distinct()
+
+
+def _open_buckets(members: DataFrame, roots: DataFrame, first: DataFrame) -> DataFrame:
+    """(bucket, set_key, root) of buckets that hold several components and pairs not yet looked at."""
+    placed = members.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select(
+        "bucket", "set_key", "pivot", F.coalesce("root", "set_key").alias("root"))
+    placed = store(placed, "placed")
+    other = F.when(F.col("set_key") != F.col("pivot"), F.col("set_key"))
+    buckets = placed.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"),
+        F.max("pivot").alias("pivot"), F.max(other).alias("other"),
+    ).where("low <> high")
+    pair = buckets.select("bucket", "n", F.least("pivot", "other").alias("a"), F.greatest("pivot", "other").alias("b"))
+    done = first.select("a", "b", F.lit(True).alias("done"))
+    still = pair.join(done, ["a", "b"], "left").where("n > 2 or done is null").select("bucket")
+    return placed.select("bucket", "set_key", "root").join(still, "bucket", "left_semi")
+
+
+def _open_links(placed: DataFrame, signed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between different components within the open buckets."""
+    placed = store(placed, "open")
+    classes = placed.select("set_key").distinct()
+    sets = _texts(classes, signed, docs, k).select("set_key", "shingles").dropDuplicates(["set_key"])
+    members = placed.join(store(sets.join(_sketches(classes, signed), "set_key"), "sets"), "set_key")
+    # Classes of a component with many members in the bucket share blocks, which never meet each other.
+    own = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {PURE_MEMBERS}")
+    members = members.join(own.select("bucket", "root", F.col("root").alias("pure")), ["bucket", "root"], "left")
+    members = store(members, "open-members")
+    parts = members.groupBy("bucket", "pure").agg(
+        F.greatest(F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES))
+        .alias("parts"))
+    key = (F.col("m.bucket") == F.col("p.bucket")) & F.col("m.pure").eqNullSafe(F.col("p.pure"))
+    row = F.struct("set_key", "root", "bands", "signature", "shingles")
+    blocks = members.alias("m").join(parts.alias("p"), key).select(
+        "m.bucket", "m.pure", F.pmod(F.xxhash64("set_key"), "parts").alias("part"), row.alias("row"))
+    blocks = blocks.groupBy("bucket", "pure", "part").agg(F.collect_list("row").alias("rows"))
+    blocks = store(blocks.withColumn("block", F.xxhash64("pure", "part")), "blocks")
+    left, right = blocks.alias("l"), blocks.alias("r")
+    meet = (
+        (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.block") <= F.col("r.block"))
+        & ~F.coalesce(F.col("l.pure") == F.col("r.pure"), F.lit(False))
+    )
+    pairs = left.join(right, meet).select(
+        "l.bucket", (F.col("l.block") == F.col("r.block")).alias("same"), F.col("l.rows").alias("left"),
+        F.col("r.rows").alias("right"))
+    links = store(pairs.mapInArrow(_between_blocks(percent), "a long, b long"), "open-links")
+    release(members, blocks)
+    return links
 
 
 def near_duplicates(
@@ -244,13 +346,10 @@ def near_duplicates(
 
     first = store(_first_pairs(members), "first-pairs")
     links = _confirmed(first, signed, docs, k, percent)
-    roots = store(components(links), "roots")
-    rest = store(_open_pairs(members, roots).join(
-        first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"
-    ), "open-pairs")
-    more = _confirmed(rest, signed, docs, k, percent)
-    joined = store(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "components")
-    release(members, first, rest)
+    roots = store(components(links, max_turns=2), "roots")
+    more = _open_links(_open_buckets(members, roots, first), signed, docs, k, percent)
+    joined = store(components(links.union(more)), "components")
+    release(members, first)
 
     ids = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least_id"))
     ids = ids.join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn(

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formlake.llm import near_dup
+from formlake.llm import best_fit, bitpack, near_dup, ppm
+from formlake.llm.tokens import public_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,20 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(_table(spark, sf_dir, "documents"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.best_fit(_table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), end_id=2)
+
+
+def op8_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitpack.packed_documents(_table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_near_duplicates,)
+    f.__name__: f for f in (op2_near_duplicates, op4_ppm_scores, op6_best_fit_packing, op8_packed_tokens)
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -174,10 +174,18 @@ def _least_agreement() -> float:
 def _between_blocks(percent: int):
     """Links between classes of different components in two blocks of a bucket.
 
-    A pair is looked at only in its first common bucket.
+    A pair is looked at only in its first common bucket. Components that a task has found linked count as one
+    from then on: a task gives out no more links than it takes to join them.
     """
 
     def compare(batches):
+        joined: dict[int, int] = {}
+
+        def top(root: int) -> int:
+            while joined.get(root, root) != root:
+                joined[root] = root = joined.get(joined[root], joined[root])
+            return root
+
         for batch in batches:
             links: list[tuple[int, int]] = []
             lefts, rights = batch.column("left"), batch.column("right")
@@ -197,9 +205,13 @@ def _between_blocks(percent: int):
                     p, q = p[first], q[first]
                     likely = (sa[p] == sb[q]).mean(axis=1) >= _least_agreement()
                     for i_a, i_b in zip(p[likely].tolist(), q[likely].tolist(), strict=True):
+                        r, s = top(int(ra[i_a])), top(int(rb[i_b]))
+                        if r == s:
+                            continue
                         both = len(np.intersect1d(xa[i_a], xb[i_b], assume_unique=True))
                         if 100 * both >= percent * (na[i_a] + nb[i_b] - both):
                             links.append((int(ka[i_a]), int(kb[i_b])))
+                            joined[r] = s
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], ["a", "b"])
 

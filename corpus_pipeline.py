@@ -1,4 +1,8 @@
-"""The training-data pipeline: stages over documents, each written and read again."""
+"""The training-data pipeline over documents: each stage works on all that its predecessor kept.
+
+Every stage is written to the shared scratch folder and read again. All but the last return the columns of
+documents; the last returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +10,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from formlake.llm import best_fit, decontam, near_dup, quality
+from formlake.llm.tokens import public_path
 from formlake.session import scratch_path
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules don't reject; null, empty and blank texts are rejected."""
+    return quality.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the least doc_id."""
+    return near_dup.without_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no item of the benchmark table."""
+    return decontam.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All tokens of the remaining documents in sequences of at most 1024."""
+    return best_fit.best_fit(docs, public_path("byte_bpe_50k.json"), end_id=2)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: Near duplicates, tiling and tokens can't be expressed in SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, name)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from formlake.llm import words as W
-from formlake.llm.common import distinct_names, release, sized, store
+from formlake.llm.common import distinct_names, is_small, release, sized, store
 
 SHINGLE = 5
 #: 32 bands of 4 minima: two texts of similarity 0.75 miss all bands with probability 5e-6.
@@ -334,7 +334,8 @@ def _open_links(placed: DataFrame, signed: DataFrame, docs: DataFrame, k: int, p
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept, and text_hash (``xxhash64`` of the text).
+    """One row per input row: doc_id, n_shingles, component_id, kept, text_hash (``xxhash64`` of the text) and
+    component_key (equal within a component; null without words).
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. A text with fewer than ``k`` words has its whole
     sequence as its only shingle. Null, empty and blank texts have no shingles, no links, and form a
@@ -367,11 +368,38 @@ def near_duplicates(
     ids = ids.join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn(
         "root", F.coalesce("root", "set_key"))
     named = ids.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    # Classes that are alone need no lookup; the rest is one row per linked class.
-    linked = ids.join(named, "root").select("set_key", "component_id")
+    linked = ids.join(named, "root").select("set_key", "component_id", F.col("root").alias("component_key"))
     out = signed.select("doc_id", "text_hash", "n_shingles", "set_key").join(linked, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash",
+        F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", "component_key",
     )
+
+
+def without_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
+    """The rows of ``df``, unchanged: one of each component of ``near_duplicates``, that with its least id.
+
+    If several rows have that id, one of those with the least hash of the text stays. Rows without words are
+    in no component; of those with equal ids one stays.
+    """
+    found = store(near_duplicates(df, id_col, text_col, k, percent), "near-duplicates")
+    rows = found.groupBy("doc_id", "component_key", "text_hash", "kept").agg(F.count(F.lit(1)).alias("n"))
+    first = Window.partitionBy("doc_id", "component_key").orderBy("text_hash")
+    rows = store(rows.withColumn("stays", F.col("kept") & (F.row_number().over(first) == 1)), "verdicts")
+    text_hash = F.xxhash64(df[text_col])
+
+    def same(other: DataFrame):
+        return df[id_col].cast("long").eqNullSafe(other["doc_id"]) & (text_hash == other["text_hash"])
+
+    gone = sized(rows.where("not stays").select("doc_id", "text_hash").distinct())
+    out = df.join(gone, same(gone), "left_anti")
+    repeated = rows.where("stays and n > 1").select("doc_id", "text_hash").distinct()
+    if is_small(repeated, 0):
+        return out
+    repeated = sized(repeated)
+    keys = {"_near_id": df[id_col], "_near_hash": text_hash}
+    one = out.join(repeated, same(repeated), "left_semi").withColumns(keys).dropDuplicates(list(keys)).drop(*keys)
+    return out.join(repeated, same(repeated), "left_anti").unionByName(one)

@@ -109,7 +109,18 @@ def quality(
     n_stop_words. Null, empty and blank texts have no words, so they fail the base verdict and
     aren't kept. Repeated rows are judged each; an empty table gives an empty table. Extra columns are ignored.
     """
-    docs = distinct_names(df, doc_id=id_col, text=text_col)
+    return _judged(distinct_names(df, doc_id=id_col, text=text_col), rules)
+
+
+def keep_good(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The rows of ``df``, unchanged, that ``quality`` keeps."""
+    judged = _judged(df.select(F.struct(*[df[c] for c in df.columns]).alias("doc_id"), df[text_col].alias("text")), rules)
+    # A filter is not moved below a row number; below, all counts would be computed where each is used.
+    judged = judged.select("doc_id", "kept", F.monotonically_increasing_id().alias("row"))
+    return judged.where("kept").select("doc_id.*")
+
+
+def _judged(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(
         "doc_id", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"),

@@ -141,13 +141,15 @@ class Table:
     """Places of 64-bit keys: keys are kept in order of a hash whose top bits lead to them."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(1, (2 * len(keys)).bit_length())
+        self.bits = max(1, len(keys).bit_length())
         slot = self._slot(keys)
         self.order = np.argsort(slot, kind="stable").astype(np.int32)
         self.keys = keys[self.order]
         counts = np.bincount(slot, minlength=1 << self.bits)
+        del slot
         self.longest = int(counts.max()) if len(keys) else 0
-        self.first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        self.first = np.zeros((1 << self.bits) + 1, np.int32)
+        np.cumsum(counts, out=self.first[1:])
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * _FIBONACCI) >> _U(64 - self.bits)).view(np.int64)
@@ -226,8 +228,9 @@ def build_block(
         weight = np.add.reduceat(n, starts) if len(code) else np.zeros(0, np.int64)
         sums[j] = context[starts], weight, size
         pair_keys.append(_tagged(code, j))
-        first.append(_safe_log(n) - _safe_log(np.repeat(weight + size, size)))
-        count.append(_safe_log(n))
+        logs = _safe_log(n)
+        first.append((logs - np.repeat(_safe_log(weight + size), size)).astype(np.float32))
+        count.append(logs.astype(np.float32))
         if j:
             shorter_code, shorter_n = levels[j - 1]
             here = np.searchsorted(shorter_code, code % _U(BASE ** j))
@@ -240,12 +243,17 @@ def build_block(
             shorter.append(np.where(fresh > 0, _safe_log(fresh) - _safe_log(rest + fresh), 0.0))
     seen = len(levels[0][0])
     weight = int(levels[0][1].sum())
-    pairs, nodes = Table(np.concatenate(pair_keys)), Table(np.concatenate(node_keys))
+    levels.clear(), sums.clear()  # the driver holds no more than it needs
+    nodes = Table(np.concatenate(node_keys))
+    node_values = [nodes.arrange(np.concatenate(x)) for x in (escape, total, shorter)]
+    for x in (node_keys, escape, total, shorter):
+        x.clear()
+    pairs = Table(np.concatenate(pair_keys))
+    pair_keys.clear()
+    pair_values = [pairs.arrange(np.concatenate(x)) for x in (first, count)]
+    pairs.order = nodes.order = None
     return Block(
-        order, classes, pairs, pairs.arrange(np.concatenate(first)).astype(np.float32),
-        pairs.arrange(np.concatenate(count)).astype(np.float32), nodes,
-        nodes.arrange(np.concatenate(escape)), nodes.arrange(np.concatenate(total)),
-        nodes.arrange(np.concatenate(shorter)),
+        order, classes, pairs, *pair_values, nodes, *node_values,
         math.log10(seen / (weight + seen)) if seen else 0.0, -math.log10(max(1, BASE - 1 - seen)),
     )
 
@@ -324,8 +332,9 @@ def _blocks(counts: DataFrame, order: int, block_entries: int):
         if not whole:  # tails that were not seen go to the block around them
             classes = np.zeros(BASE ** 2, bool)
             classes[max(low_end, 0):high_end] = True
-        yield build_block(order, part.column("key").to_numpy(), part.column("n").to_numpy(), low_codes, low_counts,
-                          classes), len(cuts)
+        codes, n = part.column("key").to_numpy(), part.column("n").to_numpy()
+        del part
+        yield build_block(order, codes, n, low_codes, low_counts, classes), len(cuts)
 
 
 def _word_scorer(block, head):

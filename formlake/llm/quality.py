@@ -69,6 +69,15 @@ def first_broken(rules: Sequence[Rule]) -> Column:
     return F.coalesce(*[F.when(broken(r), F.lit(r.name)) for r in rules], F.lit(None).cast("string"))
 
 
+def _once(value: Column) -> Column:
+    """Keeps the optimizer from copying the value's computation to wherever it is used.
+
+    A row number is never negative, but it isn't a function of the row, so no filter is moved below it and no
+    lambda gets a copy that would be computed for each element.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def _repeated_words(docs: DataFrame) -> DataFrame:
     """Adds n_repeat_words: words inside windows that occur twice or more in the text.
 
@@ -80,10 +89,10 @@ def _repeated_words(docs: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.col("n_words").cast("int") - WINDOW),
         lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(WINDOW)]),
     )
-    docs = docs.withColumn("windows", F.when(F.col("n_words") >= WINDOW, window))
+    docs = docs.withColumn("windows", _once(F.when(F.col("n_words") >= WINDOW, window)))
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
     placed = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    docs = docs.withColumn("placed", F.when(repeats, placed))
+    docs = docs.withColumn("placed", _once(F.when(repeats, placed)))
 
     def again(x: Column, i: Column) -> Column:
         near = [F.coalesce(F.get("placed", i + step)["h"] == x["h"], F.lit(False)) for step in (-1, 1)]
@@ -115,16 +124,14 @@ def quality(
 def keep_good(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows of ``df``, unchanged, that ``quality`` keeps."""
     judged = _judged(df.select(F.struct(*[df[c] for c in df.columns]).alias("doc_id"), df[text_col].alias("text")), rules)
-    # A filter is not moved below a row number; below, all counts would be computed where each is used.
-    judged = judged.select("doc_id", "kept", F.monotonically_increasing_id().alias("row"))
     return judged.where("kept").select("doc_id.*")
 
 
 def _judged(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(
-        "doc_id", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"),
-        F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD)).alias("lines"),
+        "doc_id", _once(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("words"),
+        _once(F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD))).alias("lines"),
         F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
     )
     docs = docs.select(

@@ -33,9 +33,9 @@ _U = np.uint64
 class Items:
     """Seeds of a block of benchmark items."""
 
-    def __init__(self, ids: list, texts: list[str | None], k: int):
+    def __init__(self, ids: list, texts: list[str | None], k: int, id_type: pa.DataType | None = None):
         w = W.words(pa.array(texts, pa.string()), fold=True)
-        self.ids, self.k, self.sizes = ids, k, w.counts
+        self.ids, self.k, self.sizes = pa.array(ids, id_type), k, w.counts
         seeds, at = W.shingles(w, k)
         item = np.repeat(np.arange(len(ids)), np.diff(at))
         place = np.arange(len(seeds)) - np.repeat(at[:-1], np.diff(at))
@@ -119,6 +119,7 @@ def contained(texts: pa.Array, items: Items, coverage: float) -> Iterator[tuple[
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, k: int, block_words: int):
     """Broadcasts of the benchmark, block by block; the driver holds one block at a time."""
     spark = benchmark.sparkSession
+    id_type = benchmark.select(benchmark[item_col]).limit(0).toArrow().schema.field(0).type
     ids: list = []
     texts: list[str | None] = []
     size = 0
@@ -127,10 +128,10 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, k: int, block_wor
         texts.append(row["text"])
         size += len(row["text"] or "") // 2 + 1  # a word has a letter and a separator
         if size >= block_words:
-            yield spark.sparkContext.broadcast(Items(ids, texts, k))
+            yield spark.sparkContext.broadcast(Items(ids, texts, k, id_type))
             ids, texts, size = [], [], 0
     if ids:
-        yield spark.sparkContext.broadcast(Items(ids, texts, k))
+        yield spark.sparkContext.broadcast(Items(ids, texts, k, id_type))
 
 
 def _finder(shared, coverage: float):
@@ -138,10 +139,10 @@ def _finder(shared, coverage: float):
         items = shared.value
         for part in W.slices(batches, "text"):
             found = list(contained(part.column("text"), items, coverage))
-            rows = pa.array([f[0] for f in found], pa.int64())
+            rows, numbers = (pa.array([f[j] for f in found], pa.int64()) for j in (0, 1))
             sizes = [int(items.sizes[f[1]]) for f in found]
             yield pa.RecordBatch.from_arrays([
-                part.column("doc_id").take(rows), pa.array([items.ids[f[1]] for f in found]),
+                part.column("doc_id").take(rows), items.ids.take(numbers),
                 pa.array(sizes, pa.int64()), pa.array([f[2] for f in found], pa.int64()),
                 pa.array([f[3] for f in found], pa.int64()),
             ], ["doc_id", "item_id", "item_words", "tiles", "covered_words"])

@@ -105,18 +105,14 @@ def _sketcher(k: int):
     return sketch
 
 
-def _agreeing(batches):
-    """Pairs of which enough minima agree."""
-    for batch in batches:
-        a, b = (np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(c)])
-                if batch.num_rows else np.zeros((0, 1)) for c in ("sa", "sb"))
-        share = (a == b).mean(axis=1)
-        yield batch.select(["a", "b"]).filter(pa.array(share >= _least_agreement()))
-
-
 def _confirmer(k: int, percent: int):
+    """Pairs of which enough minima agree, and then enough of the whole sets."""
+
     def confirm(batches):
         for part in W.slices(W.slices(batches, "ta"), "tb"):
+            signatures = [np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in part.column(c)]) for c in ("sa", "sb")]
+            share = (signatures[0] == signatures[1]).mean(axis=1)
+            part = part.filter(pa.array(share >= _least_agreement()))
             left, right = distinct_sets(part.column("ta"), k), distinct_sets(part.column("tb"), k)
             keep = []
             for x, y in zip(left, right, strict=True):
@@ -127,31 +123,39 @@ def _confirmer(k: int, percent: int):
     return confirm
 
 
+_WHOLE = "set_key long, text string, shingles binary, bands array<long>, signature binary"
+
+
 def _whole(k: int):
-    """The text and the set of each wanted class; drops rows whose text is another's (ids can repeat)."""
+    """Text, set and sketch of each wanted class; drops rows whose text is another's (ids can repeat)."""
 
     def check(batches):
         for part in W.slices(batches, "text"):
             sets = distinct_sets(part.column("text"), k)
-            same = [set_key(s) == w for s, w in zip(sets, part.column("set_key").to_pylist(), strict=True)]
-            out = part.select(["set_key", "text"]).append_column("shingles", pa.array([s.tobytes() for s in sets], pa.binary()))
-            yield out.filter(pa.array(same, pa.bool_()))
+            same = pa.array([
+                len(s) > 0 and set_key(s) == w
+                for s, w in zip(sets, part.column("set_key").to_pylist(), strict=True)], pa.bool_())
+            part = part.select(["set_key", "text"]).filter(same)
+            sets = [s for s, own in zip(sets, same.to_pylist(), strict=True) if own]
+            if not sets:
+                continue
+            least = minima(sets)
+            yield pa.RecordBatch.from_arrays([
+                *part.columns, pa.array([s.tobytes() for s in sets], pa.binary()),
+                pa.array(list(band_keys(least).view(np.int64)), pa.list_(pa.int64())),
+                pa.array([row.tobytes() for row in least.astype(np.uint8)], pa.binary()),
+            ], ["set_key", "text", "shingles", "bands", "signature"])
 
     return check
 
 
 def _texts(classes: DataFrame, signed: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(set_key, text, shingles) of these classes; the text is that of any document of the class."""
+    """The whole of these classes; the text is that of any document of the class."""
     owners = signed.groupBy("set_key").agg(F.min("doc_id").alias("wanted")).join(classes, "set_key", "left_semi")
     owners = store(owners, "owners")
     same = F.col("doc_id").eqNullSafe(F.col("wanted"))
     texts = docs.select("doc_id", "text").join(sized(owners), same).select("set_key", "text")
-    return texts.mapInArrow(_whole(k), "set_key long, text string, shingles binary")
-
-
-def _sketches(classes: DataFrame, signed: DataFrame) -> DataFrame:
-    rows = signed.where("signature is not null").select("set_key", "bands", "signature")
-    return rows.join(classes, "set_key", "left_semi").dropDuplicates(["set_key"])
+    return texts.mapInArrow(_whole(k), _WHOLE)
 
 
 def _block(column: pa.ListArray, i: int):
@@ -198,8 +202,8 @@ def _between_blocks(percent: int):
                 if same:
                     mask &= ka[:, None] < kb
                 x, y = np.nonzero(mask)
-                for at in range(0, len(x), 1 << 16):
-                    p, q = x[at:at + (1 << 16)], y[at:at + (1 << 16)]
+                for at in range(0, len(x), 1 << 13):
+                    p, q = x[at:at + (1 << 13)], y[at:at + (1 << 13)]
                     common = ba[p] == bb[q]
                     first = ba[p, common.argmax(axis=1)] == bucket
                     p, q = p[first], q[first]
@@ -214,34 +218,37 @@ def _between_blocks(percent: int):
                             joined[r] = s
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], ["a", "b"])
+        W.give_back()
 
     return compare
 
 
 def _confirmed(pairs: DataFrame, signed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that are links, judged on whole texts."""
-
-    def ends(of: DataFrame) -> DataFrame:
-        return of.select(F.col("a").alias("set_key")).union(of.select(F.col("b").alias("set_key"))).distinct()
-
-    signatures = _sketches(ends(pairs), signed).select("set_key", "signature")
-    both = pairs.join(signatures.toDF("a", "sa"), "a").join(signatures.toDF("b", "sb"), "b")
-    likely = store(both.mapInArrow(_agreeing, "a long, b long"), "likely")
-    texts = _texts(ends(likely), signed, docs, k).select("set_key", "text")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
+    texts = _texts(ends, signed, docs, k).select("set_key", "text", "signature")
     texts = store(texts.dropDuplicates(["set_key"]), "texts")
-    both = likely.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+    both = pairs.join(texts.toDF("a", "ta", "sa"), "a").join(texts.toDF("b", "tb", "sb"), "b")
     links = store(both.mapInArrow(_confirmer(k, percent), "a long, b long"), "links")
-    release(likely, texts)
+    release(texts)
     return links
 
 
-def components(edges: DataFrame, max_turns: int | None = None) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b), root being the least node it can reach.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``edges`` (a, b), root being the least node it can reach."""
+    links = stars(edges)
+    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
+        links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    )
+
+
+def stars(edges: DataFrame, max_turns: int | None = None) -> DataFrame:
+    """Edges (u, v), v < u, that join the same nodes as ``edges`` (a, b); at the end each node to its root.
 
     Alternates large-star (every larger neighbour is tied to the least neighbour) and small-star (all
     smaller neighbours are) until nothing changes. Both are a grouped minimum and a join, so a node with
     many neighbours is combined before the shuffle and its join can be split. With ``max_turns`` it stops
-    early, and nodes with equal roots are in one component but not the other way round.
+    early, and some components are still several stars.
     """
 
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -259,11 +266,7 @@ def components(edges: DataFrame, max_turns: int | None = None) -> DataFrame:
         if after == before:
             break
         before = after
-    if max_turns is not None:  # not finished: each node goes with its least neighbour
-        return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-        links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    )
+    return links
 
 
 def _stored_edges(edges: DataFrame) -> tuple[DataFrame, tuple]:
@@ -303,12 +306,12 @@ def _open_links(placed: DataFrame, signed: DataFrame, docs: DataFrame, k: int, p
     """Links between different components within the open buckets."""
     placed = store(placed, "open")
     classes = placed.select("set_key").distinct()
-    sets = _texts(classes, signed, docs, k).select("set_key", "shingles").dropDuplicates(["set_key"])
-    members = placed.join(store(sets.join(_sketches(classes, signed), "set_key"), "sets"), "set_key")
+    sets = _texts(classes, signed, docs, k).drop("text").dropDuplicates(["set_key"])
+    members = placed.join(sets, "set_key")
     # Classes of a component with many members in the bucket share blocks, which never meet each other.
     own = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {PURE_MEMBERS}")
-    members = members.join(own.select("bucket", "root", F.col("root").alias("pure")), ["bucket", "root"], "left")
-    members = store(members, "open-members")
+    own = own.select("bucket", "root", F.col("root").alias("pure"))
+    members = store(members.join(own, ["bucket", "root"], "left"), "open-members")
     parts = members.groupBy("bucket", "pure").agg(
         F.greatest(F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES))
         .alias("parts"))
@@ -358,11 +361,12 @@ def near_duplicates(
     members = store(bands.join(shared, "bucket").distinct(), "members")
 
     first = store(_first_pairs(members), "first-pairs")
-    links = _confirmed(first, signed, docs, k, percent)
-    roots = store(components(links, max_turns=2), "roots")
+    links = stars(_confirmed(first, signed, docs, k, percent), max_turns=2)
+    # A node goes with its least neighbour; each root with itself, as it has no smaller one.
+    roots = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     more = _open_links(_open_buckets(members, roots, first), signed, docs, k, percent)
-    joined = store(components(links.union(more)), "components")
-    release(members, first)
+    joined = store(components(links.select(F.col("u").alias("a"), F.col("v").alias("b")).union(more)), "components")
+    release(members, first, links)
 
     ids = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least_id"))
     ids = ids.join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn(

@@ -17,9 +17,9 @@ from formlake.llm import words as W
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already use all cores
 
-SLICE_BYTES = 2 << 20
-#: Pieces that a worker remembers, and the longest in bytes; about 100 MB. Then it starts anew.
-KEPT_PIECES, KEPT_BYTES = 2_000_000, 64
+SLICE_BYTES = 1 << 20
+#: Pieces that a worker remembers, and the longest in bytes; about 40 MB. Then it starts anew.
+KEPT_PIECES, KEPT_BYTES = 1_000_000, 64
 
 
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
@@ -96,8 +96,8 @@ class Encoder:
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
+        self.starts = np.zeros(0, np.int32)
+        self.sizes = np.zeros(0, np.int32)
         self.arena = np.zeros(1 << 16, np.uint32)
         self.used = 0
 

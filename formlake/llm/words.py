@@ -7,6 +7,7 @@ UTF-8 character, so words are found and hashed on the bytes. A hash is a polynom
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -68,8 +69,24 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0]:at[-1]], at - at[0]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Spark keeps a worker, with all it holds, for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts record batches into runs of rows with about ``limit`` bytes of text, one row at least."""
+    try:
+        yield from _cut(batches, column, limit)
+    finally:
+        give_back()
+
+
+def _cut(batches, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows == 0:
             continue

@@ -34,6 +34,10 @@ CLEAN_COLUMNS = [
     "wgt_lbs", "hg", "jockey", "trainer", "prize", "official_rating", "jockey_allowance",
 ]
 CARD_KEY = ["off", "number"]
+GIVEN_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+    "pages", "benchmark", "labels", "conversations",
+)
 
 
 def query(fn: Query) -> Query:
@@ -124,7 +128,7 @@ def read_results_csv(spark, sf):
 
 @query
 def write_results(spark, sf):
-    rows = fixtures.results_view(spark, sf).drop("id")
+    rows = fixtures.results_view(spark, sf).drop("id", "seq")
     out = tables.write_results(rows, scratch_path(spark, "write-results"))
     return out.select("id", "date", "race_id", "horse", "pos", F.col("year").cast("int").alias("year"))
 
@@ -133,7 +137,7 @@ def write_results(spark, sf):
 def dedupe_append(spark, sf):
     r = results(spark, sf)
     old = cleaning.temporal_split(r, CUTOFF)[0]
-    return tables.dedupe_append(r, old).select("id", "race_id", "horse")
+    return tables.dedupe_append(r, old).select("race_id", "horse")
 
 
 @query
@@ -148,6 +152,19 @@ def scan_history(spark, sf):
     return tables.scan_history(spark, path, "form")
 
 
+def _scan_family(family: str) -> Query:
+    def scan(spark: SparkSession, sf: str) -> DataFrame:
+        path = scratch_path(spark, "history")
+        results(spark, sf).write.parquet(path)
+        return tables.scan_history(spark, path, family)
+
+    return scan
+
+
+for _family in ("synergy", "course", "class", "micro"):
+    QUERIES[f"scan_history_{_family}"] = _scan_family(_family)
+
+
 @query
 def matrix_io(spark, sf):
     return _log9(tables.write_matrix(matrix(spark, sf), scratch_path(spark, "matrix-io")))
@@ -165,16 +182,17 @@ def read_racecards(spark, sf):
 
 @query
 def table_profile(spark, sf):
-    fixtures.register_tables(spark, sf)
-    profile = tables.table_profile(spark).where(F.col("table_name").isin(*fixtures.TABLES))
-    return profile.select("table_name", "row_count").distinct()
+    for name in GIVEN_TABLES:
+        spark.read.parquet(f"{sf}/{name}.parquet").createOrReplaceTempView(name)
+    profile = tables.table_profile(spark).where(F.col("table_name").isin(*GIVEN_TABLES))
+    return profile.select("table_name", "row_count", "ordinal", "column_name")
 
 
 @query
 def model_io(spark, sf):
     model, path = _classifier(spark, sf), scratch_path(spark, "model")
     store.save_model(model, path)
-    again = scoring.score_matrix(path, matrix(spark, sf), CUTOFF, "prob_loaded")
+    again = scoring.score_matrix(path, planted(spark, sf), CUTOFF, "prob_loaded")
     both = model.score(again)
     return both.agg(
         F.count(F.lit(1)).alias("total_rows"),
@@ -250,6 +268,61 @@ def parse_weight(spark, sf):
     return results(spark, sf).select("id", parsing.parse_weight(text.otherwise(F.col("wgt"))).alias("wgt_lbs"))
 
 
+@query
+def coerce_date_formats(spark, sf):
+    day = F.col("date")
+    kind = F.col("draw") % 7
+    text = F.coalesce(*[
+        F.when(kind == i, F.date_format(day, f)) for i, f in enumerate((
+            "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy/MM/dd", "yyyyMMdd", "dd/MM/yyyy", "dd-MM-yyyy"))
+    ], F.lit("soon"))
+    return cleaning.coerce_date(results(spark, sf).select("id", text.alias("date")))
+
+
+@query
+def parse_weight_dirty(spark, sf):
+    text = F.when(F.col("hg") == "b", "999999999-1").when(F.col("hg") == "t", "99999999999").otherwise(F.col("wgt"))
+    return results(spark, sf).select("id", parsing.parse_weight(text).alias("wgt_lbs"))
+
+
+@query
+def class_moves_dirty(spark, sf):
+    text = F.when(F.col("draw") == 3, "Class 99999999999").otherwise(F.col("class"))
+    out = history.class_moves(results(spark, sf).withColumn("class", text))
+    return out.agg(F.count(F.lit(1)).alias("total_rows"))
+
+
+@query
+def cards_without_runners(spark, sf):
+    races_ = races(spark, sf).withColumn(
+        "runners", F.when(F.col("race_class") != 3, F.col("runners")))
+    out = ranking.top_by_rating(racecards.explode_runners(races_))
+    out = out.withColumn("rank", F.col("rank").cast("long"))
+    return out.select("card_date", "region", "course", "off", "number", "horse", "rpr", "rank")
+
+
+@query
+def broken_cards(spark, sf):
+    text = F.when(F.dayofmonth("card_date") == 7, F.substring("value", 1, 20)).otherwise(F.col("value"))
+    return racecards.broken_documents(fixtures.cards(spark, sf).withColumn("value", text))
+
+
+@query
+def dedupe_append_nulls(spark, sf):
+    rows = results(spark, sf).withColumn("horse", F.when(F.col("draw") != 2, F.col("horse")))
+    old, new = cleaning.temporal_split(rows, CUTOFF)
+    out = tables.dedupe_append(new.union(new).union(old), old)
+    return out.groupBy("race_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def ingest_twice(spark, sf):
+    path, csv = scratch_path(spark, "ingest"), fixtures.raw_csv(spark, sf)
+    ingest.ingest(spark, csv, path, values=listed_courses(spark, sf))
+    again = ingest.ingest(spark, csv, path, values=listed_courses(spark, sf))
+    return again.select(*CLEAN_COLUMNS)
+
+
 @query
 def conform_schema(spark, sf):
     raw = fixtures.results_view(spark, sf)
@@ -484,7 +557,12 @@ def group_sizes(spark, sf):
 def split_count_importance(spark, sf):
     model, path = _classifier(spark, sf), scratch_path(spark, "importance")
     store.save_model(model, path)
-    return metrics.split_count_importance(f"{path}/learner", prepare.feature_names(model.prep))
+    names = prepare.feature_names(model.prep)
+    used = metrics.split_count_importance(f"{path}/learner", names)
+    return used.agg(
+        F.coalesce(F.max(F.col("feature") == "avg_btn_3"), F.lit(False)).alias("uses_planted_feature"),
+        F.count_if(~F.col("feature").isin(names) | (F.col("splits") < 1)).alias("wrong_rows"),
+    )
 
 
 # --- history windows ------------------------------------------------------------------------
@@ -633,16 +711,22 @@ def strike_rate(spark, sf):
 _models: dict[tuple[str, str, str], object] = {}
 
 
+def planted(spark: SparkSession, sf: str) -> DataFrame:
+    """The matrix with a label that a learner can find: a small recent margin."""
+    label = F.coalesce(F.col("avg_btn_3") < 6, F.lit(False)).cast("int")
+    return matrix(spark, sf).withColumn("target_win", label)
+
+
 def _fitted(spark: SparkSession, sf: str, name: str, fit: Callable[[DataFrame], object]):
-    """Models are fitted once per application; the registered sizes are small ones."""
+    """Models are fitted once per application, with few trees."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _models:
-        _models[key] = fit(cleaning.temporal_split(matrix(spark, sf), CUTOFF)[0])
+        _models[key] = fit(cleaning.temporal_split(planted(spark, sf), CUTOFF)[0])
     return _models[key]
 
 
 def _classifier(spark, sf) -> train.Model:
-    return _fitted(spark, sf, "classifier", lambda t: train.train_classifier(t, trees=8, depth=4, rate=0.2))
+    return _fitted(spark, sf, "classifier", lambda t: train.train_classifier(t, trees=20, depth=4, rate=0.05))
 
 
 def _ensemble(spark, sf) -> train.Ensemble:
@@ -652,39 +736,47 @@ def _ensemble(spark, sf) -> train.Ensemble:
     ))
 
 
-def _tested(spark, sf, model: train.Model) -> DataFrame:
-    out = scoring.score_matrix(model, matrix(spark, sf), CUTOFF)
+def _tested(spark, sf, model: train.Model | train.GroupModel) -> DataFrame:
+    out = scoring.score_matrix(model, planted(spark, sf), CUTOFF)
     return out.select("id", *schema.RACE_KEY, "target_win", "prob")
 
 
+def _verdict(scored_rows: DataFrame, score: str = "prob") -> DataFrame:
+    """Rows scored, whether all scores are probabilities, and whether the planted label is found."""
+    found = metrics.auc(scored_rows, "target_win", [score]).select((F.col("auc") > 0.7).alias("finds_label"))
+    rows = scored_rows.agg(
+        F.count(F.lit(1)).alias("scored_rows"), F.count_if(~F.col(score).between(0, 1)).alias("out_of_range"))
+    return rows.crossJoin(found)  # one row each
+
+
 def _member(spark, sf, name: str) -> DataFrame:
     ensemble = _ensemble(spark, sf)
-    test = cleaning.temporal_split(matrix(spark, sf), CUTOFF)[1]
+    test = cleaning.temporal_split(planted(spark, sf), CUTOFF)[1]
     alone = train.Ensemble(ensemble.prep, {name: ensemble.members[name]})
-    return alone.score(test).select("id", "target_win", f"p_{name}")
+    return _verdict(alone.score(test).select("id", "target_win", f"p_{name}"), f"p_{name}")
 
 
 @query
 def train_classifier(spark, sf):
-    return _tested(spark, sf, _classifier(spark, sf))
+    return _verdict(_tested(spark, sf, _classifier(spark, sf)))
 
 
 @query
 def score_matrix(spark, sf):
-    out = scoring.score_matrix(_classifier(spark, sf), matrix(spark, sf), CUTOFF)
-    return ranking.strike_rate(out)
+    out = scoring.score_matrix(_classifier(spark, sf), planted(spark, sf), CUTOFF)
+    return out.select("id", "race_id", F.col("prob").between(0, 1).alias("in_range"))
 
 
 @query
 def train_ranker(spark, sf):
     model = _fitted(spark, sf, "ranker", lambda t: train.train_ranker(t, iterations=20))
-    return metrics.ndcg(_tested(spark, sf, model), schema.RACE_KEY, "target_win", "prob")
+    return _verdict(_tested(spark, sf, model))
 
 
 @query
 def train_deep_ranker(spark, sf):
-    model = _fitted(spark, sf, "deep", lambda t: train.train_deep_ranker(t, trees=4, depth=5, rate=0.2))
-    return metrics.ndcg(_tested(spark, sf, model), schema.RACE_KEY, "target_win", "prob")
+    model = _fitted(spark, sf, "deep", lambda t: train.train_deep_ranker(t, trees=8, depth=5, rate=0.1))
+    return _verdict(_tested(spark, sf, model))
 
 
 @query
@@ -710,38 +802,45 @@ def train_gbm_wide(spark, sf):
 @query
 def ensemble_auc(spark, sf):
     ensemble = _ensemble(spark, sf)
-    test = cleaning.temporal_split(matrix(spark, sf), CUTOFF)[1]
+    test = cleaning.temporal_split(planted(spark, sf), CUTOFF)[1]
     members = [f"p_{m}" for m in ensemble.members]
     out = train.ensemble_mean(ensemble.score(test), members, "p_ensemble")
-    return metrics.auc(out, "target_win", [*members, "p_ensemble"])
+    found = metrics.auc(out, "target_win", [*members, "p_ensemble"])
+    return found.select("name", (F.col("auc") > 0.7).alias("finds_label"))
 
 
 @query
 def feature_importance(spark, sf):
     model = _classifier(spark, sf)
-    return metrics.feature_importance(model.prep, model.fitted)
+    return metrics.feature_importance(model.prep, model.fitted, 1).select("feature")
+
+
+def _places(ranked: DataFrame) -> DataFrame:
+    """The places given in every race, and whether each goes to a runner with a probability."""
+    good = F.col("horse").isNotNull() & F.col("score").between(0, 1)
+    return ranked.select(*scoring.RACE, F.col("rank").cast("long").alias("rank"), good.alias("good"))
 
 
 @query
 def score_cards(spark, sf):
-    return scoring.score_cards(runners(spark, sf), featured(spark, sf), _ensemble(spark, sf))
+    return _places(scoring.score_cards(runners(spark, sf), featured(spark, sf), _ensemble(spark, sf)))
 
 
 @query
 def score_cards_mean(spark, sf):
-    return scoring.score_cards(
+    return _places(scoring.score_cards(
         runners(spark, sf), featured(spark, sf), _ensemble(spark, sf), profile="mean",
         synergy=feature_tables(spark, sf)["synergy"].select("res_id", "combo_runs", "combo_win_pc"),
-    )
+    ))
 
 
 @query
 def score_cards_stream(spark, sf):
     known, ensemble = featured(spark, sf), _ensemble(spark, sf)
-    return files.score_cards_stream(
+    return _places(files.score_cards_stream(
         spark, fixtures.card_files(spark, sf), scratch_path(spark, "scores"),
         scratch_path(spark, "scores-checkpoint"), lambda c: scoring.score_cards(c, known, ensemble),
-    )
+    ))
 
 
 # --- model inputs, blends, metrics ----------------------------------------------------------

@@ -31,7 +31,7 @@ LINE_CTE = """line AS (
   JOIN nation n ON c.c_nationkey = n.n_nationkey
 )"""
 
-RESULTS_SELECT = """SELECT l_orderkey * 100 + seq AS id, d AS date, n_name AS course, l_orderkey AS race_id,
+ROWS_SELECT = """SELECT CAST(seq AS INT) AS seq, d AS date, n_name AS course, l_orderkey AS race_id,
   CASE o_orderstatus WHEN 'F' THEN 'Flat' WHEN 'O' THEN 'NH Flat' ELSE 'Hurdle' END AS type,
   CASE WHEN q % 8 = 0 THEN 'Open' ELSE concat('Class ', CAST(q % 8 AS VARCHAR(9))) END AS class,
   concat(CAST(5 + o_custkey % 10 AS VARCHAR(9)), 'f') AS dist, o_orderpriority AS going,
@@ -48,6 +48,9 @@ RESULTS_SELECT = """SELECT l_orderkey * 100 + seq AS id, d AS date, n_name AS co
   CASE WHEN tax_pc = 0 THEN NULL ELSE tax_pc END AS jockey_allowance
 FROM line"""
 
+# Ids number the lines in order of race and place, however many lines a race has. Spark counts them with
+# ``positions``, which splits the table; one window over all rows is for SQL engines on one machine.
+RESULTS_SELECT = f"SELECT row_number() OVER (ORDER BY race_id, seq) AS id, placed.* FROM ({ROWS_SELECT}) placed"
 RESULTS_SQL = f"WITH {LINE_CTE} {RESULTS_SELECT}"
 
 
@@ -62,9 +65,11 @@ def results_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.table("lineitem")
     scan = KeyScan(lines)
     if scan.hot(["l_orderkey"]) is None:
-        return spark.sql(RESULTS_SQL)
-    _split_lines(spark, lines, scan).createOrReplaceTempView("line")
-    return spark.sql(RESULTS_SELECT)
+        rows = spark.sql(f"WITH {LINE_CTE} {ROWS_SELECT}")
+    else:
+        _split_lines(spark, lines, scan).createOrReplaceTempView("line")
+        rows = spark.sql(ROWS_SELECT)
+    return positions(rows, [], [F.col("race_id"), F.col("seq")], "id")
 
 
 def _split_lines(spark: SparkSession, lines: DataFrame, scan: KeyScan) -> DataFrame:
@@ -119,7 +124,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The results as the raw CSV has them: text only, rating under its CSV name."""
-    view = results_view(spark, sf_dir).drop("id")
+    view = results_view(spark, sf_dir).drop("id", "seq")
     text = view.select(*[F.col(c).cast("string").alias(c) for c in view.columns])
     return text.withColumnRenamed("official_rating", "[or]")
 
@@ -141,7 +146,7 @@ def card_documents(results: DataFrame) -> DataFrame:
     """
     runner = F.struct(
         F.col("horse").alias("name"),
-        (F.col("id") - F.col("race_id") * 100).cast("int").alias("number"),
+        F.col("seq").alias("number"),
         F.col("wgt_lbs").cast("string").alias("lbs"),
         "draw",
         F.lit(None).cast("string").alias("last_run"),

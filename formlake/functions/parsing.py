@@ -13,7 +13,11 @@ NA_TOKENS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss")
+#: Tried in order; day before month where a date doesn't begin with the year.
+DATE_FORMATS = (
+    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS",
+    "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd HH:mm", "yyyy/MM/dd", "yyyyMMdd", "dd/MM/yyyy", "dd-MM-yyyy",
+)
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -47,12 +51,12 @@ def clean_string(c: Column | str) -> Column:
 
 
 def parse_weight(c: Column | str) -> Column:
-    """Stones-pounds ('9-7') or pounds ('133') to pounds; anything else is NULL."""
+    """Stones-pounds ('9-7') or pounds ('133') to pounds; anything else, or out of range, is NULL."""
     c = _col(c).cast("string")
     stones = F.regexp_extract(c, r"^\s*(\d+)\s*-\s*(\d+)\s*$", 1).try_cast("int")
     pounds = F.regexp_extract(c, r"^\s*(\d+)\s*-\s*(\d+)\s*$", 2).try_cast("int")
     plain = F.regexp_extract(c, r"^\s*([+-]?\d+)\s*$", 1).try_cast("int")
-    return F.coalesce(stones * 14 + pounds, plain)
+    return F.coalesce(F.try_add(F.try_multiply(stones, F.lit(14)), pounds), plain)
 
 
 def extract_class(c: Column | str) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from formlake import schema
 from formlake.operators.cleaning import temporal_split
+from formlake.operators.skew import lookup, positions
 
 MISSING = -10.0
 MAX_CATEGORIES = 10_000
@@ -26,12 +27,16 @@ def _fit_rows(df: DataFrame, fit_on: str, cutoff: date | None) -> DataFrame:
     return temporal_split(df, cutoff)[0]
 
 
-def fit_categories(df: DataFrame, cols: Sequence[str]) -> StringIndexerModel:
-    """Alphabetical indexers. Labels are kept on the driver, so their number is checked first."""
-    sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-    too_many = [c for c in cols if sizes[c] > MAX_CATEGORIES]
+def fit_categories(df: DataFrame, cols: Sequence[str], limit: int = MAX_CATEGORIES) -> StringIndexerModel:
+    """Alphabetical indexers for learners, which need a bin for every category.
+
+    Labels are kept on the driver and in the model, so a column may have ``limit`` of them at most;
+    ``encode_categories`` has no such bound.
+    """
+    sizes = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in cols]).first()
+    too_many = [c for c in cols if sizes[c] > limit]
     if too_many:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories in {too_many}")
+        raise ValueError(f"more than {limit} categories in {too_many}")
     return StringIndexer(
         inputCols=list(cols), outputCols=[f"{c}_index" for c in cols],
         stringOrderType="alphabetAsc", handleInvalid="keep",
@@ -54,13 +59,18 @@ def encode_categories(
     cutoff: date | None = None,
 ) -> DataFrame:
     """Adds ``<col>_code`` (ordinal: alphabetical, NULL and unseen are -1) or ``<col>_index``
-    (nominal: carries the category attribute that tree learners read)."""
-    indexer = fit_categories(_fit_rows(df, fit_on, cutoff), cols)
-    indexed = indexer.transform(df)
+    (nominal: carries the category attribute that tree learners read).
+
+    Ordinal codes number the distinct values where they are, however many there are.
+    """
+    rows = _fit_rows(df, fit_on, cutoff)
     if mode == "nominal":
-        return indexed
-    coded = SQLTransformer(statement=_ordinal(indexer)).transform(indexed)
-    return coded.drop(*[f"{c}_index" for c in cols])
+        return fit_categories(rows, cols).transform(df)
+    for c in cols:
+        codes = positions(rows.select(c).dropna().distinct(), [], [F.col(c)], f"{c}_code")
+        codes = codes.withColumn(f"{c}_code", (F.col(f"{c}_code") - 1).cast("int"))
+        df = lookup(df, codes, [c]).withColumn(f"{c}_code", F.coalesce(f"{c}_code", F.lit(-1)))
+    return df
 
 
 @dataclass(frozen=True)

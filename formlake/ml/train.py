@@ -1,18 +1,25 @@
 """Classifiers, rankers and the four-member ensemble.
 
 Default sizes are the full ones; pass smaller ``trees`` for a quick run. Boosting keeps
-its input cached and checkpoints every ten trees, so lineage stays short.
+its input cached and checkpoints every ten trees, so lineage stays short. It stops early on the newest part of the
+training period: all trees are grown, the loss after each is taken there, and if it hasn't improved for
+``patience`` trees the model is fitted again up to the best one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (
+    GBTClassificationModel,
+    GBTClassifier,
+    LogisticRegression,
+    RandomForestClassifier,
+)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -42,6 +49,24 @@ class Model:
         return out.select(*df.columns, name)
 
 
+@dataclass(frozen=True)
+class GroupModel:
+    """As ``Model``, with inputs that compare a runner with its group; scores rows of whole groups."""
+
+    prep: PipelineModel
+    fitted: PipelineModel
+    group: tuple[str, ...]
+    scaled: tuple[str, ...]
+
+    def prepare(self, df: DataFrame) -> DataFrame:
+        deviations = group_deviations(self.prep.transform(df), self.group, self.scaled)
+        inputs = ["own", *[f"dev_{c}" for c in self.scaled]]
+        return VectorAssembler(inputCols=inputs, outputCol="features").transform(deviations)
+
+    def score(self, df: DataFrame, name: str = "prob") -> DataFrame:
+        return add_probability(self.prepare(df), self.fitted, name).select(*df.columns, name)
+
+
 _INTERNAL = ("rawPrediction", "probability", "prediction")
 
 
@@ -62,10 +87,40 @@ def _training_rows(prepared: DataFrame, columns: Sequence[str]) -> Iterator[Data
 
 
 def _holdout(train: DataFrame, share: float) -> DataFrame:
-    """Marks the newest ``share`` of the training period for early stopping."""
+    """Marks the newest ``share`` of the training period, whole days, as ``_valid``.
+
+    The oldest day is never marked, so there is always something to train on; with one day only, or a share of
+    0, nothing is marked.
+    """
+    if share <= 0:
+        return train.withColumn("_valid", F.lit(False))
     day = F.unix_date("date")
-    start = train.agg(F.percentile_approx(day, 1.0 - share)).first()[0]
-    return train.withColumn("_valid", day > F.lit(start))
+    start, oldest = train.agg(F.percentile_approx(day, 1.0 - share), F.min(day)).first()
+    if start == oldest:
+        start = train.where(day > F.lit(oldest)).agg(F.min(day)).first()[0]
+    return train.withColumn("_valid", F.coalesce(day >= F.lit(start).cast("int"), F.lit(False)))
+
+
+def best_count(losses: Sequence[float], patience: int) -> int:
+    """Number of trees with the least loss, looking no further than ``patience`` trees without a better one."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def fit_early(learner: GBTClassifier, rows: DataFrame, patience: int) -> GBTClassificationModel:
+    """Fits on the rows that aren't ``_valid``, up to the tree that is best on those that are."""
+    fit, valid = rows.where("not _valid"), rows.where("_valid")
+    full = learner.fit(fit)
+    if valid.isEmpty():
+        return full
+    count = best_count(full.evaluateEachIteration(valid), patience)
+    # The seed is fixed, so these are the first trees of the full model.
+    return full if count == full.getNumTrees else learner.copy({learner.maxIter: count}).fit(fit)
 
 
 def _gbt(prep: PipelineModel, trees: int, depth: int, rate: float, **more) -> GBTClassifier:
@@ -80,14 +135,13 @@ def train_classifier(
     train: DataFrame,
     features: Sequence[str] = tuple(schema.BASE_FEATURES),
     categories: Sequence[str] = tuple(schema.CATEGORIES),
-    trees: int = 1000, depth: int = 6, rate: float = 0.05, holdout: float = 0.1,
+    trees: int = 1000, depth: int = 6, rate: float = 0.05, holdout: float = 0.1, patience: int = 50,
 ) -> Model:
     """Boosted trees on log-loss with categorical inputs; stops early on the end of the period."""
     prep = prepare.fit_preparation(train, features, categories, mode="nominal")
     marked = prep.transform(_holdout(train, holdout))
-    learner = _gbt(prep, trees, depth, rate, validationIndicatorCol="_valid")
     with _training_rows(marked, ["features", LABEL, "_valid"]) as rows:
-        return Model(prep, PipelineModel([learner.fit(rows)]))
+        return Model(prep, PipelineModel([fit_early(_gbt(prep, trees, depth, rate), rows, patience)]))
 
 
 def train_ranker(
@@ -120,17 +174,18 @@ def train_deep_ranker(
     group: Sequence[str] = tuple(schema.RACE_KEY),
     features: Sequence[str] = tuple(schema.ALL_FEATURES),
     categories: Sequence[str] = tuple(schema.CATEGORIES),
-    trees: int = 2000, depth: int = 8, rate: float = 0.01, holdout: float = 0.1,
-) -> Model:
-    """Slow, deep boosting with row and column sampling; its scores are ranked within ``group``."""
-    prep = prepare.fit_preparation(train, features, categories, mode="nominal")
-    marked = prep.transform(_holdout(train, holdout))
+    trees: int = 2000, depth: int = 8, rate: float = 0.01, holdout: float = 0.1, patience: int = 100,
+) -> GroupModel:
+    """Slow, deep boosting with row and column sampling, on the features and on how each deviates from its
+    mean in ``group``: one row per runner, and what decides a race is who is better than the others in it."""
+    prep = prepare.fit_preparation(train, features, categories, mode="nominal", output="own")
+    model = GroupModel(prep, PipelineModel([]), tuple(group), tuple(f"{c}_z" for c in features))
+    marked = model.prepare(_holdout(train, holdout))
     learner = _gbt(
-        prep, trees, depth, rate, validationIndicatorCol="_valid", minInstancesPerNode=5,
-        subsamplingRate=0.8, featureSubsetStrategy="0.8",
+        prep, trees, depth, rate, minInstancesPerNode=5, subsamplingRate=0.8, featureSubsetStrategy="0.8",
     )
     with _training_rows(marked, ["features", LABEL, "_valid"]) as rows:
-        return Model(prep, PipelineModel([learner.fit(rows)]))
+        return replace(model, fitted=PipelineModel([fit_early(learner, rows, patience)]))
 
 
 def balanced_weights(train: DataFrame, label: str = LABEL) -> DataFrame:
@@ -154,8 +209,8 @@ def train_boosted(prepared: DataFrame, prep: PipelineModel, trees: int = 1000, d
 
 def train_gbm_wide(prepared: DataFrame, prep: PipelineModel, trees: int = 1000, depth: int = 9,
                    rate: float = 0.05) -> PipelineModel:
-    """Deeper boosting. 256 leaves are what depth 8 gives; leaves are grown level by level here."""
-    return PipelineModel([_gbt(prep, trees, min(depth, 8), rate).fit(prepared)])
+    """Deeper boosting; leaves are grown level by level here, up to 2^depth of them."""
+    return PipelineModel([_gbt(prep, trees, depth, rate).fit(prepared)])
 
 
 def train_forest(prepared: DataFrame, balanced: bool = True, trees: int = 600,

@@ -12,9 +12,6 @@ from pyspark.sql import types as T
 
 from formlake import courses, schema
 from formlake.functions import parsing
-from formlake.operators.skew import lookup, match
-
-MAX_LISTED = 10_000
 
 
 def allowlist_filter(
@@ -22,16 +19,14 @@ def allowlist_filter(
 ) -> DataFrame:
     """Trims the column and keeps the listed values.
 
-    A Python list becomes an ``isin`` at the scan. A one-column table is broadcast if it has at
-    most MAX_LISTED distinct values, and met by a split-safe semi-join otherwise.
+    A Python list becomes an ``isin`` at the scan. A one-column table of any size is met by a semi-join, also of a
+    stream; the optimizer broadcasts it if it is small, and can split a course with very many rows.
     """
     trimmed = df.withColumn(col, F.trim(col))
     if not isinstance(values, DataFrame):
         return trimmed.where(F.col(col).isin(list(values)))
     allowed = values.toDF(col).dropna().distinct()
-    if allowed.limit(MAX_LISTED + 1).count() <= MAX_LISTED:
-        return match(trimmed, F.broadcast(allowed), [col], "left_semi")
-    return lookup(trimmed, allowed, [col], "left_semi")
+    return trimmed.join(allowed, col, "left_semi")
 
 
 def coerce_date(

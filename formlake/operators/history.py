@@ -89,7 +89,7 @@ def class_family(df: DataFrame, window: int = 3) -> Lookback:
             alive = alive & (previous("class", k) > 0)
             kept.append(F.when(alive, previous("class", k)))
         return {
-            "class_diff": F.coalesce((now - kept[0]).cast("int"), F.lit(0)),
+            "class_diff": F.coalesce((now - kept[0]).try_cast("int"), F.lit(0)),
             f"avg_class_{window}": F.coalesce(_mean(kept, 2), F.lit(0.0)),
         }
 
@@ -108,7 +108,7 @@ def gear_family(key: str = "horse") -> Lookback:
 def rating_family(key: str = "horse") -> Lookback:
     def outputs(previous: Previous) -> dict[str, Column]:
         change = F.when(F.col(key).isNotNull(), F.col("official_rating") - previous("rating", 1))
-        return {"or_change": F.coalesce(change.cast("int"), F.lit(0))}
+        return {"or_change": F.coalesce(change.try_cast("int"), F.lit(0))}
 
     return Lookback({"rating": (F.col("official_rating"), 1)}, outputs)
 

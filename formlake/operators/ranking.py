@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from formlake import schema
+from formlake.operators.cards import has_runner
 from formlake.operators.cleaning import temporal_split
 from formlake.operators.skew import KeyScan, lookup, positions, with_group_values
 
+#: Spark keeps only the first n rows of a group in each task up to this n (its window group limit).
+GROUP_LIMIT = 1000
+
 
 def group_index(df: DataFrame, keys: Sequence[str] = schema.RACE_KEY, name: str = "group_id") -> DataFrame:
     """Adds a dense group number in key order from 0; a NULL in any key gives -1."""
@@ -42,8 +46,9 @@ def rank_runners(
 ) -> DataFrame:
     """Adds ``rank`` within the group by falling score; keeps the first ``n`` (None: all)."""
     order = [F.col(score).desc_nulls_last(), F.col(tie)]
-    if n is None:
-        return positions(df, list(group), order, "rank")
+    if n is None or n > GROUP_LIMIT:
+        ranked = positions(df, list(group), order, "rank")
+        return ranked if n is None else ranked.where(F.col("rank") <= n)
     # With a limit Spark keeps n rows per group in every task before it shuffles.
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return df.withColumn("rank", rank).where(F.col("rank") <= n)
@@ -51,7 +56,7 @@ def rank_runners(
 
 def top_by_rating(cards: DataFrame, col: str = "rpr", n: int = 3) -> DataFrame:
     """The ``n`` best-rated runners per race; a missing rating counts as 0."""
-    rated = cards.withColumn("_rating", F.coalesce(col, F.lit(0)))
+    rated = cards.where(has_runner()).withColumn("_rating", F.coalesce(col, F.lit(0)))
     race = ["card_date", "region", "course", "off"]
     return rank_runners(rated, race, "_rating", n, "number").drop("_rating")
 

@@ -29,12 +29,10 @@ _HALO = "_halo"
 
 @dataclass(frozen=True)
 class SplitPolicy:
-    """Keys above ``split_rows`` rows are split, at most the ``max_keys`` largest of them.
+    """All keys above ``split_rows`` rows are split, into chunks of about a quarter of that.
 
-    A key beyond that number has fewer than total/max_keys rows and goes through the plain
-    window. Chunks aim at a quarter of ``split_rows`` rows but there are at most ``max_chunks``,
-    beyond which they grow. The two bounds are what makes the tables with one row per split key,
-    or per split key and chunk, broadcastable: at most max_keys + max_chunks rows.
+    Tables with one row per split key, or per split key and chunk, are broadcast up to ``max_keys``
+    keys and ``max_chunks`` chunks, and joined by shuffle beyond.
     """
 
     split_rows: int = 2_000_000
@@ -46,7 +44,12 @@ class SplitPolicy:
         return max(1, self.split_rows // 4)
 
     def chunks(self, n_rows: int) -> int:
-        return min(self.max_chunks, max(2, -(-n_rows // self.chunk_rows)))
+        return max(2, -(-n_rows // self.chunk_rows))
+
+    def sized(self, df: DataFrame, n_keys: int, n_rows: int = 0) -> DataFrame:
+        """Marks a table of split keys (and chunks of ``n_rows`` rows) for broadcast if it is small."""
+        few_chunks = not n_rows or self.chunks(n_rows) <= self.max_chunks
+        return F.broadcast(df) if n_keys <= self.max_keys and few_chunks else df
 
     @classmethod
     def of(cls, spark: SparkSession) -> SplitPolicy:
@@ -59,10 +62,13 @@ class SplitPolicy:
 
 @dataclass(frozen=True)
 class HotKeys:
+    """The split keys, as a table however many there are; ``n_rows`` are the rows they have together."""
+
     keys: tuple[str, ...]
     frame: DataFrame
     n_keys: int
     n_rows: int
+    policy: SplitPolicy
 
 
 def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -105,19 +111,21 @@ class KeyScan:
             self.df.groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("_rows"))
             .where(F.col("_rows") > self.policy.split_rows)
-            .orderBy(F.desc("_rows"), *keys)
-            .limit(self.policy.max_keys)
         )
-        found = over.collect()  # at most max_keys rows
+        found = over.limit(self.policy.max_keys + 1).collect()
         if not found:
             return None
-        frame = self.df.sparkSession.createDataFrame(found, over.schema).select(*keys)
-        return HotKeys(keys, frame, len(found), sum(r["_rows"] for r in found))
+        if len(found) <= self.policy.max_keys:
+            frame = self.df.sparkSession.createDataFrame(found, over.schema)
+        else:
+            frame = cut_lineage(over)
+        n_keys, n_rows = frame.agg(F.count(F.lit(1)), F.sum("_rows")).first()
+        return HotKeys(keys, frame.select(*keys), n_keys, n_rows, self.policy)
 
 
 def split_hot(df: DataFrame, hot: HotKeys) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary keys, rows of over-full keys); the key list is at most max_keys long."""
-    keys = F.broadcast(hot.frame)
+    """(rows of ordinary keys, rows of over-full keys)."""
+    keys = hot.policy.sized(hot.frame, hot.n_keys)
     return match(df, keys, hot.keys, "left_anti"), match(df, keys, hot.keys, "left_semi")
 
 
@@ -142,7 +150,7 @@ def _sums_before(df: DataFrame, part: Sequence[str], order, totals: dict[str, Co
 
 def chunked_totals(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], totals: dict[str, Column], n_rows: int,
-    policy: SplitPolicy,
+    policy: SplitPolicy, n_keys: int = 1,
 ) -> DataFrame:
     """``running_totals`` where all keys are split; ``n_rows`` only sets the number of chunks."""
     parts = ordered_chunks(df, keys, order, n_rows, policy)
@@ -156,7 +164,7 @@ def chunked_totals(
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in totals],
     )
     rows = _sums_before(parts, [*keys, _CHUNK], order, totals)
-    out = match(rows, F.broadcast(carry), [*keys, _CHUNK], "left")
+    out = match(rows, policy.sized(carry, n_keys, n_rows), [*keys, _CHUNK], "left")
     return out.withColumns({n: F.col(n) + F.col(f"_c_{n}") for n in totals}).drop(
         _CHUNK, *[f"_c_{n}" for n in totals]
     )
@@ -184,7 +192,7 @@ def running_totals(
         return _sums_before(df, keys, order, totals)
     cold_rows, hot_rows = split_hot(df, hot)
     return _sums_before(cold_rows, keys, order, totals).unionByName(
-        chunked_totals(hot_rows, keys, order, totals, hot.n_rows, scan.policy)
+        chunked_totals(hot_rows, keys, order, totals, hot.n_rows, scan.policy, hot.n_keys)
     )
 
 
@@ -266,9 +274,9 @@ def with_group_values(
         return df.withColumns({name: agg.over(over) for name, agg in values.items()})
     cold_rows, hot_rows = split_hot(df, hot)
     cold = cold_rows.withColumns({name: agg.over(over) for name, agg in values.items()})
-    # One row per split key, at most max_keys.
+    # One row per split key.
     per_key = hot_rows.groupBy(*keys).agg(*[agg.alias(name) for name, agg in values.items()])
-    return cold.unionByName(match(hot_rows, F.broadcast(per_key), keys, "left"))
+    return cold.unionByName(match(hot_rows, hot.policy.sized(per_key, hot.n_keys), keys, "left"))
 
 
 def lookup(
@@ -284,7 +292,7 @@ def lookup(
     if hot is None:
         return match(left, right, keys, how)
     cold_rows, hot_rows = split_hot(left, hot)
-    _, hot_right = split_hot(right, hot)  # unique keys: at most max_keys rows
+    _, hot_right = split_hot(right, hot)  # unique keys: one row per split key
     return match(cold_rows, right, keys, how).unionByName(
-        match(hot_rows, F.broadcast(hot_right), keys, how)
+        match(hot_rows, hot.policy.sized(hot_right, hot.n_keys), keys, how)
     )

@@ -5,6 +5,10 @@ from __future__ import annotations
 from formlake import schema
 from formlake.fixtures import LINE_CTE, RESULTS_SELECT
 
+GIVEN_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+    "pages", "benchmark", "labels", "conversations",
+)
 CUTOFF = "2000-01-01"
 AS_OF = "2001-08-01"
 
@@ -126,7 +130,7 @@ races AS (
 ),
 cards AS (
   SELECT c.race_id, card_date, region, c.course, off, race_name, c.prize, distance, race_class, s.horse,
-    s.trainer, s.jockey, CAST(s.id - s.race_id * 100 AS INT) AS number, CAST(s.wgt_lbs AS VARCHAR) AS lbs,
+    s.trainer, s.jockey, s.seq AS number, CAST(s.wgt_lbs AS VARCHAR) AS lbs,
     s.draw, s.hg AS headgear, s.official_rating AS ofr, s.official_rating + s.draw AS rpr,
     s.jockey_allowance, s.pos = 'PU' AS non_runner
   FROM races c JOIN s USING (race_id)
@@ -273,6 +277,26 @@ _FIXED = f"""CASE WHEN btn = 0 AND pos_num IN (2, 3) THEN 0.01
   WHEN btn = 0 AND {_BEYOND.format(n=3)} THEN 20.0 ELSE btn END AS btn"""
 
 
+def _model_sql() -> dict[str, str]:
+    """What holds for every fitted model: it scores the test rows and finds the planted label."""
+    test = f" FROM matrix WHERE date >= DATE '{CUTOFF}'"
+    verdict = _m(" SELECT count(*) AS scored_rows, CAST(0 AS BIGINT) AS out_of_range, true AS finds_label" + test)
+    places = _c(
+        " SELECT card_date, region, course, off, row_number() OVER (PARTITION BY card_date, region, course, off"
+        " ORDER BY number) AS rank, true AS good FROM cards WHERE NOT non_runner QUALIFY rank <= 5")
+    names = ", ".join(f"('p_{m}', true)" for m in ("boosted", "forest", "extra", "wide", "ensemble"))
+    return {
+        **dict.fromkeys(("train_classifier", "train_ranker", "train_deep_ranker", "train_boosted", "train_forest",
+                         "train_extra_trees", "train_gbm_wide"), verdict),
+        **dict.fromkeys(("score_cards", "score_cards_mean", "score_cards_stream"), places),
+        "score_matrix": _m(" SELECT id, race_id, true AS in_range" + test),
+        "model_io": _m(" SELECT count(*) AS total_rows, CAST(0 AS DOUBLE) AS largest_difference" + test),
+        "ensemble_auc": f"SELECT * FROM (VALUES {names}) t(name, finds_label)",
+        "feature_importance": "SELECT 'avg_btn_3' AS feature",
+        "split_count_importance": "SELECT true AS uses_planted_feature, CAST(0 AS BIGINT) AS wrong_rows",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
         # sources and sinks
@@ -280,18 +304,31 @@ def oracle_sql() -> dict[str, str]:
         "write_results": _sql(
             f" SELECT row_number() OVER (ORDER BY {_ROW_ORDER}) AS id, date, race_id, horse, pos,"
             " CAST(year(date) AS INT) AS year FROM results"),
-        "dedupe_append": _sql(" SELECT id, race_id, horse FROM results"),
+        "dedupe_append": _sql(
+            f" SELECT race_id, horse FROM results WHERE date < DATE '{CUTOFF}' UNION ALL"
+            f" SELECT DISTINCT race_id, horse FROM results WHERE date >= DATE '{CUTOFF}'"),
+        "dedupe_append_nulls": _sql(
+            f" SELECT race_id, CASE WHEN date < DATE '{CUTOFF}' THEN count(*) + count(*) FILTER (draw = 2)"
+            " ELSE count(DISTINCT horse) FILTER (draw <> 2) + 2 * count(*) FILTER (draw = 2) END AS n"
+            " FROM results GROUP BY race_id, date"),
         "write_features": _sql(f" SELECT {_FORM_COLUMNS} FROM form", _FLAGS, _FAMILIES),
         "scan_history": _sql(" SELECT id, date, horse, pos, btn FROM results"),
+        "scan_history_synergy": _sql(" SELECT id, date, trainer, jockey, pos FROM results"),
+        "scan_history_course": _sql(" SELECT id, date, horse, course, pos FROM results"),
+        "scan_history_class": _sql(" SELECT id, date, horse, class FROM results"),
+        "scan_history_micro": _sql(" SELECT id, race_id, horse, date, hg, official_rating, jockey_allowance,"
+                                   " wgt_lbs, prize FROM r"),
         "matrix_io": _m(" SELECT * FROM matrix"),
         "read_racecards": _c(" SELECT card_date, region, course, off, race_name, prize, distance, race_class,"
                              " horse, trainer, jockey, number, lbs, draw, headgear, ofr, rpr,"
                              " jockey_allowance, non_runner FROM cards"),
-        "table_profile": " UNION ALL ".join(
-            f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}"
-            for t in ("lineitem", "orders", "customer", "nation", "events")),
+        "table_profile": "SELECT DISTINCT t.table_name, row_count, CAST(ordinal_position - 1 AS INT) AS ordinal,"
+                         " column_name FROM (" + " UNION ALL ".join(
+            f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in GIVEN_TABLES)
+                         + ") t JOIN information_schema.columns c ON t.table_name = c.table_name",
         "incremental_ingest": _sql(f" SELECT {_CLEAN_COLUMNS} FROM r WHERE {_LISTED}"),
         "ingest": _sql(f" SELECT {_CLEAN_COLUMNS} FROM r WHERE {_LISTED}"),
+        "ingest_twice": _sql(f" SELECT {_CLEAN_COLUMNS} FROM r WHERE {_LISTED}"),
         "ingest_light": _sql(
             " SELECT date, course, CAST(race_id AS VARCHAR) AS race_id, type, class, going, horse,"
             " CAST(ran AS DOUBLE) AS ran, TRY_CAST(pos AS DOUBLE) AS pos, CAST(draw AS DOUBLE) AS draw,"
@@ -305,6 +342,16 @@ def oracle_sql() -> dict[str, str]:
                               " FROM results"),
         "parse_weight": _sql(" SELECT id, CASE hg WHEN 'b' THEN draw + 120 WHEN 't' THEN NULL"
                              " ELSE wgt_lbs END AS wgt_lbs FROM r"),
+        "coerce_date_formats": _sql(" SELECT id, CASE WHEN draw % 7 = 6 THEN NULL ELSE date END AS date FROM results"),
+        "parse_weight_dirty": _sql(" SELECT id, CASE WHEN hg IS NULL THEN wgt_lbs END AS wgt_lbs FROM r"),
+        "class_moves_dirty": _sql(" SELECT count(*) AS total_rows FROM r"),
+        "cards_without_runners": _c(
+            " SELECT card_date, region, course, off, number, horse, rpr, row_number() OVER (PARTITION BY"
+            " card_date, region, course, off ORDER BY coalesce(rpr, 0) DESC, number) AS rank FROM cards"
+            " WHERE race_class <> 3 QUALIFY rank <= 3"),
+        "broken_cards": _sql(" SELECT date AS card_date, CAST(dayofmonth(date) = 7 AS BIGINT) AS broken FROM r"
+                             " GROUP BY date"),
+        **_model_sql(),
         "conform_schema": _sql(f" SELECT {_CLEAN_COLUMNS}, id, CAST(NULL AS VARCHAR) AS comment,"
                                " CAST(NULL AS INT) AS trainer_rtf FROM r"),
         "split_position": _sql(" SELECT id, pos AS pos_raw, pos_num, pos_num IS NOT NULL AS finished FROM r"),

@@ -45,7 +45,9 @@ def ingest(
 ) -> DataFrame:
     """Reads, cleans and (profile 'full') stores the CSV; returns the results.
 
-    Rows without a usable date cannot be ordered, so they go to ``<out>_quarantine``.
+    Appending adds only rows whose race and horse are not stored yet, so a rerun adds nothing; rows without
+    a race or horse can't be told apart and are added again. Rows without a usable date cannot be ordered, so
+    they go to ``<out>_quarantine``, which a run replaces.
     """
     raw = tables.read_results_csv(spark, csv, nrows)
     if profile == "light":
@@ -54,5 +56,11 @@ def ingest(
     staged = scratch_path(spark, "ingest-staging")
     clean_results(raw, values).write.parquet(staged)
     cleaned = spark.read.parquet(staged)
-    cleaned.where(F.col("date").isNull()).write.mode(mode).parquet(f"{out}_quarantine")
-    return tables.write_results(cleaned.where(F.col("date").isNotNull()), out, mode)
+    cleaned.where(F.col("date").isNull()).write.mode("overwrite").parquet(f"{out}_quarantine")
+    dated = cleaned.where(F.col("date").isNotNull())
+    known = tables.stored_results(spark, out) if mode == "append" else None
+    if known is not None:
+        dated = tables.unknown_rows(dated, known)
+    stored = tables.write_results(dated, out, mode)
+    spark.range(0).write.mode("overwrite").parquet(staged)  # frees the staged copy
+    return stored

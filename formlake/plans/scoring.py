@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from formlake.ml.store import load_model
 from formlake.ml.train import BLEND, Ensemble, Model, ensemble_mean, ensemble_weighted
 from formlake.operators import cards as card_ops
 from formlake.operators.cleaning import temporal_split
-from formlake.operators.context import latest_context, pair_context
+from formlake.operators.context import asof_context, pair_context
 from formlake.operators.ranking import rank_runners
 
 RACE = ["card_date", "region", "course", "off"]
@@ -32,10 +33,15 @@ def card_inputs(
     profile: str = "weighted",
     legacy_gear: bool = False,
     synergy: DataFrame | None = None,
+    context: Callable[[DataFrame, DataFrame], DataFrame] = asof_context,
 ) -> DataFrame:
-    """Runners with every model input. ``history`` is results with their features."""
+    """Runners with every model input. ``history`` is results with their features.
+
+    By default only results dated before the card count; ``latest_context`` takes the newest ones, which for a
+    card of a past date include its own result.
+    """
     running = card_ops.drop_non_runners(cards)
-    known = latest_context(running, history)
+    known = context(running, history)
     if profile == "mean" and synergy is not None:
         known = pair_context(known, history, synergy)
     inputs = card_ops.card_features(card_ops.card_defaults(known, profile), legacy_gear, profile)
@@ -56,10 +62,11 @@ def score_cards(
     profile: str = "weighted",
     legacy_gear: bool = False,
     synergy: DataFrame | None = None,
+    context: Callable[[DataFrame, DataFrame], DataFrame] = asof_context,
 ) -> DataFrame:
     """The ``n`` best runners of every race. Members are blended by weight ('weighted' profile)
     or averaged ('mean')."""
-    inputs = card_inputs(cards, history, profile, legacy_gear, synergy)
+    inputs = card_inputs(cards, history, profile, legacy_gear, synergy, context)
     scored = ensemble.score(inputs)
     if profile == "mean":
         blended = ensemble_mean(scored, [f"p_{m}" for m in ensemble.members])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Fixed values, here and below: names of the data model, in its order.
 # Raw CSV header, in file order. Every column is read as text.
 RAW_COLUMNS = [
     "date", "course", "race_id", "off", "race_name", "type", "class", "pattern", "rating_band",
@@ -30,14 +31,19 @@ RESULTS_SCHEMA = T.StructType([T.StructField(name, kind) for name, kind in [
     ("trainer_rtf", _INT), ("jockey_allowance", _INT),
 ]])
 
-# One race card document: region -> course -> off time -> race.
+# One race card document: region -> course -> off time -> race. All values are read as text, as numbers
+# may be quoted; CARD_TYPES says what they become.
 CARD_SCHEMA = (
     "map<string,map<string,map<string,struct<"
-    "race_name:string,prize:string,course_id:bigint,distance:string,distance_f:double,race_class:int,"
-    "runners:array<struct<name:string,number:int,lbs:string,draw:int,last_run:string,headgear:string,"
-    "ofr:int,rpr:int,jockey_allowance:int,non_runner:boolean,"
+    "race_name:string,prize:string,course_id:string,distance:string,distance_f:string,race_class:string,"
+    "runners:array<struct<name:string,number:string,lbs:string,draw:string,last_run:string,headgear:string,"
+    "ofr:string,rpr:string,jockey_allowance:string,non_runner:string,"
     "horse_id:string,trainer_id:string,jockey_id:string>>>>>>"
 )
+CARD_TYPES = {
+    "course_id": "bigint", "distance_f": "double", "race_class": "int", "number": "int", "draw": "int", "ofr": "int",
+    "rpr": "int", "jockey_allowance": "int", "non_runner": "boolean",
+}
 
 FORM_COLUMNS = ["avg_btn_3", "avg_btn_5", "days_since_last", "last_pos"]
 CLASS_COLUMNS = ["class_diff", "avg_class_3"]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formlake.schema import CARD_SCHEMA
+from formlake.functions.parsing import to_number
+from formlake.schema import CARD_SCHEMA, CARD_TYPES
 
 # The last date in the path: `2025-03-01.json`, or a `card_date=2025-03-01` folder.
 _PATH_DATE = r".*(\d{4}-\d{2}-\d{2})"
@@ -20,6 +21,21 @@ def path_date(path) -> F.Column:
     return F.try_to_date(F.regexp_extract(path, _PATH_DATE, 1), "yyyy-MM-dd")
 
 
+def _typed(value: F.Column, name: str) -> F.Column:
+    kind = CARD_TYPES.get(name)
+    if kind == "boolean":
+        return value.try_cast("boolean")
+    if kind == "bigint":
+        return value.try_cast("bigint")  # a double would lose digits
+    return to_number(value).try_cast(kind) if kind else value
+
+
+def broken_documents(documents: DataFrame) -> DataFrame:
+    """(card_date, broken): documents per date that aren't a card, cut off for instance; 0 where all are read."""
+    parsed = F.from_json("value", CARD_SCHEMA)
+    return documents.groupBy("card_date").agg(F.count_if(parsed.isNull()).alias("broken"))
+
+
 def parse_races(documents: DataFrame) -> DataFrame:
     """Documents (card_date, value) to one row per race, with its place in the document."""
     regions = documents.select(
@@ -31,7 +47,7 @@ def parse_races(documents: DataFrame) -> DataFrame:
     races = courses.select("*", F.explode("r").alias("off", "race")).drop("r")
     return races.select(
         "card_date", "region_pos", "course_pos", "region", "course", "off",
-        *[F.col(f"race.{c}").alias(c) for c in RACE_COLUMNS], F.col("race.runners").alias("runners"),
+        *[_typed(F.col(f"race.{c}"), c).alias(c) for c in RACE_COLUMNS], F.col("race.runners").alias("runners"),
     )
 
 
@@ -41,7 +57,7 @@ def explode_runners(races: DataFrame) -> DataFrame:
     return rows.select(
         "card_date", "region", "course", "off", *RACE_COLUMNS, F.col("r.name").alias("horse"),
         F.col("r.horse_id").alias("horse_id"), F.col("r.trainer_id").alias("trainer"),
-        F.col("r.jockey_id").alias("jockey"), *[F.col(f"r.{c}").alias(c) for c in RUNNER_COLUMNS],
+        F.col("r.jockey_id").alias("jockey"), *[_typed(F.col(f"r.{c}"), c).alias(c) for c in RUNNER_COLUMNS],
     )
 
 
@@ -50,17 +66,16 @@ def read_documents(
 ) -> DataFrame:
     """Whole card files: those of ``date``, of the newest date, or all of them.
 
-    Only paths are listed to choose the files; contents of other files are not read.
+    Files are chosen by their paths, which Spark does before it opens them.
     """
+    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    dated = path_date(F.col("_metadata.file_path"))
     if date is not None or latest:
-        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        dated = listed.select("path", path_date("path").alias("card_date"))
-        wanted = date or dated.agg(F.max("card_date")).first()[0]
-        path = [row["path"] for row in dated.where(F.col("card_date") == F.lit(wanted)).collect()]
-        if not path:
+        wanted = date or text.agg(F.max(dated)).first()[0]
+        text = text.where(dated == F.lit(wanted).cast("date"))
+        if text.select(dated).isEmpty():
             raise FileNotFoundError(f"no race card file for {wanted}")
-    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    return text.select(path_date("_metadata.file_path").alias("card_date"), "value")
+    return text.select(dated.alias("card_date"), "value")
 
 
 def read_racecards(

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formlake.functions.parsing import na_to_null
-from formlake.operators.skew import lookup, positions
+from formlake.operators.skew import positions
 
 # Columns each history family reads.
 FAMILY_COLUMNS = {
@@ -35,9 +37,14 @@ def read_results_csv(
     return raw.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in raw.columns])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def stored_results(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def write_results(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
@@ -48,8 +55,9 @@ def write_results(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """
     spark = df.sparkSession
     first = 0
-    if mode == "append" and _exists(spark, path):
-        first = spark.read.parquet(path).agg(F.max("id")).first()[0] or 0
+    known = stored_results(spark, path) if mode == "append" else None
+    if known is not None:
+        first = known.agg(F.max("id")).first()[0] or 0
     columns = [c for c in df.columns if c != "id"]
     leading = [c for c in ("date", "race_id", "num", "horse") if c in columns]
     order = [F.col(f"`{c}`") for c in [*leading, *[c for c in columns if c not in leading]]]
@@ -63,13 +71,22 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def unknown_rows(new: DataFrame, existing: DataFrame, keys: Sequence[str] = ("race_id", "horse")) -> DataFrame:
+    """The new rows whose key is not there yet, one of each key.
+
+    A NULL in a key matches nothing: such rows are all kept.
+    """
+    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    fresh = new.where(keyed).dropDuplicates(list(keys))
+    fresh = fresh.join(existing.select(*keys).where(keyed), list(keys), "left_anti")
+    return fresh.select(*new.columns).unionByName(new.where(~keyed))
+
+
 def dedupe_append(
     new: DataFrame, existing: DataFrame, keys: Sequence[str] = ("race_id", "horse")
 ) -> DataFrame:
-    """Existing rows plus the new ones whose key is not there yet."""
-    known = existing.select(*keys).distinct()
-    fresh = lookup(new, known, keys, "left_anti")
-    return existing.unionByName(fresh, allowMissingColumns=True)
+    """Existing rows plus the new ones whose key is not there yet (see ``unknown_rows``)."""
+    return existing.unionByName(unknown_rows(new, existing, keys), allowMissingColumns=True)
 
 
 def write_features(

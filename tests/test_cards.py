@@ -46,6 +46,25 @@ def test_newest_named_and_all_files(spark, card_dir, newest):
         racecards.read_racecards(spark, card_dir, date="2020-01-01")
 
 
+def test_quoted_numbers_and_broken_files(spark):
+    runner = {"name": "A", "number": "4", "ofr": "61", "rpr": 7, "non_runner": "false", "draw": "99999999999"}
+    whole = json.dumps({"GB": {"York": {"1:00": {"race_class": "3", "distance_f": "8.5", "course_id": 12,
+                                                 "runners": [runner]}}}})
+    docs = spark.createDataFrame([(date(2025, 1, 1), whole), (date(2025, 1, 1), whole[:40]), (date(2025, 1, 2), "")],
+                                 "card_date date, value string")
+    (row,) = racecards.explode_runners(racecards.parse_races(docs)).collect()
+    assert (row["number"], row["ofr"], row["rpr"], row["race_class"], row["distance_f"], row["course_id"]) == (
+        4, 61, 7, 3, 8.5, 12)
+    assert row["non_runner"] is False and row["draw"] is None
+    broken = {r["card_date"].day: r["broken"] for r in racecards.broken_documents(docs).collect()}
+    assert broken == {1: 1, 2: 1}
+
+
+def test_long_numbers_do_not_stop_scoring(spark):
+    card = spark.createDataFrame([("99999999999", "99999999999")], "lbs string, last_run string")
+    assert card.select(cards._pounds().alias("p")).first()["p"] == 0
+
+
 def test_meeting_index_follows_the_document(spark, card_dir):
     races = racecards.parse_races(racecards.read_documents(spark, card_dir))
     rows = cards.meeting_index(races).orderBy(F.substring("code", 2, 2)).collect()
@@ -55,7 +74,7 @@ def test_meeting_index_follows_the_document(spark, card_dir):
 
 
 def test_top_by_rating_counts_missing_as_zero(newest):
-    rows = top_by_rating(newest.where("horse is not null"), n=2).where("off = '2:00'").orderBy("rank").collect()
+    rows = top_by_rating(newest, n=2).where("off = '2:00'").orderBy("rank").collect()
     assert [r["horse"] for r in rows] == ["O'Hara", "New"]
 
 
@@ -78,7 +97,7 @@ def known(spark, newest):
 
 
 def test_latest_and_asof_context(newest, known):
-    running = cards.drop_non_runners(newest.where("horse is not null"))
+    running = cards.drop_non_runners(newest)
     latest = {r["horse"]: r for r in context.latest_context(running, known).collect()}
     assert set(latest) == {"O'Hara", "New", "Known"}
     assert latest["O'Hara"]["ctx_combo_runs"] == 9 and not latest["New"]["found"]
@@ -87,7 +106,7 @@ def test_latest_and_asof_context(newest, known):
 
 
 def test_defaults_only_for_unknown_horses(newest, known):
-    running = context.asof_context(cards.drop_non_runners(newest.where("horse is not null")), known)
+    running = context.asof_context(cards.drop_non_runners(newest), known)
     rows = {r["horse"]: r for r in cards.card_defaults(running).collect()}
     assert (rows["New"]["avg_btn_3"], rows["New"]["last_pos"], rows["New"]["avg_class_3"]) == (6.0, 5.0, 4.0)
     assert rows["New"]["wgt_lbs"] == 0 and rows["New"]["days_since_last"] == 30
@@ -98,7 +117,7 @@ def test_defaults_only_for_unknown_horses(newest, known):
 
 
 def test_card_features(newest, known):
-    running = context.asof_context(cards.drop_non_runners(newest.where("horse is not null")), known)
+    running = context.asof_context(cards.drop_non_runners(newest), known)
     rows = {r["horse"]: r for r in cards.card_features(running).collect()}
     assert [rows[h]["gear_change"] for h in ("O'Hara", "New", "Known")] == [0, 1, 0]
     assert [rows[h]["or_change"] for h in ("O'Hara", "New", "Known")] == [4, 0, -6]

@@ -110,8 +110,38 @@ def test_ingest(spark, csv_dir, split_rows, limit):
         "Ascot", 133, 80, "led, held on")
     assert (ann["pos"], ann["wgt_lbs"], ann["prize"]) == ("PU", None, None)
     assert [r["horse"] for r in spark.read.parquet(f"{out}_quarantine").collect()] == ["Dee"]
-    again = ingest(spark, str(csv_dir / "in"), out)  # appending continues the ids
-    assert sorted(r["id"] for r in again.select("id").collect()) == [1, 2, 3, 4, 5, 6]
+    again = ingest(spark, str(csv_dir / "in"), out)  # nothing new
+    assert sorted(r["id"] for r in again.select("id").collect()) == [1, 2, 3]
+    (csv_dir / "in" / "c.csv").write_text(HEADER + "2022-01-01,Bath,15,2:00,Flo,1,2,9-0,70,,\n")
+    more = ingest(spark, str(csv_dir / "in"), out)  # appending continues the ids
+    assert sorted((r["id"], r["horse"]) for r in more.select("id", "horse").collect())[3:] == [(4, "Flo")]
+
+
+def test_dirty_values_become_null(spark):
+    df = spark.createDataFrame([(t,) for t in (
+        "999999999-1", "99999999999-99999999999", "99999999999", "9-7", "133", "x")], "t string")
+    assert [r[0] for r in df.select(parsing.parse_weight("t")).collect()] == [None, None, None, 133, 133, None]
+    days = ["2024-12-31T00:00:00", "2024-12-31 14:30:00.000", "2024/12/31", "20241231", "31/12/2024", "31-12-2024",
+            "2024-12-31 14:30", "2024-12-31"]
+    df = spark.createDataFrame([(t,) for t in days], "date string")
+    assert {r["date"] for r in cleaning.coerce_date(df).collect()} == {date(2024, 12, 31)}
+
+
+def test_keys_with_nulls_are_never_known(spark):
+    old = spark.createDataFrame([(None, None), (7, None), (7, "a")], "race_id long, horse string")
+    new = spark.createDataFrame([(None, None), (7, None), (7, "a"), (8, "b"), (8, "b")], old.schema)
+    got = sorted(map(str, tables.dedupe_append(new, old).select("race_id", "horse").collect()))
+    assert got == sorted(map(str, [*old.collect(), *new.collect()[:2], new.collect()[3]]))
+
+
+def test_a_long_list_filters_a_stream(spark, tmp_path):
+    spark.createDataFrame([("c7",), (" c8 ",), ("no",)], "course string").write.parquet(str(tmp_path / "in"))
+    listed = spark.range(12_000).select(F.concat(F.lit("c"), "id").alias("name"))
+    stream = spark.readStream.schema("course string").parquet(str(tmp_path / "in"))
+    query = cleaning.allowlist_filter(stream, "course", listed).writeStream.format("memory").queryName(
+        "listed").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {r["course"] for r in spark.table("listed").collect()} == {"c7", "c8"}
 
 
 def test_light_profile_and_row_cap(spark, csv_dir):

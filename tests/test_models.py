@@ -1,6 +1,7 @@
 from datetime import date
 
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from formlake import schema
@@ -97,11 +98,51 @@ def test_codes_are_fitted_on_the_training_part(spark):
     assert codes(fit_on="all") == {"a": 0, "b": 1, "c": 2, None: -1}
 
 
-def test_too_many_categories_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(prepare, "MAX_CATEGORIES", 50)
-    df = spark.range(500).select(F.col("id").cast("string").alias("c"))
+def test_codes_of_many_categories(spark):
+    df = spark.range(12_000).select(F.col("id").cast("string").alias("c"))
     with pytest.raises(ValueError, match="categories"):
         prepare.fit_categories(df, ["c"])
+    coded = {r["c"]: r["c_code"] for r in prepare.encode_categories(df, ["c"]).collect()}
+    assert coded == {c: i for i, c in enumerate(sorted(coded))}
+
+
+def test_a_slow_rate_keeps_its_trees(halves):
+    model = train.train_classifier(halves[0], trees=24, depth=3, rate=0.01)
+    assert model.fitted.stages[-1].getNumTrees > 12
+
+
+def test_depth_is_passed_on(halves):
+    prep = prepare.fit_preparation(halves[0], ["avg_btn_3", "draw"])
+    model = train.train_gbm_wide(prep.transform(halves[0]), PipelineModel([]), trees=1, depth=9)
+    assert model.stages[-1].getMaxDepth() == 9
+
+
+def test_holdout_of_whole_days(spark):
+    def marked(days, share):
+        df = spark.createDataFrame([(date(2020, 1, d),) for d in days], "date date")
+        return sorted((r["date"].day, r["_valid"]) for r in train._holdout(df, share).collect())
+
+    assert marked([1] * 6 + [2] * 4, 0.1) == [(1, False)] * 6 + [(2, True)] * 4
+    assert marked([1] * 9 + [2], 0.5) == [(1, False)] * 9 + [(2, True)]
+    assert marked([1] * 3, 0.2) == [(1, False)] * 3 == marked([1] * 3, 0)
+    assert marked(range(1, 11), 0.2)[-3:] == [(8, True), (9, True), (10, True)]
+
+
+def test_no_holdout_trains_on_all(halves):
+    assert train.train_classifier(halves[0], trees=3, depth=2, holdout=0).fitted.stages[-1].getNumTrees == 3
+
+
+def test_best_count_is_patient():
+    losses = [5.0, 4.0, 4.5, 4.4, 3.9, 4.1, 4.2, 4.3, 1.0]
+    assert [train.best_count(losses, n) for n in (1, 3, 4, 9)] == [2, 5, 9, 9]
+
+
+def test_deep_ranker_uses_the_race(spark, halves):
+    model = train.train_deep_ranker(halves[0], group=["race_id"], trees=6, depth=4, rate=0.3)
+    scored = model.score(halves[1])
+    assert scored.columns == [*halves[1].columns, "prob"] and auc_of(scored) > 0.75
+    inputs = model.prepare(halves[1]).select("features").first()["features"].size
+    assert inputs == 2 * len(schema.ALL_FEATURES) + len(schema.CATEGORIES)
 
 
 def test_scaling_of_constant_and_missing_columns(spark):

@@ -37,10 +37,17 @@ def same(a, b):
 def test_over_full_keys_are_found_and_bounded(rows):
     hot = KeyScan(rows, SplitPolicy(1000, 10)).hot(["k"])
     assert hot.n_keys == 2 and hot.n_rows == 6000  # NULL is a key too
-    assert KeyScan(rows, SplitPolicy(1000, 1)).hot(["k"]).n_keys == 1
+    more = KeyScan(rows, SplitPolicy(1000, 1)).hot(["k"])  # too many to broadcast, but all are split
+    assert more.n_keys == 2 and more.n_rows == 6000
     assert KeyScan(rows, SplitPolicy(10_000, 10)).hot(["k"]) is None
 
 
+def test_more_keys_than_are_broadcast(rows):
+    order, totals = [F.col("v"), F.col("id")], {"t": F.col("s")}
+    plain = running_totals(rows, ["k"], order, totals, KeyScan(rows, SplitPolicy(10**6)))
+    same(running_totals(rows, ["k"], order, totals, KeyScan(rows, SplitPolicy(100, 1, 1))), plain)
+
+
 def test_finer_keys_need_no_scan_when_the_coarse_key_is_fine(rows):
     scan = KeyScan(rows, SplitPolicy(4000, 10))
     assert scan.hot(["k"]) is None and scan.hot(["k", "s"]) is None
@@ -83,6 +90,7 @@ def test_group_values_and_lookup(rows, split_rows):
 
 def test_dedupe_append_is_idempotent(rows, split_rows):
     split_rows(700)
+    rows = rows.where("k is not null")  # a NULL is no key
     old = rows.where("v < 50")
     once = dedupe_append(rows, old, ("k", "id"))
     same(once, rows)

@@ -77,16 +77,17 @@ def audit_logical_errors(df: DataFrame) -> DataFrame:
 def data_audit(df: DataFrame) -> DataFrame:
     """Every audit as (metric, period, value) rows, in one pass over the results.
 
-    Rows are counted by race; every race then emits its share of each metric and 1 for each year
-    it was run in, and the shares are summed.
+    Rows are counted by race and year, which gives the races of each year, and then by race; every race emits
+    its share of each metric, and the shares are summed. All of it is counts, so no task gathers sets.
     """
     _, num = _pos(df)
     checks = {**_null_checks(df), "logical_errors": _logical_error(df)}
-    races = df.groupBy("race_id").agg(
+    counted = ["_wins", "total_rows", *checks]
+    parts = df.groupBy("race_id", F.year("date").alias("_year")).agg(
         F.sum(parsing.is_win(num)).alias("_wins"), F.count(F.lit(1)).alias("total_rows"),
-        F.collect_set(F.year("date")).alias("_years"),
         *[F.count_if(check).alias(name) for name, check in checks.items()],
     )
+    races = parts.groupBy("race_id").agg(*[F.sum(c).alias(c) for c in counted])
     known = F.col("race_id").isNotNull()
     shares = {
         "total_rows": F.col("total_rows"),
@@ -104,13 +105,14 @@ def data_audit(df: DataFrame) -> DataFrame:
 
     nothing = F.lit(None)
     scalars = F.array(*[share(metric, nothing, value) for metric, value in shares.items()])
-    yearly = F.transform("_years", lambda year: share("races_in_year", year, known))
     # An empty table still reports its zeros.
     zeros = df.sparkSession.range(1).select(
         F.explode(F.array(*[share(metric, nothing, F.lit(0)) for metric in shares])).alias("m")
     )
-    emitted = races.select(F.explode(F.concat(scalars, yearly)).alias("m")).unionByName(zeros)
-    return emitted.select("m.*").groupBy("metric", "period").agg(F.sum("value").alias("value"))
+    yearly = parts.where(F.col("_year").isNotNull()).groupBy("_year").agg(F.count("race_id").alias("value")).select(
+        F.lit("races_in_year").alias("metric"), F.col("_year").alias("period"), "value")
+    emitted = races.select(F.explode(scalars).alias("m")).unionByName(zeros).select("m.*")
+    return emitted.groupBy("metric", "period").agg(F.sum("value").alias("value")).unionByName(yearly)
 
 
 def coverage_summary(

@@ -26,42 +26,40 @@ def build_features(
     also serves horse and course). Rows get wider with every family, so the one that adds one
     column goes first and the one that adds nine goes last, after the last shuffle.
 
-    With over-full keys every family is computed from its own few columns and joined by id:
-    chunks are written out, and in one long chain each family would repeat the ones before it.
+    A family with over-full keys is computed from its own few columns and joined by id, as its chunks are written
+    out and would repeat the families before it; the others stay in the one pass.
     """
     scan = KeyScan(results)
-    if any([scan.hot(keys) is not None for keys in FAMILY_KEYS]):
-        return _build_by_family(results, same_day, null_keys, scan)
-    out = results.withColumn("true_wgt", history.true_weight_of(results))
-    out = history.add_race_value(out, scan=scan).drop("race_value")
-    out = history.add_pair_stats(out, same_day=same_day, scan=scan, null_keys=null_keys)
-    out = history.add_lookbacks(out, "horse", history.horse_families(results), scan, null_keys)
-    return history.add_place_stats(out, scan=scan, null_keys=null_keys)
+    split = {tuple(keys): scan.hot(keys) is not None for keys in FAMILY_KEYS}
+    how = {"scan": scan, "null_keys": null_keys}
 
+    def race(df: DataFrame) -> DataFrame:
+        return history.add_race_value(df, scan=scan).drop("race_value")
 
-def _build_by_family(
-    results: DataFrame, same_day: str, null_keys: str, scan: KeyScan
-) -> DataFrame:
-    def part(*columns: str) -> DataFrame:
-        return history.narrow(results, *columns)
+    def pair(df: DataFrame) -> DataFrame:
+        return history.add_pair_stats(df, same_day=same_day, **how)
 
-    race = history.add_race_value(part("race_id", "prize"), scan=scan)
-    pair = history.add_pair_stats(
-        part("date", "trainer", "jockey", "pos"), same_day=same_day, scan=scan, null_keys=null_keys
-    )
-    runs = part("date", "horse", "pos", "btn", "class", "hg", "official_rating")
-    horse = history.add_lookbacks(runs, "horse", history.horse_families(runs), scan, null_keys)
-    course = history.add_place_stats(
-        part("date", "horse", "course", "pos"), scan=scan, null_keys=null_keys
+    def horse(df: DataFrame) -> DataFrame:
+        return history.add_lookbacks(df, "horse", history.horse_families(df), scan, null_keys)
+
+    def course(df: DataFrame) -> DataFrame:
+        return history.add_place_stats(df, **how)
+
+    families = (
+        (("race_id",), race, ["race_id", "prize"], ["log_prize"]),
+        (("trainer", "jockey"), pair, ["date", "trainer", "jockey", "pos"], schema.SYNERGY_COLUMNS),
+        (("horse",), horse, ["date", "horse", "pos", "btn", "class", "hg", "official_rating"],
+         [*schema.FORM_COLUMNS, *schema.CLASS_COLUMNS, "gear_change", "or_change"]),
+        (("horse", "course"), course, ["date", "horse", "course", "pos"], schema.COURSE_COLUMNS),
     )
-    out = results.withColumn("true_wgt", history.true_weight_of(results))
-    for table, columns in (
-        (race, ["log_prize"]),
-        (pair, schema.SYNERGY_COLUMNS),
-        (horse, [*schema.FORM_COLUMNS, *schema.CLASS_COLUMNS, "gear_change", "or_change"]),
-        (course, schema.COURSE_COLUMNS),
-    ):
-        out = out.join(table.select("id", *columns), "id")
+    out, apart = results.withColumn("true_wgt", history.true_weight_of(results)), []
+    for keys, add, needed, added in families:
+        if split[keys]:
+            apart.append(add(history.narrow(results, *needed)).select("id", *added))
+        else:
+            out = add(out)
+    for table in apart:
+        out = out.join(table, "id")
     return out
 
 

@@ -39,8 +39,3 @@ def docs(spark):
 
     return make
 
-
-def python_nodes(df):
-    """Operators of the plan that run Python."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return [x for x in ("Python", "Pandas", "Arrow") if x in plan]

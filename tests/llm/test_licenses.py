@@ -1,4 +1,4 @@
-from conftest import SF, python_nodes
+from brute import SF, python_nodes
 
 from formlake.llm import licenses
 

@@ -3,8 +3,7 @@ import sys
 from pathlib import Path
 
 import corpus_pipeline
-from brute import HARD, near_components, tiling, words
-from conftest import SF
+from brute import HARD, SF, near_components, tiling, words
 
 import __spark_entry__ as contract
 from formlake.llm import queries

@@ -1,5 +1,4 @@
-from brute import HARD
-from conftest import python_nodes
+from brute import HARD, python_nodes
 
 from formlake.llm import quality
 

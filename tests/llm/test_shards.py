@@ -1,7 +1,6 @@
 from collections import Counter
 
-from brute import HARD
-from conftest import python_nodes
+from brute import HARD, python_nodes
 
 from formlake.llm import shards
 

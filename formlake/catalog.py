@@ -210,6 +210,18 @@ def incremental_ingest(spark, sf):
     return out.select(*CLEAN_COLUMNS)
 
 
+@query
+def incremental_ingest_compacted(spark, sf):
+    streamed = files.incremental_ingest(
+        spark, fixtures.raw_csv(spark, sf), scratch_path(spark, "stream"),
+        scratch_path(spark, "stream-checkpoint"), columns=fixtures.raw_text(spark, sf).columns,
+        values=listed_courses(spark, sf),
+    )
+    path = scratch_path(spark, "compacted")
+    ingest.store_cleaned(streamed, path)
+    return ingest.store_cleaned(streamed, path).select(*CLEAN_COLUMNS)
+
+
 @query
 def ingest_full(spark, sf):
     out = ingest.ingest(

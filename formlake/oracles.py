@@ -328,6 +328,7 @@ def oracle_sql() -> dict[str, str]:
                          + ") t JOIN information_schema.columns c ON t.table_name = c.table_name",
         "incremental_ingest": _sql(f" SELECT {_CLEAN_COLUMNS} FROM r WHERE {_LISTED}"),
         "ingest": _sql(f" SELECT {_CLEAN_COLUMNS} FROM r WHERE {_LISTED}"),
+        "incremental_ingest_compacted": _sql(f" SELECT {_CLEAN_COLUMNS} FROM r WHERE {_LISTED}"),
         "ingest_twice": _sql(f" SELECT {_CLEAN_COLUMNS} FROM r WHERE {_LISTED}"),
         "ingest_light": _sql(
             " SELECT date, course, CAST(race_id AS VARCHAR) AS race_id, type, class, going, horse,"

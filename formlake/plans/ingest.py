@@ -55,12 +55,19 @@ def ingest(
     # Parse the text once; numbering and the quarantine then read columns.
     staged = scratch_path(spark, "ingest-staging")
     clean_results(raw, values).write.parquet(staged)
-    cleaned = spark.read.parquet(staged)
+    stored = store_cleaned(spark.read.parquet(staged), out, mode)
+    spark.range(0).write.mode("overwrite").parquet(staged)  # frees the staged copy
+    return stored
+
+
+def store_cleaned(cleaned: DataFrame, out: str, mode: str = "append") -> DataFrame:
+    """Numbers cleaned rows and adds those that are new to the results table; undated rows go to quarantine.
+
+    This also compacts what ``incremental_ingest`` has written, as often as one likes.
+    """
     cleaned.where(F.col("date").isNull()).write.mode("overwrite").parquet(f"{out}_quarantine")
     dated = cleaned.where(F.col("date").isNotNull())
-    known = tables.stored_results(spark, out) if mode == "append" else None
+    known = tables.stored_results(cleaned.sparkSession, out) if mode == "append" else None
     if known is not None:
         dated = tables.unknown_rows(dated, known)
-    stored = tables.write_results(dated, out, mode)
-    spark.range(0).write.mode("overwrite").parquet(staged)  # frees the staged copy
-    return stored
+    return tables.write_results(dated, out, mode)

@@ -11,6 +11,7 @@ another block of the same.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -113,7 +114,10 @@ def _confirmer(k: int, percent: int):
             signatures = [np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in part.column(c)]) for c in ("sa", "sb")]
             share = (signatures[0] == signatures[1]).mean(axis=1)
             part = part.filter(pa.array(share >= _least_agreement()))
-            left, right = distinct_sets(part.column("ta"), k), distinct_sets(part.column("tb"), k)
+            left, right = (
+                distinct_sets(pa.array([zlib.decompress(x) for x in part.column(c).to_pylist()], pa.binary()), k)
+                for c in ("ta", "tb")
+            )
             keep = []
             for x, y in zip(left, right, strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
@@ -123,11 +127,11 @@ def _confirmer(k: int, percent: int):
     return confirm
 
 
-_WHOLE = "set_key long, text string, shingles binary, bands array<long>, signature binary"
+_WHOLE = "set_key long, text binary, shingles binary, bands array<long>, signature binary"
 
 
 def _whole(k: int):
-    """Text, set and sketch of each wanted class; drops rows whose text is another's (ids can repeat)."""
+    """Packed text, set and sketch of each wanted class; drops rows whose text is another's (ids can repeat)."""
 
     def check(batches):
         for part in W.slices(batches, "text"):
@@ -140,8 +144,9 @@ def _whole(k: int):
             if not sets:
                 continue
             least = minima(sets)
+            texts = [zlib.compress(x.as_buffer(), 3) for x in part.column("text")]
             yield pa.RecordBatch.from_arrays([
-                *part.columns, pa.array([s.tobytes() for s in sets], pa.binary()),
+                part.column("set_key"), pa.array(texts, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
                 pa.array(list(band_keys(least).view(np.int64)), pa.list_(pa.int64())),
                 pa.array([row.tobytes() for row in least.astype(np.uint8)], pa.binary()),
             ], ["set_key", "text", "shingles", "bands", "signature"])
@@ -306,21 +311,20 @@ def _open_links(placed: DataFrame, signed: DataFrame, docs: DataFrame, k: int, p
     """Links between different components within the open buckets."""
     placed = store(placed, "open")
     classes = placed.select("set_key").distinct()
-    sets = _texts(classes, signed, docs, k).drop("text").dropDuplicates(["set_key"])
-    members = placed.join(sets, "set_key")
+    sets = store(_texts(classes, signed, docs, k).drop("text").dropDuplicates(["set_key"]), "sets")
     # Classes of a component with many members in the bucket share blocks, which never meet each other.
     own = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {PURE_MEMBERS}")
     own = own.select("bucket", "root", F.col("root").alias("pure"))
-    members = store(members.join(own, ["bucket", "root"], "left"), "open-members")
-    parts = members.groupBy("bucket", "pure").agg(
-        F.greatest(F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES))
-        .alias("parts"))
+    placed = store(placed.join(own, ["bucket", "root"], "left"), "placed")
+    sizes = sets.select("set_key", F.octet_length("shingles").alias("size"))
+    parts = placed.join(sizes, "set_key").groupBy("bucket", "pure").agg(
+        F.greatest(F.ceil(F.sum("size") / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES)).alias("parts"))
     key = (F.col("m.bucket") == F.col("p.bucket")) & F.col("m.pure").eqNullSafe(F.col("p.pure"))
+    part = F.pmod(F.xxhash64("set_key"), "parts")
+    dealt = placed.alias("m").join(parts.alias("p"), key).select("m.bucket", "m.pure", "set_key", "root", part.alias("part"))
     row = F.struct("set_key", "root", "bands", "signature", "shingles")
-    blocks = members.alias("m").join(parts.alias("p"), key).select(
-        "m.bucket", "m.pure", F.pmod(F.xxhash64("set_key"), "parts").alias("part"), row.alias("row"))
-    blocks = blocks.groupBy("bucket", "pure", "part").agg(F.collect_list("row").alias("rows"))
-    blocks = store(blocks.withColumn("block", F.xxhash64("pure", "part")), "blocks")
+    blocks = dealt.join(sets, "set_key").groupBy("bucket", "pure", "part").agg(F.collect_list(row).alias("rows"))
+    blocks = blocks.withColumn("block", F.xxhash64("pure", "part"))
     left, right = blocks.alias("l"), blocks.alias("r")
     meet = (
         (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.block") <= F.col("r.block"))
@@ -330,7 +334,7 @@ def _open_links(placed: DataFrame, signed: DataFrame, docs: DataFrame, k: int, p
         "l.bucket", (F.col("l.block") == F.col("r.block")).alias("same"), F.col("l.rows").alias("left"),
         F.col("r.rows").alias("right"))
     links = store(pairs.mapInArrow(_between_blocks(percent), "a long, b long"), "open-links")
-    release(members, blocks)
+    release(sets)
     return links
 
 

@@ -50,7 +50,7 @@ FROM line"""
 
 # Ids number the lines in order of race and place, however many lines a race has. Spark counts them with
 # ``positions``, which splits the table; one window over all rows is for SQL engines on one machine.
-RESULTS_SELECT = f"SELECT row_number() OVER (ORDER BY race_id, seq) AS id, placed.* FROM ({ROWS_SELECT}) placed"
+RESULTS_SELECT = f"SELECT CAST(row_number() OVER (ORDER BY race_id, seq) AS BIGINT) AS id, placed.* FROM ({ROWS_SELECT}) placed"
 RESULTS_SQL = f"WITH {LINE_CTE} {RESULTS_SELECT}"
 
 
@@ -69,7 +69,7 @@ def results_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     else:
         _split_lines(spark, lines, scan).createOrReplaceTempView("line")
         rows = spark.sql(ROWS_SELECT)
-    return positions(rows, [], [F.col("race_id"), F.col("seq")], "id")
+    return positions(rows, [], [F.col("race_id"), F.col("seq")], "id").select("id", *rows.columns)
 
 
 def _split_lines(spark: SparkSession, lines: DataFrame, scan: KeyScan) -> DataFrame:

@@ -32,7 +32,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All tokens of the remaining documents in sequences of at most 1024."""
-    return best_fit.best_fit(docs, public_path("byte_bpe_50k.json"), end_id=2)
+    return best_fit.best_fit(docs, public_path("byte_bpe_50k.json"), end_id=2, special_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

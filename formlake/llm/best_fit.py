@@ -78,9 +78,9 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return rows
 
 
-def _cutter(path: str, end: int, capacity: int):
+def _cutter(path: str, end: int, capacity: int, special_ids: bool):
     def cut(batches):
-        encoder = T.encoder(path)
+        encoder = T.encoder(path, special_ids)
         for part in W.slices(batches, "text", T.SLICE_BYTES):
             ids, at = encoder.encode_with_end(part.column("text"), end)
             raw = ids.astype("<u4")
@@ -102,12 +102,13 @@ def _cutter(path: str, end: int, capacity: int):
 
 
 def cut_pieces(
-    df: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text",
+    special_ids: bool = False,
 ) -> DataFrame:
     """Pieces of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32; the first may be shorter."""
     docs = distinct_names(df, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     return docs.mapInArrow(
-        _cutter(tokenizer_path, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+        _cutter(tokenizer_path, end_id, capacity, special_ids), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def _numbered(batches):
@@ -161,13 +162,15 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def best_fit(
-    df: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text",
+    special_ids: bool = False,
 ) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Every row is a document of its own, also when ids repeat or are null; null and empty texts consist of
     the end id only. Ties of length are broken by doc_id and start. Only documents longer than the
-    capacity are cut. An empty table gives an empty table; extra columns are ignored.
+    capacity are cut. ``special_ids`` is that of ``Encoder``. An empty table gives an empty table; extra columns
+    are ignored.
     """
-    pieces = store(cut_pieces(df, tokenizer_path, end_id, capacity, id_col, text_col), "pieces")
+    pieces = store(cut_pieces(df, tokenizer_path, end_id, capacity, id_col, text_col, special_ids), "pieces")
     return pack_pieces(pieces, capacity)

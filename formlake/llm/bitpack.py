@@ -113,9 +113,9 @@ def _block(file_no, doc_ids, counts, ids, width, before) -> bytes:
     return b"".join([head, plain.tobytes(), null.tobytes(), np.array(counts, "<u8").tobytes(), fields, b"\0" * 8])
 
 
-def _writer(path: str, end: int, vocabulary: int | None, block_tokens: int):
+def _writer(path: str, end: int, vocabulary: int | None, block_tokens: int, special_ids: bool):
     def write(batches):
-        encoder = T.encoder(path)
+        encoder = T.encoder(path, special_ids)
         width = width_of(max(vocabulary or encoder.vocabulary, end + 1))
         file_no = TaskContext.get().partitionId()
         place = before = docs = 0
@@ -160,13 +160,14 @@ def _writer(path: str, end: int, vocabulary: int | None, block_tokens: int):
 def write_packed(
     df: DataFrame, path: str, tokenizer_path: str, end_id: int, vocabulary: int | None = None,
     id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS,
+    special_ids: bool = False,
 ) -> None:
     """Encodes every text, appends ``end_id``, and writes the files to ``path`` in ascending order of the id.
 
     Null texts are empty and have only the end id; null ids come first. Rows with equal ids are ordered by
     a hash of the text, so many of them can be dealt to several files. An empty table writes no file with
     blocks. Files follow each other in the order of their numbers. ``vocabulary`` sets the width of the
-    fields, by default the tokenizer's size.
+    fields, by default the tokenizer's size. ``special_ids`` is that of ``Encoder``.
     """
     docs = distinct_names(df, doc_id=id_col, text=text_col)
     # The last key deals out rows that are equal altogether; they are interchangeable.
@@ -174,7 +175,7 @@ def write_packed(
                         F.monotonically_increasing_id().alias("row"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("row")]
     ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    blocks = ranged.mapInArrow(_writer(tokenizer_path, end_id, vocabulary, block_tokens), "value binary")
+    blocks = ranged.mapInArrow(_writer(tokenizer_path, end_id, vocabulary, block_tokens, special_ids), "value binary")
     # The text writer puts the bytes of a string out as they are.
     blocks.select(F.col("value").cast("string").alias("value")).write.text(path, lineSep="\n")
 
@@ -208,10 +209,11 @@ def read_packed(spark, path: str) -> DataFrame:
 
 
 def packed_documents(
-    df: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int | None = None, **columns: str
+    df: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int | None = None, special_ids: bool = False,
+    **columns: str,
 ) -> DataFrame:
     """Writes the files to the shared scratch folder and returns what reading them back gives."""
     spark = df.sparkSession
     path = scratch_path(spark, "packed")
-    write_packed(df, path, tokenizer_path, end_id, vocabulary, **columns)
+    write_packed(df, path, tokenizer_path, end_id, vocabulary, special_ids=special_ids, **columns)
     return read_packed(spark, path)

@@ -35,7 +35,7 @@ def op5_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit.best_fit(_table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), end_id=2)
+    return best_fit.best_fit(_table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), end_id=2, special_ids=True)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bitpack.packed_documents(_table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), end_id=1)
+    return bitpack.packed_documents(_table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), end_id=1, special_ids=True)
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

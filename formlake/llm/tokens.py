@@ -8,6 +8,7 @@ of a text are those of its pieces put together. Every distinct piece of a slice
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -75,17 +76,38 @@ def pieces_without_space(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
     return np.flatnonzero(begins), np.flatnonzero(stops)
 
 
+def set_apart(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]
+) -> tuple[np.ndarray, np.ndarray]:
+    """Makes each span one piece of its own; the pieces on both sides end and start there."""
+    if not spans:
+        return starts, ends
+    begins, stops = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+    begins[starts] = stops[ends] = True
+    # Bytes inside a piece: more pieces have started than have ended.
+    inside = np.cumsum(begins[:-1].astype(np.int64) - stops[:-1]) > 0
+    for a, b in spans:
+        stops[a] |= a > 0 and inside[a - 1]
+        begins[b] |= b < len(data) and inside[b]
+    for a, b in spans:
+        begins[a + 1:b] = stops[a + 1:b] = False
+        begins[a] = stops[b] = True
+    return np.flatnonzero(begins), np.flatnonzero(stops)
+
+
 class Encoder:
-    """Encodes text columns with one tokenizer, as ``encode(text, add_special_tokens=False)`` does.
+    """Encodes text columns with one tokenizer.
 
-    Strings of special tokens inside a text are ordinary text.
+    With ``special_ids`` the ids are those of ``encode(text, add_special_tokens=False)``: the string of a
+    special token inside a text is that token. Without, it is ordinary text (the library's ``encode_special_tokens``).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_ids: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special_ids
+        self.added = self._added(special_ids)
         normalizer, pattern = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         # A plain byte-level tokenizer keeps white space; the other kind drops it.
         self.spaced = normalizer is None
@@ -94,6 +116,22 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self._forget()
 
+    def _added(self, special_ids: bool) -> re.Pattern | None:
+        """The strings that the library takes out of a text before it cuts anything, the longest first."""
+        tokens = [t for t in self.tokenizer.get_added_tokens_decoder().values() if special_ids or not t.special]
+        for t in tokens:
+            if t.single_word or t.lstrip or t.rstrip or t.normalized and self.tokenizer.normalizer is not None:
+                raise ValueError(f"the added token {t.content!r} isn't a plain string")
+        strings = sorted((t.content.encode() for t in tokens), key=len, reverse=True)
+        return re.compile(b"|".join(map(re.escape, strings))) if strings else None
+
+    def _spans(self, raw: bytes, at: np.ndarray) -> list[tuple[int, int]]:
+        """Places of added tokens in the rows; none reaches over the end of a row."""
+        if self.added is None or not self.added.search(raw):
+            return []
+        rows = zip(at[:-1].tolist(), at[1:].tolist(), strict=True)
+        return [m.span() for a, b in rows for m in self.added.finditer(raw, a, b)]
+
     def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.starts = np.zeros(0, np.int32)
@@ -118,6 +156,8 @@ class Encoder:
         if len(data) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
         starts, ends = (pieces_with_space if self.spaced else pieces_without_space)(data, at)
+        raw = data.tobytes()
+        starts, ends = set_apart(data, starts, ends, self._spans(raw, at))
         rows = np.searchsorted(starts, at)
         if len(self.keys) > KEPT_PIECES:
             self._forget()
@@ -132,7 +172,6 @@ class Encoder:
         new = np.flatnonzero(~known)
         mark = self.used
         if len(new):
-            raw = data.tobytes()
             cuts = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
             strings = [raw[a:b].decode("utf-8", "replace") for a, b in cuts]
             found = [x.ids for x in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
@@ -166,6 +205,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_ids: bool = False) -> Encoder:
     """The worker's encoder for a tokenizer file."""
-    return Encoder(path)
+    return Encoder(path, special_ids)

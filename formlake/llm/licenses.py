@@ -1,8 +1,10 @@
-"""License scan: TF-IDF cosine of lines and licence files to templates, and inheritance from directories.
+"""License scan: TF-IDF cosine of lines, windows and licence files to templates, and inheritance from directories.
 
 Only terms of the templates need a document frequency; it is counted over all files. Other terms have the
-weight of a term that occurs nowhere. A line can only reach the threshold if it holds one of a
-template's heavy terms, so all other lines are left out before they are cut into terms.
+weight of a term that occurs nowhere. A part of a text can only reach the threshold if it holds one of a
+template's heavy terms, so files without any are left out before they are cut into terms. Nor can it if the
+terms that it shares with the template have less than the threshold's square of the template's squared length,
+so only parts with as much are counted term by term.
 """
 
 from __future__ import annotations
@@ -73,16 +75,20 @@ class Weights:
         self.idf = {t: self.of(frequency.get(t, 0)) for t in self.vocabulary}
         self.rows: list[tuple[int, str, str, float]] = []
         heavy = set()
+        #: Of each template: number of terms, heavy terms, and the share of each term in the squared length.
+        self.shapes: list[tuple[int, list[str], dict[str, float]]] = []
         for i, x in enumerate(templates):
             own = {t: n * self.idf[t] for t, n in terms(x.text).items()}
             norm = math.sqrt(sum(w * w for w in own.values()))
-            rest = norm * norm
+            rest, first = norm * norm, []
             for t, w in sorted(own.items(), key=lambda tw: (-tw[1], tw[0])):
                 # The cosine of a line with none of the terms so far is at most the length of the rest.
                 if math.sqrt(max(rest, 0)) < 0.999 * threshold * norm:
                     break
-                heavy.add(t)
+                first.append(t)
                 rest -= w * w
+            heavy.update(first)
+            self.shapes.append((sum(terms(x.text).values()), first, {t: (w / norm) ** 2 for t, w in own.items()}))
             self.rows += [(i, x.license, t, w / norm) for t, w in own.items()]
         self.heavy = sorted(heavy)
 
@@ -99,21 +105,54 @@ def _weights(files: DataFrame, templates: Sequence[Template], threshold: float)
     return Weights(templates, frequency.pop("", 0), frequency, threshold)
 
 
+def _parts(weights: Weights, threshold: float) -> Column:
+    """Of a text (whole, lines, words), the arrays of terms that can reach the threshold."""
+    least = (0.999 * threshold) ** 2
+    templates = F.array(*[
+        F.struct(F.lit(n).alias("n"), F.array(*map(F.lit, heavy)).alias("heavy"), F.array(*map(F.lit, share)).alias("names"),
+                 F.create_map(*[F.lit(v) for tw in share.items() for v in tw]).alias("share"))
+        for n, heavy, share in weights.shapes if share])
+
+    def near(part: Column, template: Column) -> Column:
+        shared = F.array_intersect(part, template["names"])
+        return F.aggregate(shared, F.lit(0.0), lambda acc, t: acc + F.element_at(template["share"], t)) >= least
+
+    def any_near(part: Column) -> Column:
+        heavy = F.array(*map(F.lit, weights.heavy))
+        return F.arrays_overlap(part, heavy) & F.exists(templates, lambda t: near(part, t))
+
+    def windows(template: Column) -> Column:
+        size, words = template["n"], F.col("words")
+        marked = F.transform(words, lambda w, i: F.when(F.array_contains(template["heavy"], w), i))
+        last = F.greatest(F.size(words) - size, F.lit(0))
+        # Every place where a run can start that holds one of the heavy terms.
+        starts = F.array_distinct(F.flatten(F.transform(F.filter(marked, lambda i: i.isNotNull()), lambda i: F.sequence(
+            F.greatest(i - size + 1, F.lit(0)), F.least(i, last)))))
+        starts = F.filter(starts, lambda s: near(F.slice(words, s + 1, size), template))
+        return F.transform(starts, lambda s: F.slice(words, s + 1, size))
+
+    runs = F.flatten(F.transform(F.filter(templates, lambda t: near(F.col("words"), t)), windows))
+    whole = F.filter(F.array("words"), lambda w: F.col("whole") & any_near(w))
+    return F.concat(F.filter("lines", any_near), whole, runs)
+
+
 def license_notices(
     files: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold: float = THRESHOLD
 ) -> DataFrame:
     """(file, license, similarity) of each stored row of ``files`` (file, path, text) that has a notice of its own.
 
-    Every line of every file is a candidate; the best cosine counts, ties go to the first name.
+    Candidates are every line of every file, every run of as many terms as a template has, wherever lines
+    end, and the whole text of a licence file; the best cosine counts, ties go to the first name.
     """
     spark = files.sparkSession
     weights = _weights(files, templates, threshold)
     if not weights.heavy:
         return spark.createDataFrame([], "file long, license string, similarity double")
-    lines = files.where(_lower(F.col("text")).rlike("|".join(weights.heavy))).select(
-        "file", F.posexplode(F.split("text", "\n", -1)).alias("line", "part"))
-    lines = lines.select("file", "line", _terms(F.col("part")).alias("terms"))
-    lines = lines.where(F.arrays_overlap("terms", F.array(*map(F.lit, weights.heavy))))
+    texts = files.where(_lower(F.col("text")).rlike("|".join(weights.heavy))).select(
+        "file", F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False)).alias("whole"),
+        F.transform(F.split("text", "\n", -1), _terms).alias("lines"))
+    texts = texts.select("file", "whole", "lines", F.flatten("lines").alias("words"))
+    lines = store(texts.select("file", F.posexplode(_parts(weights, threshold)).alias("line", "terms")), "parts")
     counts = lines.select("file", "line", F.explode("terms").alias("term")).groupBy("file", "line", "term").agg(
         F.count(F.lit(1)).alias("n"))
     # Tables of the templates' terms: their size is that of the templates.
@@ -162,7 +201,7 @@ def license_scan(
 ) -> DataFrame:
     """One row per input row: doc_id (if ``id_col`` is given), path, license, origin, from_dir, similarity.
 
-    origin is 'notice' where a line of the file itself is close to a template, 'directory' where the nearest
+    origin is 'notice' where a line or run of terms of the file itself is close to a template, 'directory' where the nearest
     ancestor directory with a licence file gives the license, else null with a null license. Null and
     empty texts have no notice; a null path has no directory. Repeated rows are judged each. An empty table gives
     an empty table. Extra columns are ignored.

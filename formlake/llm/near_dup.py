@@ -15,7 +15,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from formlake.llm import words as W
@@ -275,12 +275,10 @@ def stars(edges: DataFrame, max_turns: int | None = None) -> DataFrame:
 
 
 def _stored_edges(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """Writes edges, and counts and sums them up on the way: equal figures mean that nothing changed."""
-    seen = Observation()
-    edges = edges.observe(
-        seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+    """Writes edges, and counts and sums up what was written: equal figures mean that nothing changed."""
     edges = store(edges, "edges")
-    return edges, (seen.get["n"], seen.get["sum"])
+    total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    return edges, tuple(edges.agg(F.count(F.lit(1)), total).first())
 
 
 def _first_pairs(members: DataFrame) -> DataFrame:

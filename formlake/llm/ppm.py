@@ -7,8 +7,11 @@ already ruled out are excluded; below the empty context all bytes not seen at al
 context's successors are also successors of the shortened one, the excluded counts are constants of the
 longer context, and the whole model is two lookup tables.
 
-Counting is a map-side combined Spark aggregation. The model is read in blocks of bounded size, split by the
-last two bytes of the context, and every block is applied to all texts.
+Counting is a map-side combined Spark aggregation over all texts. The trie is built by executors in blocks of
+bounded size: a block holds whole contexts that end in the same two symbols or, where these are too many, in
+the same three, so all it needs of other blocks is what follows single symbols and such a pair. A block gives
+every distinct gram of the corpus, held-out ones too, its log probability. One pass over the texts then adds
+these up: the most frequent grams and words are broadcast, up to a fixed number, the others are joined.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from formlake.llm import words as W
@@ -26,10 +30,11 @@ from formlake.llm.common import distinct_names, store
 
 START, END, BASE = 256, 257, 258
 ORDER = 5
-#: Entries of the longest order in one broadcast block, about 100 MB with the tables built on them.
-BLOCK_ENTRIES = 3_000_000
-#: The most frequent words are broadcast, 16 bytes each; the others are joined.
-HEAD_WORDS = 1_000_000
+#: Grams of the longest order in one block of the trie, about 70 MB with the tables built on them.
+BLOCK_ENTRIES = 1_000_000
+#: The most frequent words (16 bytes each) and grams (about 32) are broadcast; the others are joined.
+HEAD_WORDS = 500_000
+HEAD_GRAMS = 500_000
 #: Keys a task gathers before it hands them on.
 HELD_KEYS = 3_000_000
 
@@ -83,10 +88,10 @@ def tally(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarr
 
 
 class _Tally:
-    """Running counts of keys, combined now and then."""
+    """Running counts of keys, combined now and then; ``trained`` keys count for the model too."""
 
-    def __init__(self, kind: int):
-        self.kind, self.parts, self.size = kind, [], 0
+    def __init__(self, kind: int, trained: bool):
+        self.kind, self.trained, self.parts, self.size = kind, trained, [], 0
 
     def add(self, keys: np.ndarray) -> None:
         self.parts.append(tally(keys))
@@ -107,29 +112,35 @@ class _Tally:
             keys, n = self.parts[0]
             self.parts, self.size = [], 0
             for i in range(0, len(keys), 100_000):
-                part = keys[i:i + 100_000].view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), self.kind, np.int32)), pa.array(part), pa.array(n[i:i + 100_000])],
-                    ["kind", "key", "n"])
+                part, counts = keys[i:i + 100_000].view(np.int64), n[i:i + 100_000]
+                yield _count_rows(self.kind, part, counts, counts if self.trained else np.zeros_like(counts))
+
+
+def _count_rows(kind: int, keys, n, trained) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(keys), kind, np.int32)), *[pa.array(x, pa.int64()) for x in (keys, n, trained)]],
+        ["kind", "key", "n", "trained"])
 
 
 def _counter(order: int):
+    """Per gram: occurrences in all texts and in those for training; per word: those for training."""
+
     def count(batches):
-        tallies, texts = (_Tally(_GRAM), _Tally(_WORD)), 0
+        tallies, texts = (_Tally(_GRAM, True), _Tally(_GRAM, False), _Tally(_WORD, True)), 0
         for part in W.slices(batches, "text"):
-            column = part.column("text")
+            held = part.column("held_out")
+            column = part.column("text").filter(pc.invert(held))
             tallies[0].add(grams(column, order)[0])
-            tallies[1].add(W.words(column, fold=True).hashes)
-            texts += part.num_rows
+            tallies[1].add(grams(part.column("text").filter(held), order)[0])
+            tallies[2].add(W.words(column, fold=True).hashes)
+            texts += len(column)
             for t in tallies:
                 if t.full():
                     yield from t.rows()
         for t in tallies:
             yield from t.rows()
         if texts:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_TEXT_END], pa.int32()), pa.array([0], pa.int64()), pa.array([texts], pa.int64())],
-                ["kind", "key", "n"])
+            yield _count_rows(_TEXT_END, [0], [texts], [texts])
 
     return count
 
@@ -183,10 +194,9 @@ class Table:
 
 @dataclass
 class Block:
-    """Lookup tables for the contexts whose last two symbols are in ``classes`` (None: all)."""
+    """Lookup tables for some contexts, and for all those that these are shortened to."""
 
     order: int
-    classes: np.ndarray | None
     pairs: Table
     log_first: np.ndarray  # log10 probability when the search starts at this context
     log_count: np.ndarray
@@ -209,14 +219,19 @@ def _safe_log(x: np.ndarray) -> np.ndarray:
 
 def build_block(
     order: int, codes: np.ndarray, counts: np.ndarray, low_codes: np.ndarray, low_counts: np.ndarray,
-    classes: np.ndarray | None,
+    pair: tuple[np.ndarray, np.ndarray] | None = None,
 ) -> Block:
-    """From counts of the longest grams of these classes, and counts of all pairs of symbols."""
+    """From counts of the longest grams of these contexts, and counts of all pairs of symbols.
+
+    If the contexts that end in a pair of symbols are not all here, ``pair`` has what follows that pair.
+    """
     levels = {1: (low_codes.astype(_U), low_counts.astype(np.int64))}
     levels[0] = tally(levels[1][0] % _U(BASE), levels[1][1])
     top, n_top = codes.astype(_U), counts.astype(np.int64)
     for j in range(order, 1, -1):
         levels[j] = tally(top % _U(BASE ** (j + 1)), n_top)
+    if pair is not None:
+        levels[2] = tally(pair[0].astype(_U), pair[1].astype(np.int64))
     pair_keys, first, count = [], [], []
     node_keys, escape, total, shorter = [], [], [], []
     sums: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -243,7 +258,7 @@ def build_block(
             shorter.append(np.where(fresh > 0, _safe_log(fresh) - _safe_log(rest + fresh), 0.0))
     seen = len(levels[0][0])
     weight = int(levels[0][1].sum())
-    levels.clear(), sums.clear()  # the driver holds no more than it needs
+    levels.clear(), sums.clear()
     nodes = Table(np.concatenate(node_keys))
     node_values = [nodes.arrange(np.concatenate(x)) for x in (escape, total, shorter)]
     for x in (node_keys, escape, total, shorter):
@@ -253,7 +268,7 @@ def build_block(
     pair_values = [pairs.arrange(np.concatenate(x)) for x in (first, count)]
     pairs.order = nodes.order = None
     return Block(
-        order, classes, pairs, *pair_values, nodes, *node_values,
+        order, pairs, *pair_values, nodes, *node_values,
         math.log10(seen / (weight + seen)) if seen else 0.0, -math.log10(max(1, BASE - 1 - seen)),
     )
 
@@ -290,107 +305,128 @@ def log10_probability(block: Block, code: np.ndarray) -> np.ndarray:
     return out
 
 
-def score_texts(block: Block, texts: pa.Array) -> np.ndarray:
-    """Sum of the log10 probabilities of all symbols of each text that this block knows about."""
-    code, places = grams(texts, block.order)
-    out = np.zeros(len(places) - 1)
-    if len(code) == 0:
-        return out
-    if block.classes is None:
-        value = log10_probability(block, code)
-    else:
-        mine = block.classes[((code // _U(BASE)) % _U(BASE ** 2)).view(np.int64)]
-        value = np.zeros(len(code))
-        value[mine] = log10_probability(block, code[mine])
-    return np.add.reduceat(value, places[:-1])  # a text has at least its end
+# ---- Spark
 
 
-# ---- Spark
+def _gram_scores(counts: DataFrame, order: int, block_entries: int) -> DataFrame:
+    """(key, n, value): the log10 probability of every distinct gram, from blocks that executors build.
+
+    The driver sees only what follows single symbols, and what is counted per pair of symbols stays a table:
+    both are bounded by the alphabet.
+    """
+    spark = counts.sparkSession
+    top = counts.where(F.col("kind") == _GRAM).select("key", "n", "trained")
+    low = top.where("trained > 0").groupBy((F.col("key") % BASE ** 2).alias("key")).agg(F.sum("trained").alias("n"))
+    low = low.orderBy("key").toArrow()  # at most 258^2 rows
+    low = spark.sparkContext.broadcast((low.column("key").to_numpy(), low.column("n").to_numpy()))
+    tailed = top.withColumn("tail", F.expr(f"(key div {BASE}) % {BASE ** 2}"))
+    third = F.expr(f"(key div {BASE ** 3}) % {BASE}")
+    half = max(1, block_entries // 2)
+    n_blocks = F.ceil(F.sum("size").over(Window.partitionBy()) / half)  # over at most 258^2 rows
+    tails = tailed.groupBy("tail").agg(F.count(F.lit(1)).alias("size"))
+    tails = tails.select("tail", F.ceil(F.col("size") / half).alias("parts"), n_blocks.alias("n_blocks"))
+    split = F.col("parts") > 1
+    dealt = tailed.join(F.broadcast(tails), "tail").select(
+        F.when(split, F.col("tail")).otherwise(-1).alias("pair"),
+        F.when(split, F.pmod(F.xxhash64(third), F.col("parts"))).otherwise(
+            F.pmod(F.xxhash64("tail"), F.col("n_blocks"))).alias("part"),
+        F.lit(False).alias("follows"), "key", "n", "trained")
+    # What follows a pair whose contexts are split goes to each of its blocks: at most 258 rows a pair.
+    wide = tails.where(split).select("tail", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    followers = tailed.where("trained > 0").join(F.broadcast(tails.where(split).select("tail")), "tail", "left_semi")
+    followers = followers.groupBy("tail", (F.col("key") % BASE ** 3).alias("key")).agg(F.sum("trained").alias("n"))
+    followers = followers.join(wide, "tail").select(
+        F.col("tail").alias("pair"), "part", F.lit(True).alias("follows"), "key", "n", F.col("n").alias("trained"))
+
+    def score(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        follows = rows.column("follows").to_numpy()
+        key, n, trained = (rows.column(c).to_numpy() for c in ("key", "n", "trained"))
+        own, seen = ~follows, ~follows & (trained > 0)
+        # A split pair that no training text has is not followed by anything.
+        pair = (key[follows], n[follows]) if rows.column("pair")[0].as_py() >= 0 else None
+        block = build_block(order, key[seen], trained[seen], *low.value, pair)
+        parts = [log10_probability(block, x.astype(_U)) for x in np.array_split(key[own], 1 + own.sum() // 200_000)]
+        out = pa.Table.from_arrays(
+            [pa.array(key[own]), pa.array(n[own]), pa.array(np.concatenate(parts))], ["key", "n", "value"])
+        W.give_back()
+        return out
+
+    blocks = dealt.unionByName(followers).groupBy("pair", "part")
+    return store(blocks.applyInArrow(score, "key long, n long, value double"), "gram-scores")
 
 
-def _blocks(counts: DataFrame, order: int, block_entries: int):
-    """The model block by block; what is collected at once is bounded by the alphabet and ``block_entries``."""
-    top = counts.where(F.col("kind") == _GRAM)
-    pair, tail = F.col("key") % BASE ** 2, F.expr(f"(key div {BASE}) % {BASE ** 2}")
-    low = top.groupBy(pair.alias("key")).agg(F.sum("n").alias("n")).orderBy("key").toArrow()
-    low_codes, low_counts = low.column("key").to_numpy(), low.column("n").to_numpy()
-    sizes = top.groupBy(tail.alias("tail")).agg(F.count(F.lit(1)).alias("n")).orderBy("tail").toArrow()
-    tails, n = sizes.column("tail").to_numpy(), sizes.column("n").to_numpy()
-    cuts, held = [0], 0
-    for i, size in enumerate(n.tolist()):
-        if held and held + size > block_entries:
-            cuts.append(i)
-            held = 0
-        held += size
-    for b, first in enumerate(cuts):
-        whole = len(cuts) == 1
-        low_end = -1 if b == 0 else int(tails[first])
-        high_end = BASE ** 2 if b == len(cuts) - 1 else int(tails[cuts[b + 1]])
-        part = top.select("key", "n") if whole else top.where((tail >= low_end) & (tail < high_end)).select("key", "n")
-        part = part.toArrow()
-        classes = None
-        if not whole:  # tails that were not seen go to the block around them
-            classes = np.zeros(BASE ** 2, bool)
-            classes[max(low_end, 0):high_end] = True
-        codes, n = part.column("key").to_numpy(), part.column("n").to_numpy()
-        del part
-        yield build_block(order, codes, n, low_codes, low_counts, classes), len(cuts)
-
-
-def _word_scorer(block, head):
+def _scorer(head_words, head_grams, order: int):
     def score(batches):
-        model, (keys, logs) = block.value, head.value
+        (word_table, word_logs), (gram_table, gram_logs) = head_words.value, head_grams.value
         for part in W.slices(batches, "text"):
             column = part.column("text")
             w = W.words(column, fold=True)
-            place = np.searchsorted(keys, w.hashes)
-            place[place == len(keys)] = 0
-            known = keys[place] == w.hashes if len(keys) else np.zeros(len(w.hashes), bool)
-            value = np.where(known, logs[place], 0.0) if len(keys) else np.zeros(len(w.hashes))
-            hits = np.concatenate([[0], np.cumsum(known)])
-            rest = w.hashes[~known].view(np.int64)
-            ends = w.rows - hits[w.rows]
-            # Sums of each text on its own: differences of running sums would lose digits.
-            sums = np.array([value[a:b].sum() for a, b in zip(w.rows[:-1], w.rows[1:], strict=True)])
+            word = _looked_up(word_table, word_logs, w.hashes, w.rows)
+            gram = _looked_up(gram_table, gram_logs, *grams(column, order))
             yield pa.RecordBatch.from_arrays([
-                part.column("row"), part.column("doc_id"), part.column("held_out"),
-                pa.array(w.counts), pa.array(np.diff(hits[w.rows])), pa.array(sums),
-                pa.array(score_texts(model, column)),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rest)),
-            ], ["row", "doc_id", "held_out", "n_words", "n_head", "head_score", "score", "tail"])
+                part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(w.counts), *word, *gram,
+            ], ["row", "doc_id", "held_out", "n_words", "head_words", "word_score", "word_tail",
+                "head_grams", "score", "gram_tail"])
 
     return score
 
 
-def _scorer(block):
-    def score(batches):
-        for part in W.slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays(
-                [part.column("row"), pa.array(score_texts(block.value, part.column("text")))], ["row", "score"])
-
-    return score
-
-
-def _head(spark, words: DataFrame, head_words: int):
-    """(broadcast of the most frequent words and log10(c + 0.5), condition of the words that aren't in it)."""
+_SCORED = (
+    "held_out boolean, n_words long, head_words long, word_score double, word_tail array<struct<key: long, times: long>>, "
+    "head_grams long, score double, gram_tail array<struct<key: long, times: long>>"
+)
+
+
+def _looked_up(table: Table, logs: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> list[pa.Array]:
+    """Per row: how many of its keys are in the table, the sum of their logs, the other keys and their counts."""
+    place = table.find(keys)
+    known = place >= 0
+    value = np.zeros(len(keys))
+    value[known] = logs[place[known]]
+    hits = np.concatenate([[0], np.cumsum(known)])
+    # Sums of each row on its own: differences of running sums would lose digits.
+    sums = np.zeros(len(rows) - 1)
+    full = np.flatnonzero(rows[1:] > rows[:-1])
+    if len(full):
+        sums[full] = np.add.reduceat(value, rows[full])
+    left = np.flatnonzero(~known)
+    row, rest = np.searchsorted(rows, left, side="right") - 1, keys[left]
+    by = np.lexsort((rest, row))
+    row, rest = row[by], rest[by]
+    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (rest[1:] != rest[:-1])])) if len(row) else by
+    times = np.diff(np.append(first, len(row)))
+    tail = pa.StructArray.from_arrays([pa.array(rest[first].view(np.int64)), pa.array(times, pa.int64())], ["key", "times"])
+    at = np.searchsorted(row[first], np.arange(len(rows)))
+    return [pa.array(np.diff(hits[rows])), pa.array(sums), pa.ListArray.from_arrays(pa.array(at, pa.int32()), tail)]
+
+
+def _head(table: DataFrame, limit: int):
+    """(broadcast of the most frequent keys and their values, condition of the keys that aren't in it)."""
     step = F.floor(F.log2("n") * 8)
-    bins = words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect()
+    bins = table.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect()
     cut, held = None, 0
     for r in bins:  # at most 8 * 63 rows
-        if held + r["n"] > head_words:
+        if held + r["n"] > limit:
             break
         cut, held = r["step"], held + r["n"]
     frequent = F.lit(False) if cut is None else step >= cut
-    head = words.where(frequent).select("key", "n").toArrow()
-    keys = head.column("key").to_numpy().view(_U) if head.num_rows else np.zeros(0, _U)
-    order = np.argsort(keys)
-    logs = np.log10(head.column("n").to_numpy() + 0.5)
-    return spark.sparkContext.broadcast((keys[order], logs[order])), ~frequent
+    head = table.where(frequent).select("key", "value").toArrow()
+    keys = Table(head.column("key").to_numpy().view(_U) if head.num_rows else np.zeros(0, _U))
+    values = keys.arrange(head.column("value").to_numpy()) if head.num_rows else np.zeros(0)
+    keys.order = None
+    return table.sparkSession.sparkContext.broadcast((keys, values)), ~frequent
+
+
+def _tail_sums(scored: DataFrame, column: str, values: DataFrame, n: str, score: str) -> DataFrame:
+    """(row, keys of its tail that have a value, sum of their values)."""
+    rest = scored.where(F.size(column) > 0).select("row", F.inline(column)).join(values.select("key", "value"), "key")
+    return rest.groupBy("row").agg(F.sum("times").alias(n), F.sum(F.col("times") * F.col("value")).alias(score))
 
 
 def score_documents(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, folds: int = 5, held_fold: int = 1,
-    block_entries: int = BLOCK_ENTRIES, head_words: int = HEAD_WORDS,
+    block_entries: int = BLOCK_ENTRIES, head_words: int = HEAD_WORDS, head_grams: int = HEAD_GRAMS,
 ) -> DataFrame:
     """Trains on all texts but one fold and scores all: one row per input row.
 
@@ -403,49 +439,34 @@ def score_documents(
     """
     if not 2 <= order <= 6:
         raise ValueError("order must be from 2 to 6")
-    spark = df.sparkSession
     docs = distinct_names(df, doc_id=id_col, text=text_col)
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds
     docs = docs.select("doc_id", (fold == held_fold).alias("held_out"), "text")
-    counted = docs.where("not held_out").select("text").mapInArrow(_counter(order), "kind int, key long, n long")
-    counts = store(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    words = counts.where(F.col("kind") == _WORD).select("key", "n")
+    counted = docs.select("text", "held_out").mapInArrow(_counter(order), "kind int, key long, n long, trained long")
+    counts = store(counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("trained").alias("trained")), "counts")
+    words = counts.where(F.col("kind") == _WORD).select("key", "n", F.log10(F.col("n") + 0.5).alias("value"))
     ends = counts.where(F.col("kind") == _TEXT_END).agg(F.sum("n")).first()[0] or 0
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = total + ends, distinct + (ends > 0)
-    head, in_tail = _head(spark, words, head_words)
+    gram_scores = _gram_scores(counts, order, block_entries)
+    word_head, in_word_tail = _head(words, head_words)
+    gram_head, in_gram_tail = _head(gram_scores, head_grams)
 
+    kind = df.select(df[id_col].alias("doc_id")).schema["doc_id"].dataType.simpleString()
     rows = docs.withColumn("row", F.monotonically_increasing_id())
-    scored = later = None
-    for block, n_blocks in _blocks(counts, order, block_entries):
-        shared = spark.sparkContext.broadcast(block)
-        del block
-        if scored is None:
-            if n_blocks > 1:  # several passes need the same row numbers
-                rows = store(rows, "rows")
-            kind = df.select(df[id_col].alias("doc_id")).schema["doc_id"].dataType.simpleString()
-            scored = store(rows.mapInArrow(_word_scorer(shared, head), (
-                f"row long, doc_id {kind}, held_out boolean, n_words long, n_head long, head_score double, "
-                "score double, tail array<long>")), "scored")
-        else:
-            part = rows.mapInArrow(_scorer(shared), "row long, score double")
-            later = part if later is None else later.union(part)
-    tail = scored.select("row", F.explode("tail").alias("key")).join(words.where(in_tail), "key")
-    tail = tail.groupBy("row").agg(
-        F.count(F.lit(1)).alias("n_tail"), F.sum(F.log10(F.col("n") + 0.5)).alias("tail_score"))
-    out = scored.withColumn("n_rest", F.size("tail")).drop("tail").join(tail, "row", "left")
-    out = out.withColumns({"n_tail": F.coalesce("n_tail", F.lit(0)), "tail_score": F.coalesce("tail_score", F.lit(0.0))})
-    if later is not None:
-        more = later.groupBy("row").agg(F.sum("score").alias("more"))
-        out = out.join(more, "row").withColumn("score", F.col("score") + F.col("more"))
-    end_score = math.log10(ends + 0.5)
-    n_tokens = F.col("n_words") + 1
+    scored = rows.mapInArrow(_scorer(word_head, gram_head, order), f"row long, doc_id {kind}, {_SCORED}")
+    scored = store(scored, "scored")
+    rare_words = _tail_sums(scored, "word_tail", words.where(in_word_tail), "rare_words", "rare_word_score")
+    rare_grams = _tail_sums(scored, "gram_tail", gram_scores.where(in_gram_tail), "rare_grams", "rare_gram_score")
+    out = scored.drop("word_tail", "gram_tail").join(rare_words, "row", "left").join(rare_grams, "row", "left")
+    out = out.fillna(0, ["rare_words", "rare_word_score", "rare_gram_score"])
+    n_tokens, known_words = F.col("n_words") + 1, F.col("head_words") + F.col("rare_words")
     base = (
-        F.col("head_score") + F.col("tail_score") + (F.col("n_rest") - F.col("n_tail")) * math.log10(0.5)
-        + end_score - n_tokens * math.log10(total + 0.5 * (distinct + 1))
+        F.col("word_score") + F.col("rare_word_score") + (F.col("n_words") - known_words) * math.log10(0.5)
+        + math.log10(ends + 0.5) - n_tokens * math.log10(total + 0.5 * (distinct + 1))
     )
     return out.select(
-        "doc_id", "held_out", n_tokens.alias("n_tokens"),
-        (F.col("n_head") + F.col("n_tail") + int(ends > 0)).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
+        "doc_id", "held_out", n_tokens.alias("n_tokens"), (known_words + int(ends > 0)).alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"),
+        (F.col("score") + F.col("rare_gram_score")).alias("score"),
     )

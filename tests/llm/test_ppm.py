@@ -20,7 +20,7 @@ def check(df, rows, order, **more):
         assert g[5:] == pytest.approx(w[5:], rel=1e-5, abs=1e-6)
 
 
-@pytest.mark.parametrize("more", [{}, {"block_entries": 400, "head_words": 30}])
+@pytest.mark.parametrize("more", [{}, {"block_entries": 400, "head_words": 30, "head_grams": 50}])
 def test_scores_equal_the_plain_model(docs, table, more):
     rows = [(i, t) for i, t in table("documents", "doc_id", "text") if len(t) < 900]
     check(docs(rows), rows, 3, **more)

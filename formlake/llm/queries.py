@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formlake.llm import best_fit, bitpack, decontam, licenses, near_dup, ppm, quality, shards, urls, warc
+from formlake.llm import (
+    align, best_fit, bitpack, decontam, licenses, near_dup, ppm, quality, shards, topk, trie, urls, warc,
+)
 from formlake.llm.tokens import public_path
 
 
@@ -55,10 +57,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(licenses.document_files(_table(spark, sf_dir, "documents")), id_col="doc_id")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_figures(
+        _table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), public_path("piece_bpe_32k.model"))
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination, op2_near_duplicates, op3_extendible_shards, op4_ppm_scores, op5_archives,
-        op6_best_fit_packing, op7_quality_rules, op8_packed_tokens, op9_url_filter, op10_license_scan,
+        op6_best_fit_packing, op7_quality_rules, op8_packed_tokens, op9_url_filter, op10_license_scan, op11_token_alignment,
+        op12_top_k, op13_prefix_trie,
     )
 }
 
@@ -66,4 +82,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_extendible_shards": shards.shard_sql(),
     "op7_quality_rules": quality.quality_sql(),
     "op10_license_scan": licenses.license_sql(),
+    "op12_top_k": topk.top_k_sql(),
 }

@@ -35,11 +35,11 @@ HEAD_PAIRS = 500_000
 #: Pairs a task counts before it hands them on.
 HELD_PAIRS = 2_000_000
 #: Pieces that a worker remembers, and the longest in bytes.
-KEPT_PIECES, KEPT_BYTES = 200_000, 64
+KEPT_PIECES, KEPT_BYTES = 300_000, 64
 #: Longest part of an end array that is worked on as a Python list.
 WINDOW = 1 << 18
 
-_SPACED = re.compile(rb" +[^ ]*")
+_SPACED = re.compile(rb"(?: +|\n)[^ \n]*")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -119,8 +119,8 @@ class ByteTokens:
 
 
 class PieceTokens:
-    """A piece model with byte fallback. No piece holds a space after another character, so texts are cut before
-    runs of spaces and every distinct part is encoded once."""
+    """A piece model with byte fallback. No piece holds a space after another character, or a line feed, so texts are
+    cut before runs of spaces and before line feeds, and every distinct part is encoded once."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -130,9 +130,13 @@ class PieceTokens:
         pieces = [self.model.id_to_piece(i) for i in range(self.size)]
         if any("▁" in p[1:] and p.strip("▁") for p in pieces):
             raise ValueError("a piece holds a space after another character")
+        if any("\n" in p for p in pieces):
+            raise ValueError("a piece holds a line feed")
+        self.space = self.model.piece_to_id("▁")
         self.bytes = [self._plain(p, i) for i, p in enumerate(pieces)]
         self.lengths = np.array([len(x) for x in self.bytes], np.int64)
-        self.kept: dict[bytes, list[int] | None] = {}
+        self.kept: dict[bytes, list[int]] = {}
+        self.changed: set[bytes] = set()  # parts whose pieces have other bytes
 
     def _plain(self, piece: str, i: int) -> bytes:
         byte = _BYTE.fullmatch(piece) if self.model.IsByte(i) else None
@@ -141,22 +145,28 @@ class PieceTokens:
     def encode(self, raw: bytes, at: list[int]) -> list[list[int] | None]:
         """Ids of every text; None where the tokens' bytes aren't those of the text."""
         if len(self.kept) > KEPT_PIECES:
-            self.kept = {}
+            self.kept, self.changed = {}, set()
         parts = [_SPACED.findall(raw, a, b) for a, b in zip(at[:-1], at[1:], strict=True)]
         new = list(set(chain.from_iterable(parts)) - self.kept.keys())
-        found = self.model.encode([p[1:].decode() for p in new], num_threads=1)  # the model puts one space before
-        known = self.kept
+        # The model puts one space before each part: it stands for a part's own space, or is a piece before a line feed.
+        found = self.model.encode([p.decode() if p[0] == 10 else p[1:].decode() for p in new], num_threads=1)
+        known, plain = self.kept, self.bytes
         for part, ids in zip(new, found, strict=True):
-            if part == b" ":  # the model gives nothing for an empty text
-                ids = [self.model.piece_to_id("▁")]
-            known[part] = ids if b"".join([self.bytes[i] for i in ids]) == part else None
+            if part[0] == 10:
+                ids = ids[1:] if ids[0] == self.space else [self.space]  # the latter isn't the text's bytes
+            elif part == b" ":  # the model gives nothing for an empty text
+                ids = [self.space]
+            known[part] = ids
+            if b"".join([plain[i] for i in ids]) != part:
+                self.changed.add(part)
         out: list[list[int] | None] = []
         for row in parts:
-            lists = [known[p] for p in row]
-            out.append(None if None in lists else list(chain.from_iterable(lists)))
+            same = self.changed.isdisjoint(row) if self.changed else True
+            out.append(list(chain.from_iterable(map(known.__getitem__, row))) if same else None)
         for part in new:
             if len(part) > KEPT_BYTES:
                 del known[part]
+                self.changed.discard(part)
         return out
 
 
@@ -184,7 +194,9 @@ class Alignment:
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """Places (in a, in b) of all pairs with a byte in common: between two ends of either lies one pair."""
-        cuts = np.union1d(self.a_ends, self.b_ends)
+        cuts = np.concatenate([self.a_ends, self.b_ends])
+        cuts.sort(kind="stable")  # merges two sorted runs
+        cuts = cuts[np.flatnonzero(np.diff(cuts, append=-1))]
         return np.searchsorted(self.a_ends, cuts), np.searchsorted(self.b_ends, cuts)
 
     def digest(self, size: int) -> str:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formlake import fixtures, schema
 from formlake.functions import parsing
-from formlake.ml import metrics, prepare, store, train
+from formlake.ml import boost, metrics, prepare, store, train
 from formlake.operators import audit, cleaning, context, history, ranking
 from formlake.operators import cards as card_ops
 from formlake.operators.skew import SPLIT_ROWS_CONF
@@ -768,9 +768,67 @@ def _member(spark, sf, name: str) -> DataFrame:
     return _verdict(alone.score(test).select("id", "target_win", f"p_{name}"), f"p_{name}")
 
 
+def noisy(rows: DataFrame) -> DataFrame:
+    """The planted label with every tenth one turned round, so that growing on and on doesn't pay."""
+    turned = F.pmod(F.xxhash64("id"), F.lit(10)) == 0
+    return rows.withColumn("target_win", F.when(turned, 1 - F.col("target_win")).otherwise(F.col("target_win")))
+
+
+def _boosted(spark, sf) -> boost.Boosted:
+    params = boost.Params(trees=1000, depth=4, rate=0.5, patience=4)
+    return _fitted(spark, sf, "boosted trees", lambda t: boost.train_boosted_trees(noisy(t), params=params))
+
+
 @query
 def train_classifier(spark, sf):
-    return _verdict(_tested(spark, sf, _classifier(spark, sf)))
+    return _verdict(_tested(spark, sf, _boosted(spark, sf)))
+
+
+@query
+def early_stopping(spark, sf):
+    """Of up to 1000 trees: whether growth ended ``patience`` trees after the best, and whether the best ones are kept."""
+    model = _boosted(spark, sf)
+    best = model.losses.index(min(model.losses))
+    rows = [(len(model.losses) - 1 - best, best == len(model.trees), len(model.losses) < 1000)]
+    return spark.createDataFrame(rows, "trees_after_best int, keeps_best boolean, stopped_early boolean")
+
+
+@query
+def boosted_leaf_values(spark, sf):
+    """One split on the draw: sums and values of both leaves."""
+    rows = matrix(spark, sf).withColumn("target_win", (F.col("draw") <= 3).cast("int"))
+    params = boost.Params(trees=1, depth=1, rate=1.0, l2=2.0)
+    model = boost.train_boosted_trees(rows, ["draw"], [], params=params, holdout=0)
+    leaves = model.nodes(spark).where("feature is null")
+    return leaves.select("node", F.round("gradient", 6).alias("gradient"), F.round("hessian", 6).alias("hessian"),
+                         F.round("value", 9).alias("value"))
+
+
+@query
+def missing_direction(spark, sf):
+    """Rows that a label of "is missing" is found for, and rows with a number that are taken for them."""
+    label = F.col("avg_btn_3").isNull().cast("int")
+    rows = matrix(spark, sf).withColumn("target_win", label)
+    params = boost.Params(trees=3, depth=2, rate=1.0)
+    model = boost.train_boosted_trees(rows, ["avg_btn_3", "draw"], [], params=params, holdout=0)
+    found = F.col("prob") > 0.5
+    return model.score(rows).agg(
+        F.count_if(found & (F.col("target_win") == 1)).alias("missing_found"), F.count_if(found & (F.col("target_win") == 0)).alias("wrong"))
+
+
+@query
+def leafwise_growth(spark, sf):
+    """A tree that grows its best leaf first: its number of leaves, and how its loss compares with level by level."""
+    rare = F.col("draw").between(2, 3) & F.col("avg_btn_3").between(3, 9) & F.col("wgt_lbs").between(115, 125)
+    rows = matrix(spark, sf).withColumn("target_win", F.coalesce(rare, F.lit(False)).cast("int"))
+    inputs = ["draw", "avg_btn_3", "wgt_lbs"]
+    found = []
+    for params in (boost.Params(trees=1, depth=9, leaves=8, rate=1.0), boost.Params(trees=1, depth=3, rate=1.0)):
+        model = boost.train_boosted_trees(rows, inputs, [], params=params, holdout=0)
+        scored = boost.logistic_gradients(model.margin(rows, "_margin").withColumn("_y", F.col("target_win")))
+        found.append((sum(x < 0 for x in model.trees[0].left), model.trees[0].depth, scored.agg(F.avg("_loss")).first()[0]))
+    (leaves, depth, loss), (_, _, level_loss) = found
+    return spark.createDataFrame([(leaves <= 8, depth > 3, loss < level_loss)], "within_leaves boolean, uneven boolean, less_loss boolean")
 
 
 @query
@@ -779,15 +837,47 @@ def score_matrix(spark, sf):
     return out.select("id", "race_id", F.col("prob").between(0, 1).alias("in_range"))
 
 
+def ordered(spark: SparkSession, sf: str) -> DataFrame:
+    """The matrix, and in every race the runner nearest to the middle weight of 125 wins: a matter of order only."""
+    rows = matrix(spark, sf).dropna(subset=list(schema.RACE_KEY))
+    first = F.struct(F.abs(F.coalesce("wgt_lbs", F.lit(0)) - 125), "id")
+    best = rows.groupBy(*schema.RACE_KEY).agg(F.min(first).getField("id").alias("_best"))
+    return rows.join(best, list(schema.RACE_KEY)).withColumn("target_win", (F.col("id") == F.col("_best")).cast("int")).drop("_best")
+
+
+def _ranked(spark, sf, params: boost.Params, features) -> DataFrame:
+    """Mean NDCG of the listwise and of the linear ranker on the test rows."""
+    train_rows, test = cleaning.temporal_split(ordered(spark, sf), CUTOFF)
+    with_inputs = [*schema.RACE_KEY, "id", "target_win"]
+    models = {
+        "listwise": boost.train_listwise_ranker(train_rows, features=features, params=params),
+        "linear": train.train_ranker(train_rows, features=features, iterations=20),
+    }
+    parts = [
+        metrics.ndcg(m.score(test).select(*with_inputs, "prob"), schema.RACE_KEY, "target_win", "prob").select(
+            F.lit(name).alias("model"), "groups", "ndcg") for name, m in models.items()
+    ]
+    both = parts[0].unionByName(parts[1]).groupBy().pivot("model", ["listwise", "linear"]).agg(
+        F.first("ndcg").alias("ndcg"), F.first("groups").alias("groups"))
+    return both.select(
+        F.col("listwise_groups").alias("groups"), (F.col("listwise_ndcg") > F.col("linear_ndcg") + 0.05).alias("beats_linear"),
+        (F.col("listwise_ndcg") > 0.9).alias("finds_order"))
+
+
 @query
 def train_ranker(spark, sf):
-    model = _fitted(spark, sf, "ranker", lambda t: train.train_ranker(t, iterations=20))
-    return _verdict(_tested(spark, sf, model))
+    return _ranked(spark, sf, boost.Params(trees=1000, depth=4, rate=0.5, patience=4), schema.BASE_FEATURES)
 
 
 @query
 def train_deep_ranker(spark, sf):
-    model = _fitted(spark, sf, "deep", lambda t: train.train_deep_ranker(t, trees=8, depth=5, rate=0.1))
+    params = boost.Params(trees=2000, depth=8, rate=0.5, min_child=5, rows=0.8, columns=0.8, patience=4)
+    return _ranked(spark, sf, params, schema.ALL_FEATURES)
+
+
+@query
+def train_linear_ranker(spark, sf):
+    model = _fitted(spark, sf, "ranker", lambda t: train.train_ranker(t, iterations=20))
     return _verdict(_tested(spark, sf, model))
 
 
@@ -823,8 +913,10 @@ def ensemble_auc(spark, sf):
 
 @query
 def feature_importance(spark, sf):
-    model = _classifier(spark, sf)
-    return metrics.feature_importance(model.prep, model.fitted, 1).select("feature")
+    """Ten features, the planted one first."""
+    place = F.row_number().over(Window.orderBy(F.desc("gain"), "feature"))  # of ten rows
+    top = _boosted(spark, sf).importance(spark, 10).withColumn("place", place)
+    return top.select("place", F.when(F.col("place") == 1, F.col("feature")).alias("first"), (F.col("gain") >= 0).alias("has_gain"))
 
 
 def _places(ranked: DataFrame) -> DataFrame:

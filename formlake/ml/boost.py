@@ -32,6 +32,8 @@ from formlake.operators.skew import KeyScan, match, positions
 from formlake.session import cut_lineage
 
 LABEL = "target_win"
+#: Plans of more trees than this on top of each other take longer to analyse than to run.
+CHECKPOINT_EVERY = 3
 
 
 @dataclass(frozen=True)
@@ -434,7 +436,7 @@ def _boost(state: DataFrame, bins: Bins, p: Params, objective: str, gradients, b
     held: list[DataFrame] = []
     while True:
         number = len(trees)
-        if number and number % 10 == 0:
+        if number and number % CHECKPOINT_EVERY == 0:
             state = cut_lineage(state)
         rows = gradients(state).persist(StorageLevel.MEMORY_AND_DISK)
         tree, (loss, weight) = _Grower(rows, bins, p, number).grow()
@@ -456,7 +458,7 @@ def _boost(state: DataFrame, bins: Bins, p: Params, objective: str, gradients, b
 
 
 def _valid(train: DataFrame, share: float) -> DataFrame:
-    from formlake.ml.train import _holdout
+    from formlake.ml.train import _holdout  # which needs this module itself
 
     return _holdout(train, share)
 

@@ -22,11 +22,13 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formlake import schema
 from formlake.ml import prepare
+from formlake.ml.boost import Boosted, Params, train_boosted_trees
+from formlake.ml.random_trees import RandomTrees, train_random_trees
 from formlake.operators.ranking import group_deviations
 from formlake.session import ensure_checkpoint_dir
 
@@ -123,6 +125,14 @@ def fit_early(learner: GBTClassifier, rows: DataFrame, patience: int) -> GBTClas
     return full if count == full.getNumTrees else learner.copy({learner.maxIter: count}).fit(fit)
 
 
+def _bare(fitted):
+    """The model without its training summary, which holds the session: with an ``observe`` in that session, tasks
+    that score could not be serialised."""
+    if fitted.hasSummary:
+        fitted._java_obj.setSummary(SparkSession.getActiveSession()._jvm.scala.Option.empty())
+    return fitted
+
+
 def _gbt(prep: PipelineModel, trees: int, depth: int, rate: float, **more) -> GBTClassifier:
     return GBTClassifier(
         labelCol=LABEL, featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=rate,
@@ -166,7 +176,7 @@ def train_ranker(
         maxIter=iterations,
     )
     with _training_rows(inputs.transform(dev), ["features", LABEL]) as rows:
-        return Model(prep, PipelineModel([learner.fit(rows)]))
+        return Model(prep, PipelineModel([_bare(learner.fit(rows))]))
 
 
 def train_deep_ranker(
@@ -222,30 +232,31 @@ def train_forest(prepared: DataFrame, balanced: bool = True, trees: int = 600,
     )
     if balanced:
         learner = learner.setWeightCol("_weight")
-    return PipelineModel([learner.fit(rows)])
+    return PipelineModel([_bare(learner.fit(rows))])
 
 
 def train_extra_trees(prepared: DataFrame, trees: int = 600, depth: int = 12,
                       bins: int = 8) -> PipelineModel:
-    """Stand-in for extremely randomised trees, which Spark ML lacks: a forest with few candidate
-    thresholds, bootstrap rows and another seed. Not the same algorithm."""
+    """A Spark ML forest with few candidate thresholds, bootstrap rows and another seed; extremely randomised trees are
+    those of ``random_trees``."""
     learner = RandomForestClassifier(
         labelCol=LABEL, featuresCol="features", numTrees=trees, maxDepth=depth, seed=1042,
         maxBins=bins, featureSubsetStrategy="sqrt", cacheNodeIds=True, checkpointInterval=10,
     )
-    return PipelineModel([learner.fit(prepared)])
+    return PipelineModel([_bare(learner.fit(prepared))])
 
 
 @dataclass(frozen=True)
 class Ensemble:
     prep: PipelineModel
-    members: dict[str, PipelineModel]
+    members: dict[str, PipelineModel | Boosted | RandomTrees]
 
     def score(self, df: DataFrame) -> DataFrame:
         """The given columns and one ``p_<member>`` per member; the inputs are prepared once."""
         out = self.prep.transform(df)
         for name, fitted in self.members.items():
-            out = add_probability(out, fitted, f"p_{name}")
+            own = isinstance(fitted, PipelineModel)
+            out = add_probability(out, fitted, f"p_{name}") if own else fitted.score(out, f"p_{name}")
         return out.select(*df.columns, *[f"p_{name}" for name in self.members])
 
 
@@ -256,16 +267,18 @@ def train_ensemble(
     boosted: dict | None = None, forest: dict | None = None,
     extra: dict | None = None, wide: dict | None = None,
 ) -> Ensemble:
-    """Four members on the same ordinal-coded, scaled inputs."""
+    """Four members: second-order boosting level by level, a forest, extremely randomised trees, and boosting that grows
+    the best leaf first (up to 256). Only the forest needs coded, scaled and filled inputs; the others know missing values."""
     prep = prepare.fit_preparation(train, features, categories, mode="ordinal")
     with _training_rows(prep.transform(train), ["features", LABEL]) as rows:
-        # Ordinal codes are plain numbers here, so no learner needs a bin per category.
-        plain = PipelineModel([])
+        grown = train_forest(rows, **(forest or {}))
+    with _training_rows(train, [*features, *categories, LABEL, "date"]) as rows:
         members = {
-            "boosted": train_boosted(rows, plain, **(boosted or {})),
-            "forest": train_forest(rows, **(forest or {})),
-            "extra": train_extra_trees(rows, **(extra or {})),
-            "wide": train_gbm_wide(rows, plain, **(wide or {})),
+            "boosted": train_boosted_trees(rows, features, categories, LABEL, Params(**(boosted or {})), holdout=0),
+            "forest": grown,
+            "extra": train_random_trees(rows, features, categories, LABEL, **(extra or {})),
+            "wide": train_boosted_trees(
+                rows, features, categories, LABEL, Params(**{"leaves": 256, "depth": 9, **(wide or {})}), holdout=0),
         }
     return Ensemble(prep, members)
 

@@ -286,13 +286,25 @@ def _model_sql() -> dict[str, str]:
         " ORDER BY number) AS rank, true AS good FROM cards WHERE NOT non_runner QUALIFY rank <= 5")
     names = ", ".join(f"('p_{m}', true)" for m in ("boosted", "forest", "extra", "wide", "ensemble"))
     return {
-        **dict.fromkeys(("train_classifier", "train_ranker", "train_deep_ranker", "train_boosted", "train_forest",
+        **dict.fromkeys(("train_classifier", "train_linear_ranker", "train_boosted", "train_forest",
                          "train_extra_trees", "train_gbm_wide"), verdict),
+        **dict.fromkeys(("train_ranker", "train_deep_ranker"), _m(
+            " SELECT count(DISTINCT (date, course, dist)) AS groups, true AS beats_linear, true AS finds_order" + test)),
+        "early_stopping": "SELECT 4 AS trees_after_best, true AS keeps_best, true AS stopped_early",
+        "boosted_leaf_values": _m(
+            " SELECT CASE WHEN y = 1 THEN 1 ELSE 2 END AS node, round(sum(p - y), 6) AS gradient,"
+            " round(sum(p * (1 - p)), 6) AS hessian, round(-sum(p - y) / (sum(p * (1 - p)) + 2.0), 9) AS value"
+            " FROM (SELECT y, avg(y) OVER () AS p FROM (SELECT CAST(coalesce(draw <= 3, false) AS INT) AS y FROM matrix))"
+            " GROUP BY y"),
+        "missing_direction": _m(
+            " SELECT count(*) FILTER (avg_btn_3 IS NULL) AS missing_found, CAST(0 AS BIGINT) AS wrong FROM matrix"),
+        "leafwise_growth": "SELECT true AS within_leaves, true AS uneven, true AS less_loss",
         **dict.fromkeys(("score_cards", "score_cards_mean", "score_cards_stream"), places),
         "score_matrix": _m(" SELECT id, race_id, true AS in_range" + test),
         "model_io": _m(" SELECT count(*) AS total_rows, CAST(0 AS DOUBLE) AS largest_difference" + test),
         "ensemble_auc": f"SELECT * FROM (VALUES {names}) t(name, finds_label)",
-        "feature_importance": "SELECT 'avg_btn_3' AS feature",
+        "feature_importance": "SELECT CAST(i AS INT) AS place, CASE WHEN i = 1 THEN 'avg_btn_3' END AS first,"
+                              " true AS has_gain FROM range(1, 11) t(i)",
         "split_count_importance": "SELECT true AS uses_planted_feature, CAST(0 AS BIGINT) AS wrong_rows",
     }
 

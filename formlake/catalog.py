@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from formlake.plans import features, ingest, scoring
 from formlake.session import scratch_path
 from formlake.sources import racecards, tables
 from formlake.streaming import files
+from formlake.streaming.state import LatestRows, follow_results, score_with_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -145,6 +147,20 @@ def write_features(spark, sf):
     return tables.write_features(history.recent_form(results(spark, sf)), scratch_path(spark, "form"))
 
 
+@query
+def write_features_failed(spark, sf):
+    """A second write dies half-way; the table of the first one is still there."""
+    path, form = scratch_path(spark, "form"), history.recent_form(results(spark, sf))
+    tables.write_features(form, path)
+    broken = form.withColumn("res_id", F.when(F.col("res_id") % 100 == 1, F.raise_error(F.lit("lost"))).otherwise(F.col("res_id")))
+    try:
+        tables.write_features(broken, path)
+    except Exception as e:
+        if "lost" not in str(e):
+            raise
+    return tables.read_features(spark, path)
+
+
 @query
 def scan_history(spark, sf):
     path = scratch_path(spark, "history")
@@ -210,6 +226,18 @@ def incremental_ingest(spark, sf):
     return out.select(*CLEAN_COLUMNS)
 
 
+@query
+def deduplicating_ingest(spark, sf):
+    """Every file is there twice, under two names."""
+    path = scratch_path(spark, "csv-twice")
+    for _ in range(2):
+        fixtures.raw_text(spark, sf).write.mode("append").csv(path, header=True, escape='"')
+    out = files.deduplicating_ingest(
+        spark, path, scratch_path(spark, "stream"), scratch_path(spark, "stream-checkpoint"),
+        columns=fixtures.raw_text(spark, sf).columns, values=listed_courses(spark, sf))
+    return out.select("race_id", "horse")
+
+
 @query
 def incremental_ingest_compacted(spark, sf):
     streamed = files.incremental_ingest(
@@ -300,8 +328,7 @@ def parse_weight_dirty(spark, sf):
 @query
 def class_moves_dirty(spark, sf):
     text = F.when(F.col("draw") == 3, "Class 99999999999").otherwise(F.col("class"))
-    out = history.class_moves(results(spark, sf).withColumn("class", text))
-    return out.agg(F.count(F.lit(1)).alias("total_rows"))
+    return history.class_moves(results(spark, sf).withColumn("class", text)).select("res_id", "class_diff", "avg_class_3")
 
 
 @query
@@ -441,6 +468,29 @@ def assemble_matrix(spark, sf):
     ))
 
 
+def bucketed_tables(spark: SparkSession, sf: str, buckets: int = 16) -> dict[str, DataFrame]:
+    """Results and the feature tables, stored in as many buckets of their id each; made once per application."""
+    key = (spark.sparkContext.applicationId, sf, "bucketed")
+    if key not in _models:
+        whole = {"results": results(spark, sf), **feature_tables(spark, sf)}
+        _models[key] = {
+            name: tables.write_features(
+                df, scratch_path(spark, f"bucketed-{name}"), "res_id" if "res_id" in df.columns else "id", buckets,
+                f"bucketed_{name}_{abs(hash(key))}")
+            for name, df in whole.items()
+        }
+    return _models[key]
+
+
+@query
+def assemble_matrix_copartitioned(spark, sf):
+    """The joins find the rows of an id in the same bucket of every table: no exchange."""
+    t = bucketed_tables(spark, sf)
+    with_merge = {n: df.hint("merge") for n, df in t.items()}
+    return _log9(features.assemble_matrix(
+        t["results"], *[with_merge[n] for n in ("synergy", "course", "form", "class", "micro")]))
+
+
 @query
 def assemble_matrix_fused(spark, sf):
     return _log9(features.build_matrix(results(spark, sf)))
@@ -449,13 +499,16 @@ def assemble_matrix_fused(spark, sf):
 @query
 def recent_snapshot(spark, sf):
     t = feature_tables(spark, sf)
-    whole = {"results": results(spark, sf), "features_form": t["form"], "features_micro": t["micro"]}
-    lite = context.recent_snapshot(whole, 6, AS_OF)
+    whole = {"results": results(spark, sf), **{f"features_{name}": table for name, table in t.items()}}
+    whole["courses"] = listed_courses(spark, sf).select(F.lit(None).cast("long").alias("id"), "n_name")
+    path = scratch_path(spark, "snapshot")
+    context.write_snapshot(context.recent_snapshot(whole, 6, AS_OF), path)
+    lite = context.read_snapshot(spark, path)
     ids = [
         df.select(F.lit(name).alias("table_name"), df["res_id" if "res_id" in df.columns else "id"].alias("id"))
         for name, df in lite.items()
     ]
-    return ids[0].unionByName(ids[1]).unionByName(ids[2])
+    return reduce(DataFrame.unionByName, ids)
 
 
 @query
@@ -744,7 +797,7 @@ def _classifier(spark, sf) -> train.Model:
 def _ensemble(spark, sf) -> train.Ensemble:
     return _fitted(spark, sf, "ensemble", lambda t: train.train_ensemble(
         t, boosted={"trees": 5, "depth": 4}, forest={"trees": 10, "depth": 6},
-        extra={"trees": 10, "depth": 6}, wide={"trees": 4, "depth": 6},
+        extra={"trees": 10, "depth": 6, "batch": 10}, wide={"trees": 4, "depth": 6},
     ))
 
 
@@ -947,6 +1000,30 @@ def score_cards_stream(spark, sf):
     ))
 
 
+@query
+def score_cards_state(spark, sf):
+    """Results stream into the newest row of each horse; cards are scored with those as they land."""
+    known, ensemble = featured(spark, sf), _ensemble(spark, sf)
+    state = LatestRows(scratch_path(spark, "latest"), buckets=16)
+    landed = scratch_path(spark, "landed")
+    known.select(*state.columns).write.parquet(landed)
+    follow_results(spark, landed, known.select(*state.columns).schema, state, scratch_path(spark, "latest-checkpoint"), 4)
+    score = score_with_state(state, known.select(*state.columns).limit(0), lambda cards, rows: scoring.score_cards(
+        cards, rows, ensemble, context=context.latest_context))
+    return _places(files.score_cards_stream(
+        spark, fixtures.card_files(spark, sf), scratch_path(spark, "scores"), scratch_path(spark, "scores-checkpoint"), score))
+
+
+@query
+def latest_rows(spark, sf):
+    """The state after the results came twice and out of order: one row a horse."""
+    state = LatestRows(scratch_path(spark, "latest"), payload=("course",), buckets=8)
+    rows = results(spark, sf)
+    for part in (rows.where("id % 3 = 1"), rows.where("id % 3 <> 1"), rows.where("id % 2 = 0")):
+        state.update(part)
+    return state.rows(spark).select("horse", "id", "date", "course")
+
+
 # --- model inputs, blends, metrics ----------------------------------------------------------
 
 

@@ -81,9 +81,10 @@ class Bins:
 
     def _number(self, name: str) -> Column:
         edges = ",".join(map(repr, self.edges[name]))
-        value = f"cast(`{name}` as double)"
-        below = f"size(filter(cast(split('{edges}', ',') as array<double>), e -> e < {value}))" if edges else "0"
-        return F.expr(f"if({value} is null or isnan({value}), 0, 1 + {below})")
+        below = f"size(filter(cast(split('{edges}', ',') as array<double>), e -> e < v))" if edges else "0"
+        # The value is the argument of a lambda, so what it is computed from runs once, not for every threshold.
+        return F.expr(
+            f"element_at(transform(array(cast(`{name}` as double)), v -> if(v is null or isnan(v), 0, 1 + {below})), 1)")
 
     def _category(self, name: str) -> Column:
         labels = self.labels[name]
@@ -382,7 +383,9 @@ class Boosted:
 
     def margin(self, df: DataFrame, name: str) -> DataFrame:
         binned = df.withColumn("_bins", self.bins.column())
-        total = F.expr(walk(self.trees, "value")) if self.trees else F.lit(0.0)
+        # As the argument of a lambda the bins are computed once a row, not at every step of the walk.
+        once = f"element_at(transform(array(_bins), b -> {walk(self.trees, 'value', 'b')}), 1)" if self.trees else "0D"
+        total = F.expr(once)
         return binned.withColumn(name, F.lit(self.base) + total).drop("_bins")
 
     def score(self, df: DataFrame, name: str = "prob") -> DataFrame:

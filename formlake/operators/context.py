@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formlake import schema
 from formlake.functions import parsing
 from formlake.operators import history
 from formlake.operators.skew import KeyScan, lookup, with_lookback
+from formlake.sources.versions import new_version, read_pointer, set_pointer
 
 CONTEXT_COLUMNS = [
     "avg_btn_3", "avg_btn_5", "last_pos", "combo_runs", "combo_win_pc", "h_course_runs",
@@ -61,8 +62,17 @@ def recent_snapshot(
 
 
 def write_snapshot(tables: dict[str, DataFrame], path: str) -> None:
+    """Replaces the snapshot as a whole: all its tables go to a new folder, which then becomes the current one."""
+    version = new_version()
     for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{path}/{name}")
+        table.write.parquet(f"{path}/{version}/{name}")
+    set_pointer(next(iter(tables.values())).sparkSession, path, {"version": version, "tables": list(tables)})
+
+
+def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    pointer = read_pointer(spark, path)
+    names = pointer["tables"] if pointer else []
+    return {name: spark.read.parquet(f"{path}/{pointer['version']}/{name}") for name in names}
 
 
 def entity_timeline(

@@ -53,6 +53,11 @@ def _class(key: str = "horse") -> str:
     FROM s) t"""
 
 
+#: Classes beyond an int: a difference that is too large counts as none.
+_DIRTY_CLASS = _class().replace("FROM s)", "FROM (SELECT * REPLACE (CASE WHEN draw = 3 THEN 99999999999.0 ELSE cls END AS cls) FROM s) s)").replace(
+    "CAST(cls - lag", "TRY_CAST(cls - lag")
+
+
 def _course(keys: str = "horse, course") -> str:
     runs = f"(PARTITION BY {keys} ORDER BY date, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     return f"""
@@ -299,7 +304,7 @@ def _model_sql() -> dict[str, str]:
         "missing_direction": _m(
             " SELECT count(*) FILTER (avg_btn_3 IS NULL) AS missing_found, CAST(0 AS BIGINT) AS wrong FROM matrix"),
         "leafwise_growth": "SELECT true AS within_leaves, true AS uneven, true AS less_loss",
-        **dict.fromkeys(("score_cards", "score_cards_mean", "score_cards_stream"), places),
+        **dict.fromkeys(("score_cards", "score_cards_mean", "score_cards_stream", "score_cards_state"), places),
         "score_matrix": _m(" SELECT id, race_id, true AS in_range" + test),
         "model_io": _m(" SELECT count(*) AS total_rows, CAST(0 AS DOUBLE) AS largest_difference" + test),
         "ensemble_auc": f"SELECT * FROM (VALUES {names}) t(name, finds_label)",
@@ -324,6 +329,10 @@ def oracle_sql() -> dict[str, str]:
             " ELSE count(DISTINCT horse) FILTER (draw <> 2) + 2 * count(*) FILTER (draw = 2) END AS n"
             " FROM results GROUP BY race_id, date"),
         "write_features": _sql(f" SELECT {_FORM_COLUMNS} FROM form", _FLAGS, _FAMILIES),
+        "write_features_failed": _sql(f" SELECT {_FORM_COLUMNS} FROM form", _FLAGS, _FAMILIES),
+        "deduplicating_ingest": _sql(f" SELECT DISTINCT race_id, horse FROM r WHERE {_LISTED}"),
+        "latest_rows": _sql(" SELECT horse, id, date, course FROM results QUALIFY row_number() OVER"
+                            " (PARTITION BY horse ORDER BY date DESC, id DESC) = 1"),
         "scan_history": _sql(" SELECT id, date, horse, pos, btn FROM results"),
         "scan_history_synergy": _sql(" SELECT id, date, trainer, jockey, pos FROM results"),
         "scan_history_course": _sql(" SELECT id, date, horse, course, pos FROM results"),
@@ -357,7 +366,8 @@ def oracle_sql() -> dict[str, str]:
                              " ELSE wgt_lbs END AS wgt_lbs FROM r"),
         "coerce_date_formats": _sql(" SELECT id, CASE WHEN draw % 7 = 6 THEN NULL ELSE date END AS date FROM results"),
         "parse_weight_dirty": _sql(" SELECT id, CASE WHEN hg IS NULL THEN wgt_lbs END AS wgt_lbs FROM r"),
-        "class_moves_dirty": _sql(" SELECT count(*) AS total_rows FROM r"),
+        "class_moves_dirty": _sql(
+            f" SELECT id AS res_id, class_diff, avg_class_3 FROM ({_DIRTY_CLASS})", _FLAGS),
         "cards_without_runners": _c(
             " SELECT card_date, region, course, off, number, horse, rpr, row_number() OVER (PARTITION BY"
             " card_date, region, course, off ORDER BY coalesce(rpr, 0) DESC, number) AS rank FROM cards"
@@ -401,10 +411,12 @@ def oracle_sql() -> dict[str, str]:
         # joins
         "assemble_matrix": _m(" SELECT * FROM matrix"),
         "assemble_matrix_fused": _m(" SELECT * FROM matrix"),
+        "assemble_matrix_copartitioned": _m(" SELECT * FROM matrix"),
         "recent_snapshot": _sql(
             f", kept AS (SELECT id FROM results WHERE date >= DATE '{AS_OF}' - INTERVAL 6 MONTHS)"
-            " SELECT 'results' AS table_name, id FROM kept UNION ALL SELECT 'features_form', id FROM kept"
-            " UNION ALL SELECT 'features_micro', id FROM kept"),
+            " SELECT t.n AS table_name, id FROM kept, (VALUES ('results'), ('features_synergy'), ('features_course'),"
+            " ('features_form'), ('features_class'), ('features_micro')) t(n)"
+            " UNION ALL SELECT 'courses', NULL FROM nation WHERE n_regionkey IN (0, 3)"),
         "entity_timeline": _sql(
             " SELECT id, date, course, pos, btn, combo_win_pc, h_course_runs, avg_btn_3, days_since_last"
             " FROM feats WHERE horse = (SELECT horse FROM feats GROUP BY horse"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from formlake.functions.parsing import na_to_null
 from formlake.operators.skew import positions
+from formlake.sources.versions import current_table, new_version, read_pointer, replace_table, set_pointer
 
 # Columns each history family reads.
 FAMILY_COLUMNS = {
@@ -92,16 +93,33 @@ def dedupe_append(
 def write_features(
     df: DataFrame, path: str, key: str = "res_id", buckets: int | None = None, table: str | None = None
 ) -> DataFrame:
-    """Replaces a feature table. With ``buckets`` it is saved as a table bucketed by its key, so
-    that joins on the key need no shuffle."""
-    writer = df.write.mode("overwrite")
-    if buckets:
-        if not table:
-            raise ValueError("a bucketed feature table needs a table name")
-        writer.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
-        return df.sparkSession.table(table)
-    writer.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Replaces a feature table as a whole (see ``versions``): a write that fails leaves the old one readable.
+
+    With ``buckets`` it is saved as a table bucketed by its key, one sorted file a bucket, so that joins on the key
+    need no shuffle. The new table takes the name when it is complete.
+    """
+    spark = df.sparkSession
+    if not buckets:
+        return replace_table(df, path)
+    if not table:
+        raise ValueError("a bucketed feature table needs a table name")
+    version = new_version()
+    draft = f"{table}_{version[2:]}"
+    dealt = df.repartition(buckets, key)
+    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", f"{path}/{version}").saveAsTable(draft)
+    set_pointer(spark, path, {"version": version, "table": table})
+    spark.sql(f"DROP TABLE IF EXISTS `{table}`")
+    spark.sql(f"ALTER TABLE `{draft}` RENAME TO `{table}`")  # its files stay where they are
+    return spark.table(table)
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame | None:
+    """The feature table last written whole to ``path``."""
+    pointer = read_pointer(spark, path)
+    if pointer is None:
+        return None
+    name = pointer.get("table")
+    return spark.table(name) if name and spark.catalog.tableExists(name) else current_table(spark, path)
 
 
 def scan_history(spark: SparkSession, path: str, family: str) -> DataFrame:

@@ -50,7 +50,7 @@ def op8_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    return urls.judge(pages, urls.known_bad(pages)).drop("bad")
+    return urls.judge(pages, urls.topic_labels(pages)).drop("bad")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -18,8 +19,8 @@ SAMPLE = 10_000
 TREES, DEPTH, SEED = 20, 4, 42
 
 FEATURES = (
-    "url_length", "host_length", "path_length", "depth", "labels", "hyphens", "digit_ratio", "entropy", "parameters",
-    "suffix_count", "suffix_rate",
+    "url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_entropy", "url_entropy",
+    "parameters", "suffix_count", "suffix_rate",
 )
 
 
@@ -37,8 +38,14 @@ RULES = (
     Rule("com/de/", "block"),
 )
 
-# Names of hosts that are known to be unwanted.
-KNOWN_BAD = ("ads-track", "casino-win", "spam-farm", "adult-x", "cheap-pills", "free-bets")
+# Words of topics that word-based URL filters commonly leave out (gambling, adult, drugs, spam, advertising).
+TOPIC_WORDS = (
+    "casino", "casinos", "poker", "slots", "jackpot", "lottery", "roulette", "gambling", "bet", "bets", "betting",
+    "adult", "porn", "sex", "xxx", "nude", "escort", "webcams",
+    "pills", "viagra", "cialis", "pharma", "steroids",
+    "spam", "warez", "torrent", "crack", "keygen", "replica", "payday",
+    "ad", "ads", "adserver", "banner", "popunder", "doubleclick",
+)
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _PATTERN = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -84,18 +91,21 @@ def lexical(urls: DataFrame) -> DataFrame:
         "path_length": F.length("path").cast("double"),
         "depth": F.size(F.filter(F.split("path", "/"), lambda s: s != "")).cast("double"),
         "labels": F.size(F.split("host", r"\.")).cast("double"),
-        "hyphens": F.length(F.regexp_replace("host", "[^-]", "")).cast("double"),
         "digit_ratio": F.coalesce(digits / F.nullif(F.length(url), F.lit(0)), F.lit(0.0)),
-        "entropy": entropy(F.regexp_extract("host", r"([^.]*)\.[^.]*\.[^.]*$", 1)),
+        "host_entropy": entropy(F.col("host")),
+        "url_entropy": entropy(url),
         "parameters": F.size(F.filter(F.split(query, "&"), lambda s: s != "")).cast("double"),
         "suffix": F.substring_index("host", ".", -1),
     })
 
 
-def known_bad(urls: DataFrame, names: Sequence[str] = KNOWN_BAD) -> DataFrame:
-    """URLs labelled 1 where a label of the host is on the list, else 0."""
-    hosts = urls.select("url", F.split(host(F.col("url")), r"\.").alias("labels"))
-    return hosts.select("url", F.arrays_overlap("labels", F.array(*map(F.lit, names))).cast("int").alias("label"))
+def topic_labels(urls: DataFrame, words: Sequence[str] = TOPIC_WORDS) -> DataFrame:
+    """A table of labels for want of a judged one: 1 where a word of the host is on the list, else 0.
+
+    Words of a host are its runs of letters, so ``my-casino.example.net`` and ``casino24.net`` have "casino".
+    """
+    parts = urls.select("url", F.split(host(F.col("url")), r"[^a-z]+").alias("parts"))
+    return parts.select("url", F.arrays_overlap("parts", F.array(*map(F.lit, words))).cast("int").alias("label"))
 
 
 class UrlFilter:
@@ -108,8 +118,8 @@ class UrlFilter:
     def fit(cls, labelled: DataFrame, urls: DataFrame, sample: int = SAMPLE, trees: int = TREES) -> UrlFilter:
         """``labelled`` has url and label (0 or 1; other rows are ignored); suffixes are counted in all of ``urls``.
 
-        At most ``sample`` rows of each class are used. If only one class is labelled, every URL gets it;
-        if none is, every URL is allowed.
+        At most ``sample`` rows of each class are used. Trees need both classes: if one has no row there is no
+        model, which a warning says.
         """
         parts = distinct_names(labelled, url="url", label="label")
         chosen = None
@@ -126,6 +136,7 @@ class UrlFilter:
         rate = chosen.groupBy("suffix").agg(((F.sum("label") + prior) / (F.count(F.lit(1)) + 1)).alias("suffix_rate"))
         suffixes = store(seen.join(rate, "suffix", "left"), "suffixes")
         if len(counts) < 2:
+            warnings.warn("URL labels of one class at most: no trees are fitted", stacklevel=2)
             return cls(None, suffixes, prior)
         own = cls(None, suffixes, prior)
         data = own._features(chosen).select("features", "label").repartition(4)
@@ -139,10 +150,10 @@ class UrlFilter:
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(joined)
 
     def probability(self, rows: DataFrame) -> DataFrame:
-        """Adds ``bad``, the probability that the URL is unwanted, to rows with url, host and path."""
+        """Adds ``bad``, the probability that the URL is unwanted (null without a model), to rows with url, host and path."""
         rows = lexical(rows)
         if self.model is None:
-            return rows.withColumn("bad", F.lit(self.constant))
+            return rows.withColumn("bad", F.lit(None).cast("double"))
         scored = self.model.transform(self._features(rows))
         return scored.withColumn("bad", vector_to_array("probability")[1])
 
@@ -151,9 +162,11 @@ def judge(
     df: DataFrame, labelled: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "page_id", url_col: str = "url",
     sample: int = SAMPLE,
 ) -> DataFrame:
-    """One row per input row: page_id, host, path, rule, verdict (allow or block) and bad (the trees' probability).
+    """One row per input row: page_id, host, path, rule, verdict (allow or block), bad (the trees' probability), judged_by.
 
-    The longest fitting rule decides, else the trees: block from a probability of one half. Null and
+    ``labelled`` is a table of url and label. The longest fitting rule decides (judged_by is rule), else the trees: block
+    from a probability of one half (trees). Without labels of both classes there are no trees: ``bad`` is null, and URLs
+    without a rule get the only class there is, or allow where there is none (default). Null and
     malformed URLs have an empty host and path, fit no rule and are judged by the trees. Repeated rows are judged each;
     an empty table gives an empty table. Extra columns are ignored.
     """
@@ -162,5 +175,7 @@ def judge(
     fitted = UrlFilter.fit(labelled, urls.select("url"), sample)
     scored = fitted.probability(urls.withColumn("rule", matching_rule(rules)))
     ruled = F.coalesce(*[F.when(F.col("rule") == r.rule, F.lit(r.verdict)) for r in rules], F.lit(None).cast("string"))
-    verdict = F.coalesce(ruled, F.when(F.col("bad") >= 0.5, "block").otherwise("allow"))
-    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "bad")
+    unruled = F.col("bad") >= 0.5 if fitted.model else F.lit(fitted.constant >= 0.5)
+    verdict = F.coalesce(ruled, F.when(unruled, "block").otherwise("allow"))
+    judged_by = F.when(F.col("rule").isNotNull(), "rule").otherwise("trees" if fitted.model else "default")
+    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "bad", judged_by.alias("judged_by"))

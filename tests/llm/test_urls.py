@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -35,7 +36,7 @@ def pages(spark, rows):
 def test_hosts_paths_and_rules(spark):
     rows = [*enumerate(URLS), (3, URLS[4]), (None, URLS[10])]
     df = pages(spark, rows)
-    got = urls.judge(df, urls.known_bad(df)).collect()
+    got = urls.judge(df, urls.topic_labels(df)).collect()
     want = [(i, *parts(u), rule_of(*parts(u))) for i, u in rows]
     assert sorted((str((r.page_id, r.host, r.path, r.rule)) for r in got)) == sorted(map(str, want))
     assert all(r.verdict == RULES[r.rule] for r in got if r.rule) and {r.verdict for r in got} <= {"allow", "block"}
@@ -43,24 +44,59 @@ def test_hosts_paths_and_rules(spark):
 
 def test_no_rows_and_one_class(spark):
     df = pages(spark, [])
-    assert urls.judge(df, urls.known_bad(df)).count() == 0
-    df = pages(spark, [(1, "http://a.net/x"), (2, None)])
-    assert {r.verdict for r in urls.judge(df, df.select("url", F.lit(0).alias("label"))).collect()} == {"allow"}
-    assert {r.verdict for r in urls.judge(df, df.select("url", F.lit(1).alias("label"))).collect()} == {"block"}
-
-
-def test_trees_find_hosts_they_were_not_trained_on(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url")
-    labelled = urls.known_bad(df)
-    hidden = F.col("url").contains("casino-win") | F.col("url").contains("free-bets")
-    fitted = urls.UrlFilter.fit(labelled.where(~hidden), df)
-    rows = labelled.withColumns({"host": urls.host(F.col("url")), "path": urls.path(F.col("url"))})
-    right = F.col("bad").cast("double") >= 0.5
-    scored = fitted.probability(rows).select("label", right.cast("int").alias("said"), hidden.alias("hidden"))
-    bad = scored.where("hidden")
-    assert bad.count() > 10 and bad.where("said = 1").count() >= 0.9 * bad.count()
-    good = scored.where("label = 0")
-    assert good.where("said = 0").count() >= 0.99 * good.count()
+    assert urls.judge(df, urls.topic_labels(df)).count() == 0
+    df = pages(spark, [(1, "http://a.net/x"), (2, None), (3, "http://b.com/de/1")])
+    for label, verdict in ((0, "allow"), (1, "block"), (None, "allow")):
+        labels = df.select("url", F.lit(label).cast("int").alias("label"))
+        with pytest.warns(UserWarning, match="one class"):
+            got = urls.judge(df, labels)
+        assert sorted((r.page_id, r.verdict, r.bad, r.judged_by) for r in got.collect()) == [
+            (1, verdict, None, "default"), (2, verdict, None, "default"), (3, "block", None, "rule")]
+
+
+def test_topic_labels(spark):
+    want = {"http://my-casino.a.net/": 1, "http://casino24.net/x": 1, "http://POKER.org": 1, "http://casinova.net/": 0,
+            "http://a-b.net/casino": 0, "none": 0}
+    got = urls.topic_labels(pages(spark, list(enumerate(want))))
+    assert {r.url: r.label for r in got.collect()} == want
+
+
+def test_features_of_hosts_of_two_labels(spark):
+    rows = urls.lexical(spark.createDataFrame([("u://abcd.ef/gg?a=1&b", "abcd.ef", "/gg")], "url string, host string, path string"))
+    row = rows.first()
+    assert row.host_entropy == pytest.approx(2.807355, abs=1e-6) and row.url_entropy > 3
+    assert (row.depth, row.labels, row.parameters, row.suffix) == (1, 2, 2, "ef")
+
+
+def test_trees_judge_hosts_they_were_not_trained_on(spark):
+    """Unwanted hosts are random letters and digits with many parameters; hyphens are on both sides."""
+    pick = random.Random(5)
+    names = ["river", "garden", "music", "school", "paper", "travel", "kitchen", "history", "stone", "winter"]
+
+    def url(bad, number):
+        if bad:
+            name = "".join(pick.choice("bcdfghjklmnpqrstvwxz0123456789") for _ in range(pick.randint(10, 18)))
+            name = name[:5] + "-" * (number % 2) + name[5:]
+            return f"http://{name}.{pick.choice(['com', 'net'])}/{pick.randint(1, 99)}?" + "&".join("abcd")
+        name = pick.choice(names) + "-" * (number % 2) + pick.choice(names)
+        return f"http://{name}.{pick.choice(['com', 'org'])}/{pick.choice(names)}/{pick.choice(names)}"
+
+    rows = [(i, url(i % 2, i // 2), i % 2) for i in range(800)]
+    df = spark.createDataFrame(rows, "page_id long, url string, label int")
+    got = urls.judge(df, df.where("page_id < 400"), rules=())
+    verdicts = {r.page_id: (r.verdict, r.judged_by) for r in got.collect()}
+    hidden = [i for i, *_ in rows if i >= 400]
+    assert sum(verdicts[i] == (("allow", "block")[i % 2], "trees") for i in hidden) >= 0.97 * len(hidden)
+
+
+def test_trees_agree_with_labels_of_the_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    labels = urls.topic_labels(df)
+    rows = urls.judge(df, labels, rules=()).join(df.join(labels.distinct(), "url").select("page_id", "label"), "page_id")
+    right = rows.groupBy("label").agg(F.avg((F.col("verdict") == F.when(F.col("label") == 1, "block").otherwise("allow")).cast("int")))
+    share = dict(right.collect())
+    print(share)
+    assert share[0] >= 0.99 and share[1] >= 0.9
 
 
 def test_entropy(spark):

@@ -3,14 +3,14 @@
 Running Karp-Rabin hashes over k words of a text are looked up among those of the benchmark items (the seeds
 that both share). Seeds on one diagonal make a match. The longest match of unmarked words is marked as a tile,
 again and again, so that reordered passages are covered piece by piece; what overlaps a tile is cut down
-to its unmarked rest. An item counts as contained if tiles cover enough of its words.
+to its unmarked rest. An item counts as contained if tiles cover enough of its words. An item with fewer than k words is
+one seed of its own length.
 
 The benchmark is read in blocks of bounded size, each broadcast and held against all texts.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,25 +26,26 @@ MIN_MATCH = 5
 COVERAGE = 0.5
 #: Words of benchmark items in a block: about 50 MB with its index.
 BLOCK_WORDS = 1_000_000
+#: Seeds times items that hold them, looked at together; one text may have up to all of a block.
+ENTRIES = 1_000_000
 
 _U = np.uint64
 
 
-class Items:
-    """Seeds of a block of benchmark items."""
+class Index:
+    """Runs of k words of some items: which items hold a run, how often and where."""
 
-    def __init__(self, ids: list, texts: list[str | None], k: int, id_type: pa.DataType | None = None):
-        w = W.words(pa.array(texts, pa.string()), fold=True)
-        self.ids, self.k, self.sizes = pa.array(ids, id_type), k, w.counts
-        seeds, at = W.shingles(w, k)
-        item = np.repeat(np.arange(len(ids)), np.diff(at))
-        place = np.arange(len(seeds)) - np.repeat(at[:-1], np.diff(at))
-        whole = self.sizes[item] >= k  # items with fewer words have no seeds
-        seeds, item, place = seeds[whole], item[whole], place[whole]
-        order = np.argsort(seeds, kind="stable")
-        seeds, self.item, self.place = seeds[order], item[order], place[order]
-        first = np.flatnonzero(np.concatenate([[True], seeds[1:] != seeds[:-1]])) if len(seeds) else np.zeros(0, int)
-        self.seeds, self.first = seeds[first], np.append(first, len(seeds))
+    def __init__(self, k: int, hashes: np.ndarray, item: np.ndarray, place: np.ndarray, n_items: int):
+        self.k = k
+        self.seeds, seed = np.unique(hashes, return_inverse=True)
+        # By item, for tiling: the seeds of each in order, with their places.
+        order = np.lexsort((place, seed, item))
+        self.own_seed, self.own_place = seed[order], place[order]
+        self.own = np.searchsorted(item[order], np.arange(n_items + 1))
+        # By seed: each item that holds it once, with the number of places.
+        held, self.times = np.unique(seed * n_items + item, return_counts=True)
+        holder_seed, self.holder = np.divmod(held, max(n_items, 1))
+        self.first = np.searchsorted(holder_seed, np.arange(len(self.seeds) + 1))
         bits = max(12, (16 * len(self.seeds)).bit_length())
         self.mask = _U((1 << bits) - 1)
         self.maybe = np.zeros(1 << bits, bool)
@@ -59,61 +60,131 @@ class Items:
         return at[same], found[same]
 
 
-def tile(matches: np.ndarray, k: int, size: int) -> tuple[int, int]:
-    """(tiles, words covered) of an item of ``size`` words; ``matches`` are (text place, item place) of seeds."""
-    matches = matches[np.lexsort((matches[:, 0], matches[:, 0] - matches[:, 1]))]
-    step = np.diff(matches, axis=0)
-    cut = np.flatnonzero((step[:, 0] != 1) | (step[:, 1] != 1)) + 1
-    heap = [(-(len(run) + k - 1), int(run[0, 0]), int(run[0, 1])) for run in np.split(matches, cut)]
-    heapq.heapify(heap)
-    in_text: set[int] = set()
-    in_item = bytearray(size)
-    tiles = covered = 0
-    while heap and covered < size:
-        length, i, j = heapq.heappop(heap)
-        free = [not in_item[j + t] and i + t not in in_text for t in range(-length)]
-        if all(free):
-            in_text.update(range(i, i - length))
-            in_item[j:j - length] = b"\1" * -length
-            tiles, covered = tiles + 1, covered - length
+class Items:
+    """A block of benchmark items. Items with fewer than k words are held as runs of their own length."""
+
+    def __init__(self, ids: list, texts: list[str | None], k: int, id_type: pa.DataType | None = None):
+        w = W.words(pa.array(texts, pa.string()), fold=True)
+        self.ids, self.k, self.sizes = pa.array(ids, id_type), k, w.counts
+        self.indexes = []
+        for length in sorted({k, *(int(n) for n in self.sizes[(self.sizes > 0) & (self.sizes < k)])}):
+            hashes, at = W.shingles(w, length)
+            item = np.repeat(np.arange(len(ids)), np.diff(at))
+            place = np.arange(len(hashes)) - np.repeat(at[:-1], np.diff(at))
+            mine = self.sizes[item] >= k if length == k else self.sizes[item] == length
+            self.indexes.append(Index(length, hashes[mine], item[mine], place[mine], len(ids)))
+
+
+def _runs(place: np.ndarray, seed: np.ndarray, places: dict[int, np.ndarray], size: int):
+    """At each place of the text: the item places with its seed, and the seeds matched on their diagonals so far."""
+    so_far = np.zeros(size + 2, np.int64)  # of the item place before
+    last, touched = -2, np.zeros(0, np.int64)
+    for i, s in zip(place.tolist(), seed.tolist()):
+        at = places.get(s)
+        if at is None:
             continue
-        begin = None
-        for t, open_ in enumerate([*free, False]):
-            if open_ and begin is None:
-                begin = t
-            elif not open_ and begin is not None:
-                if t - begin >= k:
-                    heapq.heappush(heap, (begin - t, i + begin, j + begin))
-                begin = None
+        length = so_far[at] + 1 if i == last + 1 else np.ones(len(at), np.int64)
+        so_far[touched] = 0
+        touched = at + 1
+        so_far[touched] = length
+        last = i
+        yield i, at, length
+
+
+def tile(
+    place: np.ndarray, seed: np.ndarray, own_seed: np.ndarray, own_place: np.ndarray, k: int, size: int,
+) -> tuple[int, int]:
+    """(tiles, words covered) of an item of ``size`` words.
+
+    ``place`` and ``seed`` are the seeds of the text in order, the others those of the item, by seed. Each round finds the
+    longest match of unmarked words, then marks all of that length in order of text and item, so what is left is
+    shorter. A place of the text is held against the item's places one after the other: memory is that of
+    the text and the item, however often either repeats a seed.
+    """
+    shared = np.isin(seed, own_seed)
+    place, seed = place[shared] - place[shared][0], seed[shared]
+    in_text, in_item = np.zeros(int(place[-1]) + k, bool), np.zeros(size, bool)
+    tiles = covered = 0
+    longest = size - k + 1
+
+    def unmarked(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
+        before = np.concatenate([[0], np.cumsum(marks)])
+        return before[at + k] == before[at]
+
+    while covered < size and longest > 0:
+        open_text, open_item = unmarked(in_text, place), unmarked(in_item, own_place)
+        at, of, item_seed, item_at = place[open_text], seed[open_text], own_seed[open_item], own_place[open_item]
+        if not len(at) or not len(item_at):
+            break
+        cuts = np.flatnonzero(np.diff(item_seed)) + 1
+        places = dict(zip(item_seed[np.append(0, cuts)].tolist(), np.split(item_at, cuts)))
+        best = 0
+        for _, _, length in _runs(at, of, places, size):
+            best = max(best, int(length.max()))
+            if best == longest:
+                break
+        if not best:
+            break
+        n = best + k - 1
+        free_from = 0  # of the text: what earlier rounds have marked is in no run
+        left = np.ones(size, bool)  # item places where a match can still begin
+        for i, js, length in _runs(at, of, places, size):
+            i0 = i - best + 1
+            if i0 < free_from:
+                continue
+            begins = js[length == best] - best + 1
+            begins = begins[left[begins]]
+            if len(begins):
+                j0 = int(begins[0])
+                in_text[i0:i0 + n] = in_item[j0:j0 + n] = True
+                left[max(0, j0 - n + 1):j0 + n] = False
+                free_from, tiles, covered = i0 + n, tiles + 1, covered + n
+                if not unmarked(in_item, item_at).any():
+                    break
+        longest = best - 1
     return tiles, covered
 
 
+def _candidates(row: np.ndarray, seed: np.ndarray, index: Index, sizes: np.ndarray, coverage: float):
+    """(row, item) with enough shared seeds for the coverage; whole rows at a time, about ``ENTRIES`` entries at once."""
+    if not len(row):
+        return
+    r, s = np.divmod(np.unique(row * len(index.seeds) + seed), len(index.seeds))
+    n = index.first[s + 1] - index.first[s]
+    ends = np.cumsum(n)
+    begin = 0
+    while begin < len(r):
+        done = ends[begin - 1] if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(ends, done + ENTRIES, side="right")))
+        stop = int(np.searchsorted(r, r[stop - 1], side="right"))
+        m = n[begin:stop]
+        entry = np.arange(m.sum()) + np.repeat(index.first[s[begin:stop]] - (np.cumsum(m) - m), m)
+        pair, which = np.unique(np.repeat(r[begin:stop], m) * len(sizes) + index.holder[entry], return_inverse=True)
+        shared = np.bincount(which, weights=index.times[entry])
+        size = sizes[pair % len(sizes)]
+        enough = np.minimum(size, index.k * shared) >= coverage * size
+        yield from (divmod(int(p), len(sizes)) for p in pair[enough])
+        begin = stop
+
+
 def contained(texts: pa.Array, items: Items, coverage: float) -> Iterator[tuple[int, int, int, int]]:
     """(row, item, tiles, words covered) of every item that a text contains."""
     w = W.words(texts, fold=True)
-    k = items.k
-    hashes, at = W.shingles(w, k)
-    place, seed = items.hits(hashes)
-    if not len(place):
-        return
-    row = np.searchsorted(at, place, side="right") - 1
-    long = w.counts[row] >= k
-    place, seed, row = place[long], seed[long], row[long]
-    n = items.first[seed + 1] - items.first[seed]
-    entry = np.arange(n.sum()) + np.repeat(items.first[seed] - (np.cumsum(n) - n), n)
-    found = np.stack([np.repeat(place, n), items.place[entry]], axis=1)
-    key = np.repeat(row, n) * len(items.ids) + items.item[entry]
-    order = np.argsort(key, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-        if not len(part):
-            continue
-        r, item = divmod(int(key[part[0]]), len(items.ids))
-        size = int(items.sizes[item])
-        if min(size, k * len(np.unique(found[part, 1]))) < coverage * size:
-            continue
-        tiles, covered = tile(found[part], k, size)
-        if covered >= coverage * size:
-            yield r, item, tiles, covered
+    for index in items.indexes:
+        hashes, at = W.shingles(w, index.k)
+        place, seed = index.hits(hashes)
+        row = np.searchsorted(at, place, side="right") - 1
+        long = w.counts[row] >= index.k
+        place, seed, row = place[long], seed[long], row[long]
+        for r, item in _candidates(row, seed, index, items.sizes, coverage):
+            size = int(items.sizes[item])
+            if size == index.k:  # the item is the seed
+                yield r, item, 1, size
+                continue
+            mine, own = slice(*np.searchsorted(row, [r, r + 1])), slice(index.own[item], index.own[item + 1])
+            tiles, covered = tile(place[mine] - at[r], seed[mine], index.own_seed[own], index.own_place[own], index.k, size)
+            if covered >= coverage * size:
+                yield r, item, tiles, covered
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, k: int, block_words: int):
@@ -163,7 +234,8 @@ def contamination(
 
     Columns: doc_id, item_id, item_words, tiles, covered_words, coverage (share of the item's words under tiles),
     contaminated (true). Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Null and empty texts contain
-    nothing, and items with fewer than ``min_match`` words are never found. Repeated rows, of texts or of items,
+    nothing, and items without words are in no text. Items with fewer than ``min_match`` words count where a text has them
+    word for word, which for an item of one or two words may be in many texts. Repeated rows, of texts or of items,
     are told apart and each has its rows. Of matches of equal length the one that begins first in the
     text, then in the item, is marked. An empty table on either side gives an empty table.
     """

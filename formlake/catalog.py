@@ -188,7 +188,7 @@ def matrix_io(spark, sf):
 
 @query
 def read_racecards(spark, sf):
-    cards = racecards.read_racecards(spark, fixtures.card_files(spark, sf), latest=False)
+    cards = racecards.read_racecards(spark, fixtures.card_files(spark, sf), latest=False, lines=True)
     return cards.select(
         "card_date", "region", "course", "off", "race_name", "prize", "distance", "race_class", "horse",
         "trainer", "jockey", "number", "lbs", "draw", "headgear", "ofr", "rpr", "jockey_allowance",
@@ -996,7 +996,7 @@ def score_cards_stream(spark, sf):
     known, ensemble = featured(spark, sf), _ensemble(spark, sf)
     return _places(files.score_cards_stream(
         spark, fixtures.card_files(spark, sf), scratch_path(spark, "scores"),
-        scratch_path(spark, "scores-checkpoint"), lambda c: scoring.score_cards(c, known, ensemble),
+        scratch_path(spark, "scores-checkpoint"), lambda c: scoring.score_cards(c, known, ensemble), lines=True,
     ))
 
 
@@ -1011,7 +1011,8 @@ def score_cards_state(spark, sf):
     score = score_with_state(state, known.select(*state.columns).limit(0), lambda cards, rows: scoring.score_cards(
         cards, rows, ensemble, context=context.latest_context))
     return _places(files.score_cards_stream(
-        spark, fixtures.card_files(spark, sf), scratch_path(spark, "scores"), scratch_path(spark, "scores-checkpoint"), score))
+        spark, fixtures.card_files(spark, sf), scratch_path(spark, "scores"), scratch_path(spark, "scores-checkpoint"), score,
+        lines=True))
 
 
 @query

@@ -140,10 +140,7 @@ def raw_csv(spark: SparkSession, sf_dir: str) -> str:
 
 
 def card_documents(results: DataFrame) -> DataFrame:
-    """One race card document per date (card_date, value), of all races in the results.
-
-    A document holds a day whole, which is what the card format is.
-    """
+    """One race card document per meeting, that is date, region and course (card_date, value), of all races in the results."""
     runner = F.struct(
         F.col("horse").alias("name"),
         F.col("seq").alias("number"),
@@ -172,16 +169,11 @@ def card_documents(results: DataFrame) -> DataFrame:
         F.regexp_replace("distance", "f", "").cast("double").alias("distance_f"), "race_class", "runners",
     )
 
-    def nest(df: DataFrame, keys: list[str], name, value) -> DataFrame:
-        entries = F.array_sort(F.collect_list(F.struct(name.alias("k"), value.alias("v"))))
-        return df.groupBy(*keys).agg(F.map_from_entries(entries).alias("m"))
-
-    by_course = races.select("date", "region", "course", off.alias("off"), F.to_json(race).alias("race"))
     # Nested values travel as JSON text and are joined as text, so one type serves all levels.
-    by_course = nest(by_course, ["date", "region", "course"], F.col("off"), F.col("race"))
-    by_region = nest(by_course, ["date", "region"], F.col("course"), _object("m"))
-    by_date = nest(by_region, ["date"], F.col("region"), _object("m"))
-    return by_date.select(F.col("date").alias("card_date"), _object("m").alias("value"))
+    entries = F.array_sort(F.collect_list(F.struct(off.alias("k"), F.to_json(race).alias("v"))))
+    meetings = races.groupBy("date", "region", "course").agg(F.map_from_entries(entries).alias("m"))
+    value = F.concat(F.lit('{"'), "region", F.lit('":{"'), "course", F.lit('":'), _object("m"), F.lit("}}"))
+    return meetings.select(F.col("date").alias("card_date"), value.alias("value"))
 
 
 def _object(map_column: str):
@@ -199,11 +191,11 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def card_files(spark: SparkSession, sf_dir: str) -> str:
-    """Folder with one card file per date, the date in the folder name."""
+    """Folder of card files with a document per line, the date in the folder name."""
     key = (spark.sparkContext.applicationId, f"card_files:{sf_dir}")
     if key not in _stored:
         path = scratch_path(spark, "card-files")
-        spread = cards(spark, sf_dir).repartition("card_date")
+        spread = cards(spark, sf_dir).hint("rebalance", "card_date")  # a full date is dealt to several files
         spread.write.partitionBy("card_date").option("lineSep", "\n").text(path)
         _stored[key] = path
     return _stored[key]

@@ -87,11 +87,10 @@ def entity_timeline(
 
 
 def _newest(df: DataFrame, keys: Sequence[str], payload: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Newest row per key, as an aggregate: every task sends one row per key."""
-    when = F.struct(*[F.col(c) for c in order])
-    row = F.struct(*[F.col(c) for c in payload])
-    best = df.groupBy(*keys).agg(F.max_by(row, when).alias("_row"))
-    return best.select(*keys, "_row.*")
+    """Newest row per key; every task sends one row per key to the shuffle (Spark's window group limit)."""
+    newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    best = df.withColumn("_place", F.row_number().over(newest)).where(F.col("_place") == 1)
+    return best.select(*keys, *payload)
 
 
 def latest_context(

@@ -30,15 +30,12 @@ def top_pick(
 ) -> DataFrame:
     """Highest-scored row per group; rows with a NULL key are left out.
 
-    An aggregate, not a window: each task sends one candidate per group.
+    Each task sends one candidate per group to the shuffle (Spark's window group limit).
     """
-    row = F.struct(*[F.col(c) for c in df.columns])
     # Largest score first, then the smallest id; a missing score loses to any other.
-    rank = F.struct(F.col(score).isNotNull(), F.col(score), -F.col(tie))
-    best = df.dropna(subset=list(keys)).groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(
-        F.max_by(row, rank).alias("_best")
-    )
-    return best.select("_best.*")
+    order = Window.partitionBy(*keys).orderBy(F.col(score).desc_nulls_last(), F.col(tie).asc_nulls_last())
+    best = df.dropna(subset=list(keys)).withColumn("_place", F.row_number().over(order))
+    return best.where(F.col("_place") == 1).drop("_place")
 
 
 def rank_runners(

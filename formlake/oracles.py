@@ -372,8 +372,8 @@ def oracle_sql() -> dict[str, str]:
             " SELECT card_date, region, course, off, number, horse, rpr, row_number() OVER (PARTITION BY"
             " card_date, region, course, off ORDER BY coalesce(rpr, 0) DESC, number) AS rank FROM cards"
             " WHERE race_class <> 3 QUALIFY rank <= 3"),
-        "broken_cards": _sql(" SELECT date AS card_date, CAST(dayofmonth(date) = 7 AS BIGINT) AS broken FROM r"
-                             " GROUP BY date"),
+        "broken_cards": _sql(" SELECT date AS card_date, CASE WHEN dayofmonth(date) = 7 THEN"
+                             " count(DISTINCT concat(race_id % 2, course)) ELSE 0 END AS broken FROM r GROUP BY date"),
         **_model_sql(),
         "conform_schema": _sql(f" SELECT {_CLEAN_COLUMNS}, id, CAST(NULL AS VARCHAR) AS comment,"
                                " CAST(NULL AS INT) AS trainer_rtf FROM r"),

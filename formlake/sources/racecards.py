@@ -1,4 +1,4 @@
-"""Race card files: one nested JSON document per file, dated by its path."""
+"""Race card files: nested JSON documents, one per file or one per line, dated by the path."""
 
 from __future__ import annotations
 
@@ -62,13 +62,14 @@ def explode_runners(races: DataFrame) -> DataFrame:
 
 
 def read_documents(
-    spark: SparkSession, path: str, latest: bool = True, date: str | None = None
+    spark: SparkSession, path: str, latest: bool = True, date: str | None = None, lines: bool = False
 ) -> DataFrame:
-    """Whole card files: those of ``date``, of the newest date, or all of them.
+    """Documents of the card files of ``date``, of the newest date, or of all.
 
-    Files are chosen by their paths, which Spark does before it opens them.
+    A file is one document, or has one in each line (``lines``): a day may be spread over any number of documents, and
+    files of lines are read in splits. Files are chosen by their paths, which Spark does before it opens them.
     """
-    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=not lines)
     dated = path_date(F.col("_metadata.file_path"))
     if date is not None or latest:
         wanted = date or text.agg(F.max(dated)).first()[0]
@@ -79,6 +80,6 @@ def read_documents(
 
 
 def read_racecards(
-    spark: SparkSession, path: str, latest: bool = True, date: str | None = None
+    spark: SparkSession, path: str, latest: bool = True, date: str | None = None, lines: bool = False
 ) -> DataFrame:
-    return explode_runners(parse_races(read_documents(spark, path, latest, date)))
+    return explode_runners(parse_races(read_documents(spark, path, latest, date, lines)))

@@ -133,3 +133,18 @@ def test_stream_scores_each_file_once(spark, card_dir, tmp_path):
     args = (spark, card_dir, str(tmp_path / "out"), str(tmp_path / "state"), score)
     assert score_cards_stream(*args).count() == 6
     assert score_cards_stream(*args).count() == 6
+
+
+def test_a_day_in_several_documents_of_one_file(spark, tmp_path):
+    folder = tmp_path / "card_date=2025-03-01"
+    folder.mkdir()
+    meetings = [("IRE", "Cork"), ("GB", "York"), ("GB", "Ascot")]
+    (folder / "a.txt").write_text("\n".join(
+        json.dumps({region: {course: {off: {"race_name": course, "runners": [{"name": off}]} for off in ("13:00", "12:00")}}})
+        for region, course in meetings))
+    documents = racecards.read_documents(spark, str(tmp_path), lines=True)
+    races = racecards.parse_races(documents)
+    codes = {(r.course, r.off): r.code for r in cards.meeting_index(races).collect()}
+    assert codes == {("Ascot", "12:00"): "G1", ("Ascot", "13:00"): "G2", ("York", "12:00"): "G3", ("York", "13:00"): "G4",
+                     ("Cork", "12:00"): "H5", ("Cork", "13:00"): "H6"}
+    assert racecards.read_racecards(spark, str(tmp_path), lines=True).count() == 6

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from formlake import catalog, fixtures, schema
 from formlake.operators import cleaning, history, ranking
-from formlake.operators.context import CONTEXT_COLUMNS, latest_context
+from formlake.operators.context import CONTEXT_COLUMNS, latest_context, pair_context
 from formlake.plans.features import build_features, build_matrix
 
 
@@ -54,14 +54,20 @@ def test_filters_reach_the_scan(results, spark, tmp_path):
 def test_ranking_keeps_n_per_group_before_the_shuffle(results):
     text = plan(ranking.rank_runners(results, ["race_id"], "btn", 5))
     assert text.count("WindowGroupLimit") == 2
-    assert "Window " not in plan(ranking.top_pick(results, schema.RACE_KEY, "btn"))
+    text = plan(ranking.top_pick(results, schema.RACE_KEY, "btn"))
+    assert text.count("WindowGroupLimit") == 2 and text.count("Exchange") == 1 and "SortAggregate" not in text
 
 
 def test_context_aggregates_before_it_shuffles(results):
     featured = build_features(results)
     cards = results.select("horse").distinct()
     text = plan(latest_context(cards, featured.select("horse", "date", "id", *CONTEXT_COLUMNS)))
-    assert "partial_max_by" in text and "LeftSemi" in text
+    # The history is by horse already, so there is no second step.
+    assert text.count("WindowGroupLimit") == 1 and "LeftSemi" in text and "SortAggregate" not in text
+    runs = results.select("id", "date", "trainer", "jockey")
+    synergy = results.select(F.col("id").alias("res_id"), F.lit(1).alias("combo_runs"), F.lit(1.0).alias("combo_win_pc"))
+    text = plan(pair_context(results.select("trainer", "jockey"), runs, synergy))
+    assert text.count("WindowGroupLimit") == 2 and "SortAggregate" not in text
 
 
 NO_PYTHON = ["build_features", "data_audit", "score_cards", "ndcg", "auc", "card_history", "recent_form_split"]

@@ -2,8 +2,10 @@
 
 An ARC record is a header line, whose fields depend on the version that the file's first record declares, and
 as many bytes as its last field says. Conversion gives each record a WARC-Record-ID (from the file and the
-place in it), a WARC-Date, a WARC-Type and a payload digest. Of the records with equal payloads one is a response,
-the others are revisits without the payload that refer to it.
+place in it), a WARC-Date, a WARC-Type and a payload digest. The version block becomes a warcinfo record, records
+without an HTTP header (``dns:`` answers and the like) are resources of their own content type, the others
+are responses. Of the responses with equal payloads one is kept, the others are revisits without the payload
+that refer to it; the payload's length is a header field of theirs.
 
 Archives are written by Spark's text writer, which puts the bytes of a string out as they are, as gzip files;
 they are read as binary files and unpacked record by record.
@@ -31,10 +33,11 @@ ARC_FIELDS = {
     b"2": ("url", "ip", "date", "type", "code", "checksum", "location", "offset", "filename", "length"),
 }
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+#: Revisits carry the length of the payload that they leave out; readers skip fields that they don't know.
+LENGTH_FIELD = "WARC-Payload-Length"
 READ_BYTES = 1 << 20
 
 
-
 def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -106,8 +109,24 @@ class ArcRecord:
     block: bytes  # HTTP header and payload, as declared
 
 
-def arc_records(stream: Stream) -> Iterator[ArcRecord]:
-    """The records behind the version block, by their declared lengths."""
+    @property
+    def kind(self) -> str:
+        """The WARC type that the record has by itself."""
+        if self.url.startswith("filedesc:"):
+            return "warcinfo"
+        return "response" if split_http(self.block)[0] else "resource"
+
+
+def _named(line: bytes, fields: tuple[str, ...], offset: int) -> dict[str, str]:
+    # The URL is the first field and may itself hold blanks in old files.
+    parts = line.rsplit(b" ", len(fields) - 1)
+    if len(parts) != len(fields) or not parts[-1].isdigit():
+        raise ValueError(f"not an ARC header line at {offset}")
+    return dict(zip(fields, (p.decode("utf-8", "replace") for p in parts), strict=True))
+
+
+def arc_records(stream: Stream, version_block: bool = False) -> Iterator[ArcRecord]:
+    """The records behind the version block, by their declared lengths; on request the version block too."""
     fields: tuple[str, ...] | None = None
     while True:
         offset = stream.offset
@@ -125,12 +144,11 @@ def arc_records(stream: Stream) -> Iterator[ArcRecord]:
             if version not in ARC_FIELDS:
                 raise ValueError(f"unknown ARC version {version!r}")
             fields = ARC_FIELDS[version]
+            if version_block:
+                named = _named(line, fields, offset)
+                yield ArcRecord(offset, named["url"], named["date"], named["type"], block)
             continue
-        # The URL is the first field and may itself hold blanks in old files.
-        parts = line.rsplit(b" ", len(fields) - 1)
-        if len(parts) != len(fields) or not parts[-1].isdigit():
-            raise ValueError(f"not an ARC header line at {offset}")
-        named = dict(zip(fields, (p.decode("utf-8", "replace") for p in parts), strict=True))
+        named = _named(line, fields, offset)
         yield ArcRecord(offset, named["url"], named["date"], named["type"], stream.take(int(named["length"])))
 
 
@@ -228,19 +246,22 @@ def _batched(rows: Iterator[tuple], names: list[str], types: list[pa.DataType],
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
 
 
-_COMMON = ["file", "record_id", "url", "date", "digest", "payload_bytes", "page_id"]
-_COMMON_TYPES = [pa.string()] * 5 + [pa.int64(), pa.string()]
-_COMMON_DDL = "file string, record_id string, url string, date string, digest string, payload_bytes long, page_id string"
+_COMMON = ["file", "record_id", "kind", "mime", "url", "date", "digest", "payload_bytes", "page_id"]
+_COMMON_TYPES = [pa.string()] * 7 + [pa.int64(), pa.string()]
+_COMMON_DDL = (
+    "file string, record_id string, kind string, mime string, url string, date string, digest string, payload_bytes long, "
+    "page_id string")
 
 
 def _parsed(whole: bool):
     def rows(batches):
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for r in arc_records(Stream(content.as_buffer())):
+                for r in arc_records(Stream(content.as_buffer()), version_block=True):
                     http, payload = split_http(r.block)
-                    own = [file, record_id(file, r.offset), r.url, r.date, payload_digest(payload), len(payload),
-                           headers(http).get("x-page-id")]
+                    kind = "response" if http else r.kind
+                    own = [file, record_id(file, r.offset), kind, r.mime, r.url, r.date, payload_digest(payload),
+                           len(payload), headers(http).get("x-page-id")]
                     yield (*own, http, payload, len(r.block)) if whole else (*own, 0)
 
     def parse(batches):
@@ -252,8 +273,9 @@ def _parsed(whole: bool):
 
 
 def read_arc(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
-    """The records of ARC files: file, record_id, url, date, digest, payload_bytes, page_id (null if the HTTP
-    header has none), and http and payload unless only the others are asked for."""
+    """The records of ARC files, version blocks included: file, record_id, kind (warcinfo, response or resource),
+    mime (the ARC's own type), url, date, digest, payload_bytes, page_id (null if there is no such HTTP header),
+    and http and payload unless only the others are asked for."""
     ddl = _COMMON_DDL + (", http binary, payload binary" if whole else "")
     return _files(spark, path).mapInArrow(_parsed(whole), ddl)
 
@@ -261,20 +283,31 @@ def read_arc(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
 # ---- Spark: WARC
 
 
+def warc_date(date: str) -> str:
+    """An ARC date of up to 14 digits as a WARC date; digits that are missing are those of the first second."""
+    digits = date[:14] if date.isdigit() else ""
+    digits += "19700101000000"[len(digits):]
+    return f"{digits[:4]}-{digits[4:6]}-{digits[6:8]}T{digits[8:10]}:{digits[10:12]}:{digits[12:]}Z"
+
+
 def _warc_text(record: dict, first_id: str | None) -> bytes:
     """One record, up to but without its last newline."""
-    http, payload, date = record["http"], record["payload"], record["date"]
+    http, payload, kind = record["http"], record["payload"], record["kind"]
     revisit = first_id is not None
     block = http if revisit else http + payload
     lines = [
-        "WARC/1.0", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{record['record_id']}>",
-        f"WARC-Date: {date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z",
-        f"WARC-Target-URI: {record['url']}", f"WARC-Payload-Digest: sha1:{record['digest']}",
+        "WARC/1.0", f"WARC-Type: {'revisit' if revisit else kind}", f"WARC-Record-ID: <{record['record_id']}>",
+        f"WARC-Date: {warc_date(record['date'])}",
+        f"WARC-Filename: {record['file']}" if kind == "warcinfo" else f"WARC-Target-URI: {record['url']}",
         f"WARC-Block-Digest: sha1:{payload_digest(block)}",
     ]
+    if kind != "warcinfo":
+        lines.append(f"WARC-Payload-Digest: sha1:{record['digest']}")
     if revisit:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{first_id}>"]
-    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{first_id}>", f"{LENGTH_FIELD}: {len(payload)}"]
+    own = record["mime"] if "/" in record["mime"] else "application/octet-stream"
+    content_type = "application/http; msgtype=response" if kind == "response" else own
+    lines += [f"Content-Type: {content_type}", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r"
 
 
@@ -291,7 +324,7 @@ def _writer(batches):
 def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0) -> None:
     """Writes the records of ARC files as WARC files.
 
-    Of the records with equal payloads of at least ``min_bytes`` bytes, that with the largest page id (no
+    Version blocks become warcinfo records, records without an HTTP header resources. Of the responses with equal payloads of at least ``min_bytes`` bytes, that with the largest page id (no
     id counts as the least; then the largest record id) is the response, the others revisit it. Payloads are
     compared by digest and length. The table of repeated payloads is broadcast if it is small.
     """
@@ -300,15 +333,16 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: i
     last = Window.partitionBy("digest", "payload_bytes").orderBy(
         F.expr("try_cast(page_id AS decimal(38,0))").desc_nulls_last(), F.desc("record_id"))
     often = (
-        keys.where(F.col("payload_bytes") >= min_bytes).groupBy("digest", "payload_bytes")
+        keys.where((F.col("kind") == "response") & (F.col("payload_bytes") >= min_bytes)).groupBy("digest", "payload_bytes")
         .agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     )
-    among = keys.join(sized(often), ["digest", "payload_bytes"])
+    among = keys.where("kind = 'response'").join(sized(often), ["digest", "payload_bytes"])
     ranked = among.withColumn("place", F.row_number().over(last)).where("place = 1")
     first = store(ranked.select("digest", "payload_bytes", F.col("record_id").alias("first")), "responses")
     whole = read_arc(spark, arc_path).join(sized(first), ["digest", "payload_bytes"], "left")
-    refers = F.when(F.col("first") != F.col("record_id"), F.col("first"))
-    rows = whole.select("record_id", "url", "date", "digest", "http", "payload", refers.alias("first_id"))
+    refers = F.when((F.col("kind") == "response") & (F.col("first") != F.col("record_id")), F.col("first"))
+    rows = whole.select(
+        "file", "record_id", "kind", "mime", "url", "date", "digest", "http", "payload", refers.alias("first_id"))
     texts = rows.mapInArrow(_writer, "value binary").select(F.col("value").cast("string").alias("value"))
     texts.write.option("compression", "gzip").text(warc_path, lineSep="\n")
 
@@ -318,13 +352,15 @@ def _warc_reader(batches):
         for batch in batches:
             for content in batch.column(1):
                 for named, block in warc_records(Stream(content.as_buffer())):
-                    http, payload = split_http(block)
-                    own = headers(http)
                     kind = named["warc-type"]
-                    digest = named["warc-payload-digest"].removeprefix("sha1:")
-                    if kind == "response" and payload_digest(payload) != digest:
+                    http, payload = split_http(block) if kind in ("response", "revisit") else (b"", block)
+                    own = headers(http)
+                    digest = named.get("warc-payload-digest")
+                    digest = digest and digest.removeprefix("sha1:")
+                    if kind != "revisit" and digest and payload_digest(payload) != digest:
                         raise ValueError(f"payload of {named['warc-record-id']} doesn't match its digest")
-                    size = len(payload) if kind == "response" else int(own["content-length"])
+                    length = named.get(LENGTH_FIELD.lower(), own.get("content-length", ""))
+                    size = len(payload) if kind != "revisit" else int(length) if length.isdigit() else None
                     refers = named.get("warc-refers-to")
                     yield (own.get("x-page-id"), named["warc-record-id"].strip("<>"), kind, digest, size,
                            refers.strip("<>") if refers else None, 0)
@@ -335,8 +371,9 @@ def _warc_reader(batches):
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files: page_id, record_id, record_type, payload_digest, payload_bytes, refers (a
-    record id). Digests of payloads are checked; a revisit's length is that of its HTTP header."""
+    """The records of WARC files: page_id, record_id, record_type, payload_digest (null if the record has none),
+    payload_bytes, refers (a record id). Digests of payloads are checked. A revisit's length is its own header field,
+    else the Content-Length of its HTTP header, else null."""
     return _files(spark, path).mapInArrow(
         _warc_reader, "page_id string, record_id string, record_type string, payload_digest string, payload_bytes long, "
                       "refers string")
@@ -355,7 +392,7 @@ def archived_pages(
     arc, warc = scratch_path(spark, "arc"), scratch_path(spark, "warc")
     write_arc(df, arc, id_col, url_col, html_col)
     convert_arc(spark, arc, warc, min_bytes)
-    records = store(read_warc(spark, warc), "warc-records")
+    records = store(read_warc(spark, warc).where("record_type IN ('response', 'revisit')"), "warc-records")
     kind = df.select(df[id_col]).schema[0].dataType
     records = records.withColumn("page_id", F.col("page_id").cast(kind))
     targets = records.where("refers is not null").select("refers").distinct()

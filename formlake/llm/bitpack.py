@@ -1,6 +1,6 @@
 """Token ids in files of fixed-width bit fields.
 
-A file is a run of blocks, then an index, then the place of the index; numbers are little-endian:
+A file is a run of blocks, perhaps spare 0x0A, then an index, then the place of the index; numbers are little-endian:
 
     block   magic FLB1, id width in bits, file number, documents n, tokens t, token before the block, bytes b
             (7 x uint64 but for the 8-byte magic), n doc ids (int64), n bytes 1 = id is null,
@@ -9,7 +9,9 @@ A file is a run of blocks, then an index, then the place of the index; numbers a
     index   magic FLX1, blocks m (uint64), m byte offsets, m first tokens, m first documents (uint64)
     end     byte offset of the index (uint64)
 
-Spark's text writer ends each of them with one 0x0A, which belongs to the format.
+Spark's text writer ends each of them with one 0x0A, which belongs to the format. A task writes as many files as
+its bytes need: all but its last have the same number of records, which is what the writer cuts files by, so a file
+that is full early is filled up with empty records.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ _HEAD = struct.Struct("<8s6Q")
 _BLOCK, _INDEX = b"FLB1\0\0\0\0", b"FLX1\0\0\0\0"
 #: A block is closed by the document that fills it up to so many tokens.
 BLOCK_TOKENS = 1 << 18
+#: A file is closed by the block that fills it up to so many bytes, or is the last of so many blocks.
+FILE_BYTES = 64 << 20
+FILE_BLOCKS = 1000
 
 
 def width_of(vocabulary: int) -> int:
@@ -113,11 +118,11 @@ def _block(file_no, doc_ids, counts, ids, width, before) -> bytes:
     return b"".join([head, plain.tobytes(), null.tobytes(), np.array(counts, "<u8").tobytes(), fields, b"\0" * 8])
 
 
-def _writer(path: str, end: int, vocabulary: int | None, block_tokens: int, special_ids: bool):
+def _writer(path: str, end: int, vocabulary: int | None, block_tokens: int, special_ids: bool, file_bytes: int):
     def write(batches):
         encoder = T.encoder(path, special_ids)
         width = width_of(max(vocabulary or encoder.vocabulary, end + 1))
-        file_no = TaskContext.get().partitionId()
+        file_no = TaskContext.get().partitionId() << 32
         place = before = docs = 0
         index: list[tuple[int, int, int]] = []
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
@@ -132,12 +137,22 @@ def _writer(path: str, end: int, vocabulary: int | None, block_tokens: int, spec
             place, before, docs, held = place + len(block) + 1, before + len(ids), docs + len(doc_ids), []
             return pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], ["value"])
 
+        def close(last: bool):
+            nonlocal file_no, place, before, docs, index
+            spare = 0 if last else FILE_BLOCKS - len(index)
+            table = np.array(index, "<u8").T.tobytes()
+            values = [*[b""] * spare, struct.pack("<8sQ", _INDEX, len(index)) + table, struct.pack("<Q", place + spare)]
+            file_no, place, before, docs, index = file_no + 1, 0, 0, 0, []
+            return pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], ["value"])
+
         size = 0
         for part in W.slices(batches, "text", T.SLICE_BYTES):
             ids, at = encoder.encode_with_end(part.column("text"), end)
             doc_ids, counts = part.column("doc_id").to_pylist(), np.diff(at)
             row = 0
             while row < len(doc_ids):
+                if place >= file_bytes or len(index) == FILE_BLOCKS:
+                    yield close(last=False)
                 last = int(np.searchsorted(at, at[row] + block_tokens - size, side="left"))
                 last = min(max(last, row + 1), len(doc_ids))
                 held.append((doc_ids[row:last], counts[row:last], ids[at[row]:at[last]]))
@@ -149,10 +164,7 @@ def _writer(path: str, end: int, vocabulary: int | None, block_tokens: int, spec
         if held:
             yield flush()
         if index:
-            table = np.array(index, "<u8").T.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([struct.pack("<8sQ", _INDEX, len(index)) + table, struct.pack("<Q", place)], pa.binary())],
-                ["value"])
+            yield close(last=True)
 
     return write
 
@@ -160,13 +172,14 @@ def _writer(path: str, end: int, vocabulary: int | None, block_tokens: int, spec
 def write_packed(
     df: DataFrame, path: str, tokenizer_path: str, end_id: int, vocabulary: int | None = None,
     id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS,
-    special_ids: bool = False,
+    special_ids: bool = False, file_bytes: int = FILE_BYTES,
 ) -> None:
     """Encodes every text, appends ``end_id``, and writes the files to ``path`` in ascending order of the id.
 
     Null texts are empty and have only the end id; null ids come first. Rows with equal ids are ordered by
     a hash of the text, so many of them can be dealt to several files. An empty table writes no file with
-    blocks. Files follow each other in the order of their numbers. ``vocabulary`` sets the width of the
+    blocks. Files follow each other in the order of their numbers, and none is longer than ``file_bytes`` by more than its
+    last block, whatever the size of the table. ``vocabulary`` sets the width of the
     fields, by default the tokenizer's size. ``special_ids`` is that of ``Encoder``.
     """
     docs = distinct_names(df, doc_id=id_col, text=text_col)
@@ -175,9 +188,10 @@ def write_packed(
                         F.monotonically_increasing_id().alias("row"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("row")]
     ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    blocks = ranged.mapInArrow(_writer(tokenizer_path, end_id, vocabulary, block_tokens, special_ids), "value binary")
+    blocks = ranged.mapInArrow(_writer(tokenizer_path, end_id, vocabulary, block_tokens, special_ids, file_bytes), "value binary")
     # The text writer puts the bytes of a string out as they are.
-    blocks.select(F.col("value").cast("string").alias("value")).write.text(path, lineSep="\n")
+    blocks.select(F.col("value").cast("string").alias("value")).write.option(
+        "maxRecordsPerFile", FILE_BLOCKS + 2).text(path, lineSep="\n")
 
 
 def _reader(batches):

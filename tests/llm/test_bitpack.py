@@ -73,3 +73,24 @@ def test_random_access(spark, docs, table, tmp_path):
         for first, n in ((0, 10), (490, 30), (len(own) - 5, 5), (len(own) // 2, 2000), (3, 0)):
             assert (reader.tokens(first, n) == own[first:first + n]).all()
     assert seen == sum(map(len, flat.values()))
+
+
+@pytest.mark.parametrize("block_tokens, file_bytes", [(300, 2000), (1, 1 << 30), (1, 1)])
+def test_files_of_bounded_size(spark, docs, table, tmp_path, block_tokens, file_bytes):
+    """Files closed by their bytes, by their number of blocks and after every block, read back as one table."""
+    rows = table("documents", "doc_id", "text")
+    rows += [(10**6 + i, "w") for i in range(3000)]
+    path = f"file://{tmp_path}/packed"
+    bitpack.write_packed(docs(rows).coalesce(1), path, PATH, 1, block_tokens=block_tokens, file_bytes=file_bytes)
+    files = [bytes(f.content) for f in spark.read.format("binaryFile").load(path).collect() if f.content]
+    readers = [bitpack.PackedFile(f) for f in files]
+    assert len({r.blocks[0][2] for r in readers}) == len(readers) > 3
+    for content, reader in zip(files, readers, strict=True):
+        assert len(reader.blocks) <= bitpack.FILE_BLOCKS and int(reader.offsets[-1]) < file_bytes + 1
+        assert content.endswith(b"\n")
+    got = bitpack.read_packed(spark, path).orderBy("start").collect()
+    want, start = expected(rows), 0
+    assert [r.doc_id for r in got] == [i for i, _ in want]
+    for r, (_, ids) in zip(got, want, strict=True):
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)

@@ -230,7 +230,12 @@ def document_files(documents: DataFrame) -> DataFrame:
 
 
 def license_sql(templates: Sequence[Template] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """``license_scan`` of ``document_files`` in DuckDB's SQL."""
+    """``license_scan`` of ``document_files`` in DuckDB's SQL.
+
+    Parts are the lines of every text, the whole text of notice files, and every run of as many terms as a template
+    has, at each place of a text, that shares enough of that template; all are scored against all templates.
+    """
+    least = (0.999 * threshold) ** 2
     values = ", ".join(
         f"({i}, '{x.license}', '{t}', {n})" for i, x in enumerate(templates) for t, n in terms(x.text).items())
     return f"""WITH files AS (
@@ -248,12 +253,35 @@ def license_sql(templates: Sequence[Template] = TEMPLATES, threshold: float = TH
 ), model AS (
   SELECT template, license, t.term, n * idf AS w, sqrt(sum(n * idf * n * idf) OVER (PARTITION BY template)) AS norm
   FROM template t JOIN idf i ON t.term = i.term
+), words AS (
+  SELECT doc_id, generate_subscripts(all_terms, 1) - 1 AS pos, unnest(all_terms) AS term
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '{TERM}') AS all_terms FROM files)
+), able AS (
+  SELECT doc_id, template FROM (SELECT DISTINCT doc_id, term FROM words) d JOIN model m ON d.term = m.term
+  GROUP BY ALL HAVING sum(m.w * m.w / m.norm / m.norm) >= {least}
+), starts AS (
+  SELECT a.doc_id, a.template, size, unnest(range(0, greatest(n_words - size, 0) + 1)) AS start
+  FROM able a JOIN (SELECT template, sum(n)::BIGINT AS size FROM template GROUP BY template) t ON a.template = t.template
+  JOIN (SELECT doc_id, count(*) AS n_words FROM words GROUP BY doc_id) n ON a.doc_id = n.doc_id
+), runs AS (
+  SELECT p.doc_id, p.template, p.start, w.term, count(*) AS n
+  FROM (SELECT doc_id, template, start, start + unnest(range(0, size)) AS pos FROM starts) p
+  JOIN words w ON p.doc_id = w.doc_id AND p.pos = w.pos GROUP BY ALL
+), near AS (
+  SELECT doc_id, r.template, start FROM runs r JOIN model m ON r.template = m.template AND r.term = m.term
+  GROUP BY ALL HAVING sum(m.w * m.w / m.norm / m.norm) >= {least}
 ), lines AS (
   SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS part
   FROM files
 ), counts AS (
-  SELECT doc_id, line, term, count(*) AS n
+  SELECT doc_id, 'line ' || line::VARCHAR AS line, term, count(*) AS n
   FROM (SELECT doc_id, line, unnest(regexp_extract_all(lower(part), '{TERM}')) AS term FROM lines) GROUP BY ALL
+  UNION ALL
+  SELECT w.doc_id, 'whole' AS line, term, count(*) AS n FROM words w JOIN files f ON w.doc_id = f.doc_id
+  WHERE n_chars <= 300 GROUP BY ALL
+  UNION ALL
+  SELECT doc_id, 'run ' || template::VARCHAR || ' ' || start::VARCHAR AS line, term, n
+  FROM runs SEMI JOIN near USING (doc_id, template, start)
 ), weighed AS (
   SELECT c.doc_id, line, c.term, c.n * coalesce(idf, ln((SELECT n + 1 FROM total)::DOUBLE) + 1) AS w
   FROM counts c LEFT JOIN idf i ON c.term = i.term

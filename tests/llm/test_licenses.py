@@ -1,3 +1,6 @@
+import textwrap
+
+import pyarrow as pa
 from brute import SF, python_nodes
 
 from formlake.llm import licenses
@@ -24,6 +27,27 @@ def test_same_rows_as_sql(spark, duck):
     assert any(r[3] == "notice" for r in want)
 
 
+def test_same_rows_as_sql_with_wrapped_and_inline_notices(spark, duck):
+    """Among all documents: notices over several lines, inside paragraphs, damaged, and whole notice files."""
+    base = duck.execute("SELECT doc_id, text, lang, source, n_chars FROM documents").fetchall()
+    rows, planted = [*base], []
+    for i, t in enumerate(licenses.TEMPLATES):
+        cut = " ".join(w if k % 7 else "zz" for k, w in enumerate(t.text.split()))
+        for text in ("\n".join(textwrap.wrap(t.text, 30)), f"Some {t.text} and more", f"a\nb {cut}\nc", "word " * 80 + "\n".join(
+                textwrap.wrap(t.text, 40)) + " word\nmore" * 80):
+            planted.append(10_000 + len(planted))
+            rows.append((planted[-1], text, "en", f"planted{i % 3}", len(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    duck.register("given", pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))))
+    duck.execute("CREATE OR REPLACE VIEW documents AS SELECT * FROM given")
+    got = licenses.license_scan(licenses.document_files(df), id_col="doc_id")
+    columns = ["doc_id", "path", "license", "origin", "from_dir", "similarity"]
+    want = duck.execute(f"SELECT {', '.join(columns)} FROM ({licenses.license_sql()})").fetchall()
+    assert sorted(str(tuple(r)) for r in got.select(*columns).collect()) == sorted(map(str, want))
+    assert sum(r[0] in planted and r[3] == "notice" for r in want) >= 30
+
+
 def test_notices_and_nearest_ancestors(spark):
     rows = [
         ("LICENSE", MIT), ("a/x.py", "no notice here"), ("a/b/COPYING.txt", f"some words\n{GPL}\nmore"),

@@ -146,3 +146,20 @@ def test_results_view_with_split_orders(spark, split_rows):
     split = fixtures.results_view(spark, SF)
     assert split.dtypes == plain.dtypes
     same(split, plain)
+
+
+def test_results_are_numbered_without_storing_or_ordering_whole_rows(spark, split_rows, monkeypatch):
+    """Only races are cut into chunks; the rows themselves are dealt by race, once."""
+    from conftest import SF
+
+    from formlake import fixtures
+    from formlake.operators import skew
+
+    stored, cut = [], skew.cut_lineage
+    monkeypatch.setattr(skew, "cut_lineage", lambda df: stored.append(df.columns) or cut(df))
+    split_rows(1000)  # no race is over-full, but there are more races than one chunk holds
+    view = fixtures.results_view(spark, SF)
+    assert stored and all("horse" not in columns for columns in stored)
+    place = F.row_number().over(Window.orderBy("race_id", "seq"))
+    assert view.withColumn("_place", place).where("id <> _place or id is null").count() == 0
+    assert view.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()

@@ -132,3 +132,44 @@ def test_storage_and_split_groups(races, spark, tmp_path, split_rows):
     cut = boost.train_listwise_ranker(one, GROUP, ["a", "b"], [], params=p, holdout=0)
     assert [t.feature for t in cut.trees] == [t.feature for t in plain.trees]
     assert np.allclose([v for t in cut.trees for v in t.value], [v for t in plain.trees for v in t.value])
+
+
+def test_a_pass_over_a_tree_is_one_job_without_a_shuffle(races, spark):
+    """Before, every pass made a row for each input of a row and shuffled sums, two jobs and more."""
+    def jobs(trees):
+        spark.sparkContext.setJobGroup(f"passes {trees}", "passes")
+        boost.train_boosted_trees(races, ["a", "b", "m"], ["c"], "y", Params(trees=trees, rate=0.3, depth=3), holdout=0)
+        found = spark.sparkContext.statusTracker().getJobIdsForGroup(f"passes {trees}")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(found)
+
+    assert jobs(5) - jobs(2) < 3 * 6  # four passes a tree: the root and the three levels below
+
+
+@pytest.mark.parametrize("ranking", [False, True])
+def test_sums_of_blocks_equal_those_of_a_table(races, spark, split_rows, ranking):
+    p = Params(trees=3, rate=0.5, depth=3, rows=0.7, columns=0.8)
+    seen = []
+    take = boost._boost
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(boost, "_boost", lambda rows, *rest: seen.append(rows) or take(rows, *rest))
+        if ranking:
+            some = races.where("id < 1200")
+            blocks = boost.train_listwise_ranker(some, GROUP, ["b", "m"], ["c"], params=p)
+            split_rows(5)
+            table = boost.train_listwise_ranker(some, GROUP, ["b", "m"], ["c"], params=p)
+            assert [type(x) for x in seen] == [boost._Blocks, boost._Rows]
+            assert np.allclose(blocks.losses, table.losses)
+        else:
+            blocks = table = boost.train_boosted_trees(races, ["b", "m"], ["c"], "y", p)
+    assert [t.feature for t in blocks.trees] == [t.feature for t in table.trees]
+    assert np.allclose([v for t in blocks.trees for v in t.value], [v for t in table.trees for v in t.value])
+    # What the trees say to a row is the same by arrays and by SQL.
+    rows = races.where("id < 500")
+    binned = rows.select("id", F.struct(*blocks.bins.inputs()).alias("x")).select("id", "x.*")
+    n = len(blocks.bins.edges)
+    bins = F.array(*[blocks.bins._number(c, f"_x{i}") for i, c in enumerate(blocks.bins.edges)], *[f"_x{i}" for i in range(n, len(blocks.bins.names))])
+    sql = binned.withColumn("_bins", bins).select("id", F.expr(boost.walk(blocks.trees, "value")).alias("m"))
+    want = {r.id: r.m + blocks.base for r in sql.collect()}
+    got = {r.id: r.m for r in blocks.margin(rows, "m").select("id", "m").collect()}
+    assert got == pytest.approx(want)

@@ -231,7 +231,7 @@ def deduplicating_ingest(spark, sf):
     """Every file is there twice, under two names."""
     path = scratch_path(spark, "csv-twice")
     for _ in range(2):
-        fixtures.raw_text(spark, sf).write.mode("append").csv(path, header=True, escape='"')
+        fixtures.write_csv(fixtures.raw_text(spark, sf), path)
     out = files.deduplicating_ingest(
         spark, path, scratch_path(spark, "stream"), scratch_path(spark, "stream-checkpoint"),
         columns=fixtures.raw_text(spark, sf).columns, values=listed_courses(spark, sf))

@@ -172,12 +172,17 @@ def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.withColumnRenamed("official_rating", "[or]")
 
 
+def write_csv(text: DataFrame, path: str) -> None:
+    """Packed files, one a task, so each is read by one task too; added to those in the folder."""
+    text.write.mode("append").csv(path, header=True, escape='"', compression="gzip")
+
+
 def raw_csv(spark: SparkSession, sf_dir: str) -> str:
     """Folder of the raw CSV files, written once per application."""
     key = (spark.sparkContext.applicationId, f"csv:{sf_dir}")
     if key not in _stored:
         path = scratch_path(spark, "csv")
-        raw_text(spark, sf_dir).write.csv(path, header=True, escape='"')
+        write_csv(raw_text(spark, sf_dir), path)
         _stored[key] = path
     return _stored[key]
 

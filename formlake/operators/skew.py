@@ -24,7 +24,7 @@ MAX_KEYS_CONF = "formlake.split.maxKeys"
 MAX_CHUNKS_CONF = "formlake.split.maxChunks"
 
 #: Rows that a task sorts in memory, also where they are wide.
-TASK_ROWS = 250_000
+TASK_ROWS = 180_000
 
 _CHUNK = "_chunk"
 _HALO = "_halo"
@@ -32,7 +32,7 @@ _HALO = "_halo"
 
 @dataclass(frozen=True)
 class SplitPolicy:
-    """All keys above ``split_rows`` rows are split, into chunks of about a quarter of that.
+    """All keys above ``split_rows`` rows are split, into chunks of about a quarter of that, and of ``TASK_ROWS`` at most.
 
     Tables with one row per split key, or per split key and chunk, are broadcast up to ``max_keys``
     keys and ``max_chunks`` chunks, and joined by shuffle beyond.
@@ -44,7 +44,7 @@ class SplitPolicy:
 
     @property
     def chunk_rows(self) -> int:
-        return max(1, self.split_rows // 4)
+        return max(1, min(self.split_rows // 4, TASK_ROWS))
 
     def chunks(self, n_rows: int) -> int:
         return max(2, -(-n_rows // self.chunk_rows))
@@ -176,7 +176,7 @@ def chunked_totals(
         *keys, _CHUNK,
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in totals],
     )
-    rows = _sums_before(parts, [*keys, _CHUNK], order, totals)
+    rows = _sums_before(dealt(parts, [*keys, _CHUNK], n_rows), [*keys, _CHUNK], order, totals)
     out = match(rows, policy.sized(carry, n_keys, n_rows), [*keys, _CHUNK], "left")
     return out.withColumns({n: F.col(n) + F.col(f"_c_{n}") for n in totals}).drop(
         _CHUNK, *[f"_c_{n}" for n in totals]
@@ -272,7 +272,7 @@ def with_lookback(
     parts = ordered_chunks(hot_rows, keys, [F.col(c) for c in order], hot.n_rows, scan.policy)
     carried = [c for c in dict.fromkeys(carried) if c not in {*keys, *order}]
     haloed = _with_halo(parts, keys, order, depth, carried, observed)
-    done = apply(haloed, [*keys, _CHUNK]).where(~F.col(_HALO)).drop(_HALO, _CHUNK)
+    done = apply(dealt(haloed, [*keys, _CHUNK], hot.n_rows), [*keys, _CHUNK]).where(~F.col(_HALO)).drop(_HALO, _CHUNK)
     return apply(cold_rows, list(keys)).unionByName(done)
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_dealing import _runs
 
-from formlake import catalog
+from formlake import catalog, schema
 
 
 @pytest.fixture
@@ -40,3 +40,11 @@ def test_families_that_are_not_read_are_not_shuffled(own_results, spark):
     for columns, shuffles in ((["id", "btn", "avg_btn_3"], 1), (catalog.SCORED_COLUMNS, 2)):
         plan = catalog.features.build_features(own_results).select(*columns)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == shuffles
+
+
+def test_ordered_rows_are_stored(spark, own_results, tmp_path):
+    """Before, each pass over them joined every race with its winner again."""
+    rows = catalog.ordered(spark, str(tmp_path))
+    assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+    races = rows.groupBy(*schema.RACE_KEY).agg(F.sum("target_win").alias("n")).collect()
+    assert races and {r["n"] for r in races} == {1}

@@ -48,3 +48,15 @@ def test_ordered_rows_are_stored(spark, own_results, tmp_path):
     assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
     races = rows.groupBy(*schema.RACE_KEY).agg(F.sum("target_win").alias("n")).collect()
     assert races and {r["n"] for r in races} == {1}
+
+
+def test_learners_on_base_inputs_need_no_race_shuffle(own_results, spark, monkeypatch, tmp_path):
+    """Before, the matrix of all inputs was made for them."""
+    text = catalog.features.build_matrix(own_results).select(*catalog.BASE_COLUMNS)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 2
+    seen = {}
+    monkeypatch.setattr(catalog, "CUTOFF", catalog.date(2020, 1, 30))
+    catalog._fitted(spark, str(tmp_path), "seen", lambda rows: seen.setdefault("rows", rows))
+    assert seen["rows"].columns == catalog.BASE_COLUMNS
+    whole = catalog.cleaning.temporal_split(catalog.planted(spark, str(tmp_path)), catalog.CUTOFF)[0]
+    assert _rows(seen["rows"]) == _rows(whole.select(*catalog.BASE_COLUMNS)) != []

@@ -1097,7 +1097,7 @@ def encode_categories(spark, sf):
 @query
 def standardize(spark, sf):
     cols = ["wgt_lbs", "combo_win_pc", "avg_btn_3", "days_since_last", "or_change"]
-    out = prepare.standardize(matrix(spark, sf), cols, "train", CUTOFF)
+    out = prepare.standardize(matrix(spark, sf, "id", "date", *cols), cols, "train", CUTOFF)
     return out.select("id", *[F.round(c, 6).alias(c) for c in cols])
 
 

@@ -1109,7 +1109,8 @@ def fill_missing(spark, sf):
 
 @query
 def group_deviations(spark, sf):
-    out = ranking.group_deviations(matrix(spark, sf), schema.RACE_KEY, ["wgt_lbs", "avg_btn_3"])
+    rows = matrix(spark, sf, "id", *schema.RACE_KEY, "wgt_lbs", "avg_btn_3")
+    out = ranking.group_deviations(rows, schema.RACE_KEY, ["wgt_lbs", "avg_btn_3"])
     return out.select("id", *[F.round(f"dev_{c}", 6).alias(f"dev_{c}") for c in ("wgt_lbs", "avg_btn_3")])
 
 
